@@ -83,5 +83,5 @@ if __name__ == "__main__":
             ok, msg = False, f"{type(e).__name__}: {str(e)[:900]}"
         bad += not ok
         if not ok or os.environ.get("VERBOSE"):
-            print("ok  " if ok else "FAIL", n, f"{time.time() - t0:.1f}s", msg, flush=True)
-    print(f"{len(names) - bad} of {len(names)} ok")
+            print("\n##", "ok  " if ok else "FAIL", n, f"{time.time() - t0:.1f}s", msg, flush=True)
+    print(f"\n## {len(names) - bad} of {len(names)} ok")
