@@ -76,7 +76,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN o.o_orderkey % 5 <> 0 THEN c.c_name END AS assignee,
                CASE WHEN o.o_orderkey % 11 <> 0 THEN 'Clerk ' || CAST(o.o_custkey % 30 AS STRING) END AS reporter,
                'Order ' || CAST(o.o_orderkey AS STRING) || ' for ' || c.c_name AS summary,
-               CASE WHEN o.o_orderkey % 4 <> 0 THEN 'Price ' || CAST(CAST(o.o_totalprice AS BIGINT) AS STRING) END AS description,
+               CASE WHEN o.o_orderkey % 4 <> 0 THEN 'Price ' || CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS STRING) END AS description,
                CAST(o.o_custkey % 4 AS INT) AS n_comments,
                CAST(o.o_orderkey % 3 AS INT) AS n_labels,
                CAST(o.o_orderkey % 4 AS INT) AS n_sprints,
