@@ -182,6 +182,9 @@ VIEWS: dict[str, str] = {
                     - INTERVAL '1' MINUTE * CAST((page_id * 991) % 200000 AS INT) END AS updated_at
         FROM {pages}""",
     # -- meetings and runs ---------------------------------------------------
+    # times to the millisecond, as the work tools give them
+    "v_events": """
+        SELECT event_id, date_trunc('millisecond', ts) AS ts, user_id, event_type, value, props FROM {events}""",
     "v_meetings": """
         SELECT event_id, 'ev' || CAST(event_id AS STRING) AS meeting_id,
                CASE WHEN event_id % 10 <> 3 THEN 'Meeting ' || event_type END AS summary,
@@ -196,7 +199,7 @@ VIEWS: dict[str, str] = {
                ts + INTERVAL '1' MINUTE * CAST(15 + CAST(floor(value) AS INT) % 60 AS INT) AS end_at,
                ts - INTERVAL '1' DAY * CAST(event_id % 20 AS INT) AS created_at,
                CASE WHEN event_id % 5 <> 0 THEN ts - INTERVAL '1' HOUR * CAST(event_id % 50 AS INT) END AS updated_at
-        FROM {events}""",
+        FROM v_events""",
     "v_runs": """
         SELECT event_id AS seq,
                CASE event_type WHEN 'click' THEN 'jira' WHEN 'view' THEN 'slack' WHEN 'purchase' THEN 'gmail'
@@ -206,7 +209,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 50 = 11 THEN 0 ELSE CAST(floor(value * 10) AS BIGINT) END AS duration_ms,
                CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_id % 10 = 1 THEN 'running' ELSE 'completed' END AS status,
                CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS docs
-        FROM {events}""",
+        FROM v_events""",
     # -- projects and proposals ---------------------------------------------
     "v_projects": """
         SELECT 'P' || CAST(c_custkey AS STRING) AS project_id, c_name AS title,
