@@ -58,10 +58,35 @@ def n_tokens(col: Column) -> Column:
     return F.ceil(F.length(col) / F.lit(4)).cast("int")
 
 
+# The same pattern for texts whose lines are never blank: all lines but the
+# last are taken whole, and only the last is looked through for sentence ends.
+_HEAD = r"\A((?s:.*)[^\n]\n\n?)"
+_LINES = r"[^\n]++\n\n?"
+_LAST_LINE = r"[^.!?]*+[.!?]" + SPACE + r"*+|[^.!?\n]++\z"
+_FULL = r"[^\n]++\n\n|[^\n]++\n|[^.!?]*+[.!?]" + SPACE + r"*+|[^.!?\n]++\z"
+
+
 def sentences(col: Column) -> Column:
-    """Lines, then sentences of the last line; blank parts dropped."""
-    parts = F.filter(F.regexp_extract_all(col, F.lit(SENTENCE), F.lit(0)), lambda s: ~blank(s))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(col))
+    """Lines, then sentences of the last line; blank parts dropped.
+
+    Tried at every sentence, the line patterns would read on to the end of a
+    long last line each time; so a text without blank lines is cut at its last
+    line break first.
+    """
+
+    def found(text: Column, pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def cut(text: Column) -> Column:
+        def both(head: Column) -> Column:
+            return F.concat(found(head, _LINES), found(F.substr(text, F.length(head) + 1), _LAST_LINE))
+
+        plain = F.transform(F.array(F.regexp_extract(text, _HEAD, 1)), both)[0]
+        odd = F.contains(text, F.lit("\n\n\n")) | F.startswith(text, F.lit("\n"))
+        parts = F.filter(F.when(odd, found(text, _FULL)).otherwise(plain), lambda s: ~blank(s))
+        return F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))[0]
+
+    return F.transform(F.array(col), cut)[0]
 
 
 def _tail(cur: Column, limit: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklore.functions import text as T
+from worklore.session import spread_small
 
 # Separators from coarse to fine; a language puts its own first.
 TEXT_SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -39,7 +40,7 @@ def explode_chunks(docs: DataFrame, ready: str | None = None) -> DataFrame:
     """
     made = T.chunks(F.col("content"))
     arr = made if ready is None else F.when(F.size(F.col(ready)) > 1, F.col(ready)).otherwise(made)
-    rows = docs.withColumn("_chunks", arr)
+    rows = spread_small(docs, "id").withColumn("_chunks", arr)
     return (
         rows.select("*", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_i", "chunk"))
         .withColumn("parent_doc_id", F.when(F.col("_n") > 1, F.col("id")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.operators.spread import previous
@@ -57,10 +57,19 @@ def _hours(a: Column, b: Column) -> Column:
 
 
 def duplicates(df: DataFrame) -> DataFrame:
-    """Same merchant and amount within 24 hours of the charge before."""
-    keyed = df.withColumn("_hour", F.date_trunc("hour", "purchased_at"))
-    rows = previous(keyed, ["merchant", "amount"], "_hour", ["purchased_at", "row_id"], ["purchased_at", "row_id"]).drop("_hour")
-    return rows.filter(_hours(F.col("purchased_at"), F.col("prev_purchased_at")) <= 24)
+    """Same merchant and amount within 24 hours of the charge before.
+
+    Only the day itself and the day before can hold that charge: every row also
+    stands, for looking back only, in the next day, and each day is windowed
+    alone.
+    """
+    day = F.to_date("purchased_at")
+    both = F.array(F.struct(day.alias("_day"), F.lit(True).alias("_own")), F.struct(F.date_add(day, 1).alias("_day"), F.lit(False).alias("_own")))
+    rows = df.select("*", F.inline(both))
+    w = Window.partitionBy("merchant", "amount", "_day").orderBy("purchased_at", "row_id")
+    back = rows.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in ("purchased_at", "row_id")])
+    near = _hours(F.col("purchased_at"), F.col("prev_purchased_at")) <= 24
+    return back.filter(F.col("_own") & near).drop("_day", "_own")
 
 
 def subscription_merchants(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from worklore.functions import ranking as R
 from worklore.functions import text as T
+from worklore.session import materialize, spread_small
 
 # Fixed values.
 ALL_SOURCES = ["jira", "slack", "gmail", "drive", "confluence", "calendar"]
@@ -69,46 +70,39 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str | None = "title") -> DataFrame:
-    """(qid, id, score): best of the text score and three times the title score.
+def postings(index: DataFrame, terms: DataFrame, text: str, title: str) -> DataFrame:
+    """(id, field, term, len, tf) for the wanted terms, in one pass over the rows.
 
-    Only occurrences of query terms leave the scan.  They are summed per row
-    and term map-side, so what is shuffled is one small row per match.
+    Only occurrences of wanted terms leave the scan, summed per row map-side.
+    The empty term stands once for each field that has any words, so that the
+    field statistics come out of the same pass.  Written once, read three times.
     """
-    fields = [(0, text)] + ([(1, title)] if title else [])
-    toks = index.select("id", *[_tokens(F.col(c)).alias(f"_t{f}") for f, c in fields])
-    sized = toks.select("*", *[F.size(f"_t{f}").alias(f"_n{f}") for f, _ in fields])
-    stats = sized.agg(
-        F.struct(
-            *[F.count_if(F.col(f"_n{f}") > 0).alias(f"n{f}") for f, _ in fields],
-            *[F.sum(f"_n{f}").alias(f"s{f}") for f, _ in fields],
-        )
-    ).scalar()
-
-    def per_field(prefix: str) -> Column:
-        c = stats.getField(prefix + "0")
-        return F.when(F.col("field") == 1, stats.getField(prefix + "1")).otherwise(c) if title else c
+    toks = spread_small(index.select("id", text, title), "id").select("id", _tokens(F.col(text)).alias("_t0"), _tokens(F.col(title)).alias("_t1"))
 
     def tagged(f: int) -> Column:
-        return F.transform(
-            f"_t{f}", lambda t: F.struct(F.lit(f).alias("field"), t.alias("term"), F.col(f"_n{f}").alias("len"))
-        )
+        n = F.size(f"_t{f}")
+        words = F.transform(F.array(n), lambda k: F.transform(f"_t{f}", lambda t: F.struct(F.lit(f).alias("field"), t.alias("term"), k.alias("len"))))[0]
+        mark = F.array(F.struct(F.lit(f).alias("field"), F.lit("").alias("term"), n.alias("len")))
+        return F.when(n > 0, F.concat(words, mark)).otherwise(F.filter(mark, lambda _: F.lit(False)))
 
-    occurrences = F.flatten(F.array(*[tagged(f) for f, _ in fields]))
+    seen = toks.select("id", F.inline(F.concat(tagged(0), tagged(1))))
+    kept = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    hits = seen.join(kept, "term", "left_semi").groupBy("id", "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return materialize(hits, "postings")
+
+
+def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str = "title") -> DataFrame:
+    """(qid, id, score): best of the text score and three times the title score."""
     wanted = query_terms(queries)
-    seen = sized.select("id", F.inline(occurrences))
-    matched = (
-        seen.join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "field", "term", "len")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    n = per_field("n")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = R.K1 * (1 - R.B + R.B * F.col("len") / (per_field("s") / n))
+    found = postings(index, wanted, text, title)
+    marks, matched = found.filter(F.col("term") == ""), found.filter(F.col("term") != "")
+    fields = marks.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    terms = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(fields, "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = R.K1 * (1 - R.B + R.B * F.col("len") / F.col("avg_len"))
     weight = idf * F.col("tf") * (R.K1 + 1) / (F.col("tf") + norm)
-    per_field_score = (
-        matched.join(df, ["field", "term"])
+    per_field = (
+        matched.join(terms, ["field", "term"])
         .join(wanted, "term")
         .select("qid", "id", "field", (weight * F.col("times")).alias("w"))
         .groupBy("qid", "id")
@@ -117,7 +111,7 @@ def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str
             F.sum(F.when(F.col("field") == 1, F.col("w"))).alias("s1"),
         )
     )
-    return per_field_score.select(
+    return per_field.select(
         "qid",
         "id",
         steady(F.greatest(F.coalesce("s0", F.lit(0.0)), F.lit(R.TITLE_BOOST) * F.coalesce("s1", F.lit(0.0)))).alias("score"),

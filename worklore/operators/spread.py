@@ -1,9 +1,11 @@
-"""Numbering and running sums that no single key can turn into one long task.
+"""Numbering, running sums and look-backs that no hot key turns into one long task.
 
-A window over a key holds all rows of that key in one task.  Here the rows of
-a key are cut by a bucket that follows the order (a day, a range of numbers, a
-hash prefix); each bucket is windowed alone and starts from the sum of those
-before it, which come from a small pre-aggregated table.
+A window over a key holds all rows of that key in one task.  Keys with more
+than ``HOT_ROWS`` rows are counted out first (summed map-side).  If there are
+none, which is the rule, a plain window does it with one shuffle.  The rows of
+a hot key are cut by a bucket that follows the order (a day, a range of
+numbers, a hash prefix); each bucket is windowed alone and goes on from the
+buckets before it, which come from a small pre-aggregated table.
 """
 
 from __future__ import annotations
@@ -11,42 +13,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklore.session import materialize
 
-def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
+HOT_ROWS = 1_000_000
+# A table of hot keys or their buckets is broadcast up to this many rows.
+SMALL_ROWS = 100_000
+
+
+def _marked(df: DataFrame, keys: list[str], bucket: str, hot_rows: int) -> DataFrame | None:
+    """``df`` with ``_b``: the bucket for rows of hot keys, null for the rest;
+    None if no key is hot."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = materialize(counts.select(*keys, F.lit(True).alias("_hot")), "hot")
+    n = hot.limit(SMALL_ROWS + 1).count()
+    if n == 0:
+        return None
+    marks = F.broadcast(hot) if n <= SMALL_ROWS else hot
+    joined = df.join(marks, keys, "left")
+    return joined.withColumn("_b", F.when(F.col("_hot"), F.struct(F.col(bucket).alias("b")))).drop("_hot")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    stored = materialize(table, "buckets")
+    return F.broadcast(stored) if stored.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else stored
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Running sum of ``value`` per key, in order of (bucket, order), this row included."""
     df = df.withColumn("_v", value)
-    totals = df.groupBy(*keys, bucket).agg(F.sum("_v").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = _marked(df, keys, bucket, hot_rows)
+    if marked is None:
+        w = Window.partitionBy(*keys).orderBy(bucket, *order)
+        return df.withColumn(out, F.sum("_v").over(upto(w))).drop("_v")
+    totals = marked.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b").agg(F.sum("_v").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(bucket, *order)
     return (
-        df.join(starts, [*keys, bucket])
-        .withColumn(out, F.col("_start") + F.sum("_v").over(inside))
-        .drop("_v", "_start")
+        marked.join(_small(starts), [*keys, "_b"], "left")
+        .withColumn(out, F.coalesce("_start", F.lit(0)) + F.sum("_v").over(upto(inside)))
+        .drop("_v", "_start", "_b")
     )
 
 
-def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Row number per key in order of (bucket, order)."""
-    return running_sum(df, keys, bucket, order, F.lit(1), out)
+    return running_sum(df, keys, bucket, order, F.lit(1), out, hot_rows)
 
 
-def previous(df: DataFrame, keys: list[str], bucket: str, order: list[str], cols: list[str]) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], bucket: str, order: list[str], cols: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``prev_<col>`` of the row before, per key, across bucket borders."""
+    marked = _marked(df, keys, bucket, hot_rows)
+    if marked is None:
+        w = Window.partitionBy(*keys).orderBy(bucket, *order)
+        return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])
     pack = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_p_{c}") for c in cols])
-    last = df.groupBy(*keys, bucket).agg(F.max(pack).alias("_last"))
-    edge = Window.partitionBy(*keys).orderBy(bucket)
-    carried = last.select(*keys, bucket, F.lag("_last").over(edge).alias("_carry"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    joined = df.join(carried, [*keys, bucket], "left").withColumn("_first", F.row_number().over(inside) == 1)
-    for c in cols:
-        joined = joined.withColumn(
-            f"prev_{c}", F.when(F.col("_first"), F.col(f"_carry._p_{c}")).otherwise(F.lag(c).over(inside))
-        )
-    return joined.drop("_carry", "_first")
-
-
-def count_per(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Rows per key put on every row: counted map-side, then joined."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return df.join(counts, keys, "left")
+    last = marked.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b").agg(F.max(pack).alias("_last"))
+    edge = Window.partitionBy(*keys).orderBy("_b")
+    carried = last.select(*keys, "_b", F.lag("_last").over(edge).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(bucket, *order)
+    rows = marked.join(_small(carried), [*keys, "_b"], "left").withColumn("_first", F.row_number().over(inside) == 1)
+    prev = lambda c: F.when(F.col("_first"), F.col(f"_carry._p_{c}")).otherwise(F.lag(c).over(inside))
+    return rows.select("*", *[prev(c).alias(f"prev_{c}") for c in cols]).drop("_carry", "_first", "_b")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklore.operators.spread import numbered, previous
-from worklore.session import materialize
+from worklore.session import materialize, spread_small
 
 # Fixed values.
 HOME_ZONE = "Asia/Jerusalem"
@@ -172,7 +172,7 @@ def similar(df: DataFrame, threshold: float = 0.8) -> DataFrame:
        shingles: two sets that alike share one of their rarest
        ``n - ceil(t * n) + 1``, so nothing is missed.
     """
-    sets = df.select("id", F.array_sort(shingles(F.col("text"))).alias("s")).withColumn("key", F.sha2(F.to_json("s"), 256))
+    sets = spread_small(df, "id").select("id", F.array_sort(shingles(F.col("text"))).alias("s")).withColumn("key", F.sha2(F.to_json("s"), 256))
     groups = materialize(sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s")), "sets")
 
     def low(seed: int) -> Column:

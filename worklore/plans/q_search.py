@@ -9,6 +9,7 @@ from worklore.operators import search as S
 from worklore.plans import checks as K
 from worklore.plans.registry import query
 from worklore.plans.standins import standin, table
+from worklore.session import materialize
 
 AS_OF = K.AS_OF_MS
 
@@ -23,8 +24,8 @@ def ranked_docs(spark, sf):
 
 
 def index(spark, sf):
-    """Index rows of all documents, as the search reads them."""
-    return (
+    """The index table of all documents: built, written, and read by column."""
+    rows = (
         C.explode_chunks(ranked_docs(spark, sf))
         .withColumn("content", F.col("chunk"))
         .withColumn("original", T.original(F.col("chunk")))
@@ -32,6 +33,7 @@ def index(spark, sf):
         .withColumn("content_hash", T.content_hash(F.col("chunk")))
         .drop("chunk")
     )
+    return materialize(rows, "index")
 
 
 def vectors(spark, sf):

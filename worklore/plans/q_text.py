@@ -7,6 +7,7 @@ from worklore.operators import chunks as C
 from worklore.plans import checks  # noqa: F401  (adds the check views)
 from worklore.plans.registry import query
 from worklore.plans.standins import standin, table
+from worklore.session import spread_small
 
 
 @query(
@@ -32,7 +33,7 @@ def t02(spark, sf):
                lambda x: regexp_matches(x, '{T.NOT_SPACE}')) AS p FROM documents))""",
 )
 def t03(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread_small(table(spark, sf, "documents"), "doc_id")
     return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).select(
         "doc_id", "pos", F.md5("s").alias("sentence_hash")
     )
@@ -40,7 +41,7 @@ def t03(spark, sf):
 
 @query("t04_chunks", "SELECT doc, CAST(coalesce(chunk_index, 0) AS INT) AS pos, md5(chunk) AS chunk_hash, length(chunk) AS n_chars FROM c_chunks")
 def t04(spark, sf):
-    docs = standin(spark, sf, "v_docs")
+    docs = spread_small(standin(spark, sf, "v_docs"), "id")
     return docs.select(F.col("id").alias("doc"), F.posexplode(T.chunks(F.col("content"))).alias("pos", "c")).select(
         "doc", "pos", F.md5("c").alias("chunk_hash"), F.length("c").cast("long").alias("n_chars")
     )
@@ -162,7 +163,7 @@ def t13(spark, sf):
               'PROJ-' || doc_id AS norm_id FROM documents""",
 )
 def t14(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread_small(table(spark, sf, "documents"), "doc_id")
     return docs.select(
         "doc_id",
         F.md5(T.norm_query(F.concat(F.lit("  "), "text", F.lit("\n")))).alias("h"),

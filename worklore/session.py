@@ -55,3 +55,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over all cores before heavy work per row.
+
+    A scan makes one task per row group; a small table in one file would be
+    worked on by one core.  Inputs with a block or more per core have enough
+    tasks and are left as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    block = 128 * 1024 * 1024
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * block:
+        return df
+    return df.repartition(cores, *keys)

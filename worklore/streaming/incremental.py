@@ -18,7 +18,7 @@ from worklore.functions.text import doc_hash
 from worklore.operators.chunks import explode_chunks, with_header
 from worklore.operators.upsert import changed, latest, route
 from worklore.functions.text import content_hash
-from worklore.session import fresh_path
+from worklore.session import fresh_path, spread_small
 
 TEXT_COLS = ["chunk", "indexed", "content_hash"]
 _KEYS = ["id", "route", "batch", "part"]
@@ -41,7 +41,7 @@ class IncrementalJob:
 
     def land(self, docs: DataFrame) -> None:
         """Put a page of normalised documents where the stream finds it."""
-        docs.write.mode("append").parquet(f"{self.base}/landing")
+        spread_small(docs, "id").write.mode("append").parquet(f"{self.base}/landing")
         self.schema = docs.schema
 
     def _before(self, name: str, batch: int) -> DataFrame | None:
