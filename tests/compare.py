@@ -12,11 +12,16 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+NAMES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
 def cell(value):
     if value is None or value != value:
         return None
     if isinstance(value, bool):
         return value
+    if os.environ.get("EXACT") and isinstance(value, float):
+        return repr(value + 0.0)
     if isinstance(value, (float, decimal.Decimal)):
         return f"{float(value):.6f}".replace("-0.000000", "0.000000")
     if isinstance(value, int):
@@ -50,12 +55,17 @@ def compare(spark, con, sf_dir, name):
 
     build, sql = entry.queries()[name], entry.oracle_sql().get(name)
     df = build(spark, sf_dir)
+    types = dict(df.dtypes)
     got_cols, got = rows(df.columns, df.collect())
     if sql is None:
         return sum(got.values()) > 0, f"rows only: {sum(got.values())}"
     cur = con.execute(sql)
     want_cols, want = rows([d[0] for d in cur.description], cur.fetchall())
     n = sum(want.values())
+    for d in cur.description or []:
+        kind = NAMES.get(str(d[1]), str(d[1]))
+        if types.get(d[0]) not in (kind, None) and os.environ.get("EXACT"):
+            print("\n## type", name, d[0], types.get(d[0]), kind)
     if got_cols != want_cols:
         return False, f"columns {got_cols} against {want_cols}"
     if got != want:

@@ -24,13 +24,13 @@ TOKEN = r"[\p{L}\p{N}]+"
 DEFAULT_LIMIT = 20
 BY_METADATA_LIMIT = 50
 QUERY_BLOCK = 1024
-# Sums over a shuffle come in any order; scores are held to this many digits so
+# Sums over a shuffle come in any order.  Scores are held on a grid of 2**-30, so
 # that equal scores stay equal on every run and ties fall to the id.
-DIGITS = 9
+GRID = 2**30
 
 
 def steady(score: Column) -> Column:
-    return F.round(score, DIGITS)
+    return F.floor(score * GRID + 0.5) / F.lit(float(GRID))
 
 
 # -- filters -------------------------------------------------------------------
@@ -77,15 +77,14 @@ def postings(index: DataFrame, terms: DataFrame, text: str, title: str) -> DataF
     The empty term stands once for each field that has any words, so that the
     field statistics come out of the same pass.  Written once, read three times.
     """
-    toks = spread_small(index.select("id", text, title), "id").select("id", _tokens(F.col(text)).alias("_t0"), _tokens(F.col(title)).alias("_t1"))
+    rows = spread_small(index.select("id", text, title), "id")
 
-    def tagged(f: int) -> Column:
-        n = F.size(f"_t{f}")
-        words = F.transform(F.array(n), lambda k: F.transform(f"_t{f}", lambda t: F.struct(F.lit(f).alias("field"), t.alias("term"), k.alias("len"))))[0]
-        mark = F.array(F.struct(F.lit(f).alias("field"), F.lit("").alias("term"), n.alias("len")))
-        return F.when(n > 0, F.concat(words, mark)).otherwise(F.filter(mark, lambda _: F.lit(False)))
+    def words(f: int, col: str) -> DataFrame:
+        toks = rows.select("id", _tokens(F.col(col)).alias("_t")).filter(F.size("_t") > 0)
+        marked = F.concat("_t", F.array(F.lit("")))
+        return toks.select("id", F.lit(f).alias("field"), F.size("_t").alias("len"), F.explode(marked).alias("term"))
 
-    seen = toks.select("id", F.inline(F.concat(tagged(0), tagged(1))))
+    seen = words(0, text).unionByName(words(1, title))
     kept = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     hits = seen.join(kept, "term", "left_semi").groupBy("id", "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     return materialize(hits, "postings")
@@ -93,7 +92,8 @@ def postings(index: DataFrame, terms: DataFrame, text: str, title: str) -> DataF
 
 def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str = "title") -> DataFrame:
     """(qid, id, score): best of the text score and three times the title score."""
-    wanted = query_terms(queries)
+    # written first: Spark then knows its size, and broadcasts it if it is small
+    wanted = materialize(query_terms(queries), "terms")
     found = postings(index, wanted, text, title)
     marks, matched = found.filter(F.col("term") == ""), found.filter(F.col("term") != "")
     fields = marks.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
@@ -144,7 +144,7 @@ def _score_block(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id_
             ids, rows = batch["id"].to_numpy()[size > 0], rows[size > 0] / size[size > 0, None]
             if not len(ids):
                 continue
-            sims = np.round((1.0 + unit @ rows.T) / 2.0, DIGITS)
+            sims = np.floor((1.0 + unit @ rows.T) / 2.0 * GRID + 0.5) / GRID
             for q, sim in zip(qids, sims):
                 # every tie at the cut goes on; the final cut orders them by id
                 floor = np.partition(sim, -k)[-k] if len(sim) > k else -1.0

@@ -57,7 +57,7 @@ dfs AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
 by_field AS (SELECT q.qid, tf.id, tf.field, sum(q.times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2
                  / (tf.tf + 1.2 * (0.25 + 0.75 * tf.len / avg_len))) AS s
              FROM tf JOIN dfs USING (field, term) JOIN fstats USING (field) JOIN qterms q ON q.term = tf.term GROUP BY ALL),
-scored AS (SELECT qid, id, round(greatest(coalesce(sum(s) FILTER (field = 0), 0), 3 * coalesce(sum(s) FILTER (field = 1), 0)), 9) AS score
+scored AS (SELECT qid, id, (floor((greatest(coalesce(sum(s) FILTER (field = 0), 0), 3 * coalesce(sum(s) FILTER (field = 1), 0))) * 1073741824 + 0.5) / 1073741824) AS score
            FROM by_field GROUP BY qid, id)"""
 
 
@@ -71,7 +71,7 @@ centres AS (SELECT topic, list(m ORDER BY pos) AS q FROM (
     SELECT topic, pos, avg(x) AS m FROM (
       SELECT topic, generate_subscripts(embedding, 1) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM v_vectors)
     GROUP BY topic, pos) GROUP BY topic),
-near_all AS (SELECT c.topic AS qtopic, v.id, round((1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.q)) / 2, 9) AS score
+near_all AS (SELECT c.topic AS qtopic, v.id, (floor(((1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.q)) / 2) * 1073741824 + 0.5) / 1073741824) AS score
              FROM v_vectors v, centres c),
 near AS (SELECT * FROM near_all QUALIFY row_number() OVER (PARTITION BY qtopic ORDER BY score DESC, id) <= 200)"""
 PERSONAL_SQL = f"""
@@ -92,8 +92,8 @@ def pipeline_sql(hits: str, limit: int, offset: int = 0) -> str:
 page AS (SELECT * FROM {hits} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {fetch}),
 joined AS (SELECT p.qid, p.score, i.*, count(*) OVER (PARTITION BY qid, coalesce(parent_doc_id, i.id)) AS n_chunks
            FROM page p JOIN c_index i ON p.id = i.id),
-best AS (SELECT * REPLACE (round(CASE WHEN n_chunks > 1 THEN score * (1 + least(0.05 * ln(n_chunks), 0.15)) ELSE score END, 9) AS score)
+best AS (SELECT * REPLACE ((floor((CASE WHEN n_chunks > 1 THEN score * (1 + least(0.05 * ln(n_chunks), 0.15)) ELSE score END) * 1073741824 + 0.5) / 1073741824) AS score)
          FROM joined QUALIFY row_number() OVER (PARTITION BY qid, coalesce(parent_doc_id, id) ORDER BY joined.score DESC, id) = 1),
-personal AS (SELECT qid, id, source, n_chunks, updated_at, other_at, round(score * {PERSONAL_SQL}, 9) AS score FROM best),
+personal AS (SELECT qid, id, source, n_chunks, updated_at, other_at, (floor((score * {PERSONAL_SQL}) * 1073741824 + 0.5) / 1073741824) AS score FROM best),
 final_page AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position,
                count(*) OVER (PARTITION BY qid) AS total FROM personal)"""

@@ -55,7 +55,7 @@ def f02(spark, sf):
 
 @query(
     "f03_email_score",
-    """SELECT id, round(least(1.0, 0.5 + CASE WHEN is_internal THEN 0.2 ELSE 0 END + CASE WHEN recipient_count <= 3 THEN 0.15 ELSE 0 END
+    """SELECT id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN is_internal THEN 0.2 ELSE 0 END + CASE WHEN recipient_count <= 3 THEN 0.15 ELSE 0 END
               + CASE WHEN thread_depth > 1 THEN 0.1 ELSE 0 END), 6) AS score FROM c_mail_features""",
 )
 def f03(spark, sf):
@@ -82,7 +82,7 @@ def f04(spark, sf):
 
 @query(
     "f05_chat_score",
-    """SELECT id, round(least(1.0, 0.5 + CASE channel_type WHEN 'dm' THEN 0.3 WHEN 'private' THEN 0.15 WHEN 'mpim' THEN 0.2 ELSE 0 END
+    """SELECT id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE channel_type WHEN 'dm' THEN 0.3 WHEN 'private' THEN 0.15 WHEN 'mpim' THEN 0.2 ELSE 0 END
               + CASE WHEN mention_count > 0 THEN 0.1 ELSE 0 END + CASE WHEN in_thread THEN 0.05 ELSE 0 END), 6) AS score FROM c_chat_features""",
 )
 def f05(spark, sf):
@@ -123,7 +123,7 @@ def f08(spark, sf):
 
 @query(
     "f09_issue_score",
-    """SELECT issue_key AS id, round(least(1.0, 0.3 + CASE WHEN assignee = 'Customer#000000007' THEN 0.3 ELSE 0 END
+    """SELECT issue_key AS id, round(least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN assignee = 'Customer#000000007' THEN 0.3 ELSE 0 END
          + 0.06 * CASE priority WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END
          + CASE WHEN days < 7 THEN 0.15 WHEN days < 30 THEN 0.05 ELSE 0 END), 6) AS score FROM c_issue_days""",
 )
@@ -140,7 +140,7 @@ def days_sql(col):
 
 @query(
     "f10_file_score",
-    f"""SELECT file_id AS id, round(0.4 + CASE WHEN owner = 'Owner 3' THEN 0.2 ELSE 0 END
+    f"""SELECT file_id AS id, round(0.4::DOUBLE + CASE WHEN owner = 'Owner 3' THEN 0.2 ELSE 0 END
           + CASE WHEN {days_sql('modified_at')} < 7 THEN 0.2 WHEN {days_sql('modified_at')} < 30 THEN 0.1 ELSE 0 END, 6) AS score FROM v_files""",
 )
 def f10(spark, sf):
@@ -151,7 +151,7 @@ def f10(spark, sf):
 
 @query(
     "f11_page_score",
-    f"""SELECT page_id, round(0.4 + CASE WHEN n_labels > 0 THEN 0.15 ELSE 0 END + CASE WHEN n_ancestors <= 2 THEN 0.1 ELSE 0 END
+    f"""SELECT page_id, round(0.4::DOUBLE + CASE WHEN n_labels > 0 THEN 0.15 ELSE 0 END + CASE WHEN n_ancestors <= 2 THEN 0.1 ELSE 0 END
           + CASE WHEN {days_sql('coalesce(updated_at, created_at)')} < 7 THEN 0.2 WHEN {days_sql('coalesce(updated_at, created_at)')} < 30 THEN 0.1 ELSE 0 END, 6) AS score FROM v_wiki""",
 )
 def f11(spark, sf):
@@ -166,7 +166,7 @@ HOURS = f"((epoch_ms(start_at) - epoch_ms(TIMESTAMP '{MEETING_AS_OF}')) / 360000
 
 @query(
     "f12_meeting_score",
-    f"""SELECT meeting_id AS id, round(least(1.0, 0.5 + CASE WHEN organizer = 'user7@corp.example' THEN 0.2 ELSE 0 END + CASE WHEN n_attendees <= 5 THEN 0.1 ELSE 0 END
+    f"""SELECT meeting_id AS id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN organizer = 'user7@corp.example' THEN 0.2 ELSE 0 END + CASE WHEN n_attendees <= 5 THEN 0.1 ELSE 0 END
           + CASE WHEN {HOURS} >= 0 AND {HOURS} <= 24 THEN 0.2 WHEN {HOURS} >= 0 AND {HOURS} <= 168 THEN 0.1 ELSE 0 END), 6) AS score FROM v_meetings""",
 )
 def f12(spark, sf):
@@ -183,19 +183,19 @@ def scored_docs(spark, sf, as_of=DOCS_AS_OF):
 
 @query(
     "f13_add_relevance",
-    f"""SELECT 'gmail' AS source, id, round(least(1.0, 0.5 + CASE WHEN is_internal THEN 0.2 ELSE 0 END + CASE WHEN recipient_count <= 3 THEN 0.15 ELSE 0 END
+    f"""SELECT 'gmail' AS source, id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN is_internal THEN 0.2 ELSE 0 END + CASE WHEN recipient_count <= 3 THEN 0.15 ELSE 0 END
               + CASE WHEN n > 1 THEN 0.1 ELSE 0 END), 6) AS score
        FROM (SELECT *, count(*) OVER (PARTITION BY split_part(id, '_', 2)) AS n FROM c_mail_features)
        UNION ALL
-       SELECT 'slack', id, round(0.5 + CASE WHEN channel LIKE 'DM%' THEN 0.3 ELSE 0 END + CASE WHEN n1 IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN thread_ts IS NOT NULL THEN 0.05 ELSE 0 END, 6)
+       SELECT 'slack', id, round(0.5::DOUBLE + CASE WHEN channel LIKE 'DM%' THEN 0.3 ELSE 0 END + CASE WHEN n1 IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN thread_ts IS NOT NULL THEN 0.05 ELSE 0 END, 6)
        FROM (SELECT *, 'slack_' || channel_id || '_' || ts AS id FROM c_msg)
        UNION ALL
-       SELECT 'drive', 'drive_' || file_id, round(0.4 + CASE WHEN {days_sql('modified_at')} < 7 THEN 0.2 WHEN {days_sql('modified_at')} < 30 THEN 0.1 ELSE 0 END, 6) FROM v_files
+       SELECT 'drive', 'drive_' || file_id, round(0.4::DOUBLE + CASE WHEN {days_sql('modified_at')} < 7 THEN 0.2 WHEN {days_sql('modified_at')} < 30 THEN 0.1 ELSE 0 END, 6) FROM v_files
        UNION ALL
-       SELECT 'confluence', 'confluence_' || page_id, round(0.4 + CASE WHEN n_labels > 0 THEN 0.15 ELSE 0 END + CASE WHEN n_ancestors <= 2 THEN 0.1 ELSE 0 END
+       SELECT 'confluence', 'confluence_' || page_id, round(0.4::DOUBLE + CASE WHEN n_labels > 0 THEN 0.15 ELSE 0 END + CASE WHEN n_ancestors <= 2 THEN 0.1 ELSE 0 END
           + CASE WHEN {days_sql('coalesce(updated_at, created_at)')} < 7 THEN 0.2 WHEN {days_sql('coalesce(updated_at, created_at)')} < 30 THEN 0.1 ELSE 0 END, 6) FROM v_wiki WHERE page_type <> 'attachment'
        UNION ALL
-       SELECT 'jira', issue_key, round(0.3 + CASE WHEN assignee = 'Customer#000000007' THEN 0.3 ELSE 0 END
+       SELECT 'jira', issue_key, round(0.3::DOUBLE + CASE WHEN assignee = 'Customer#000000007' THEN 0.3 ELSE 0 END
          + 0.06 * CASE priority WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END, 6) FROM v_issues""",
 )
 def f13(spark, sf):

@@ -66,9 +66,9 @@ def q01(spark, sf):
     return out.select("id", "source", "lang", "created_ms")
 
 
-@query("q02_bm25", f"WITH {K.bm25_sql('v_docs', 'content')} SELECT qid, id, score FROM scored")
+@query("q02_bm25", f"WITH {K.bm25_sql('v_docs', 'content')} SELECT qid, id, round(score, 6) AS score FROM scored")
 def q02(spark, sf):
-    return S.bm25(standin(spark, sf, "v_docs"), standin(spark, sf, "v_queries")).select("qid", "id", "score")
+    return S.bm25(standin(spark, sf, "v_docs"), standin(spark, sf, "v_queries")).select("qid", "id", r6(F.col("score")).alias("score"))
 
 
 @query("q03_decay", f"SELECT id, round({K.DECAY_SQL}, 6) AS factor FROM (SELECT id, epoch_ms(updated_at) AS updated_ms FROM v_docs)")
@@ -78,25 +78,25 @@ def q03(spark, sf):
 
 @query(
     "q04_knn",
-    f"WITH {K.KNN_SQL} SELECT CAST(qtopic AS INT) AS qid, id, score FROM near",
+    f"WITH {K.KNN_SQL} SELECT CAST(qtopic AS INT) AS qid, id, round(score, 6) AS score FROM near",
 )
 def q04(spark, sf):
     qv = topic_vectors(spark, sf).select(F.col("topic").alias("qid"), "embedding")
-    return S.knn(vectors(spark, sf), qv).select("qid", "id", "score")
+    return S.knn(vectors(spark, sf), qv).select("qid", "id", r6(F.col("score")).alias("score"))
 
 
 @query(
     "q05_hybrid",
     f"""WITH {K.bm25_sql('v_docs', 'content')}, {K.KNN_SQL},
-        merged AS (SELECT s.qid, s.id, round(s.score * {K.DECAY_SQL}, 9) AS score FROM scored s
+        merged AS (SELECT s.qid, s.id, (floor((s.score * {K.DECAY_SQL}) * 1073741824 + 0.5) / 1073741824) AS score FROM scored s
                    JOIN (SELECT id, epoch_ms(updated_at) AS updated_ms FROM v_docs) d ON s.id = d.id
                  UNION ALL SELECT q.qid, n.id, n.score FROM near n JOIN v_queries q ON q.topic = n.qtopic)
-        SELECT qid, id, round(sum(score), 9) AS score FROM merged GROUP BY qid, id""",
+        SELECT qid, id, round((floor((sum(score)) * 1073741824 + 0.5) / 1073741824), 6) AS score FROM merged GROUP BY qid, id""",
 )
 def q05(spark, sf):
     docs = ranked_docs(spark, sf)
     kw = S.decayed(S.bm25(docs, standin(spark, sf, "v_queries")).join(docs.select("id", "updated_ms"), "id"), AS_OF)
-    return S.hybrid(kw, S.knn(vectors(spark, sf), query_vectors(spark, sf))).select("qid", "id", "score")
+    return S.hybrid(kw, S.knn(vectors(spark, sf), query_vectors(spark, sf))).select("qid", "id", r6(F.col("score")).alias("score"))
 
 
 CHUNK_HITS = f"{K.bm25_sql('c_index', 'chunk')}"
@@ -111,21 +111,21 @@ def chunk_hits(spark, sf):
 
 @query(
     "q06_best_chunk",
-    f"""WITH {CHUNK_HITS}, {JOINED} SELECT qid, id, parent_doc_id, score FROM joined
+    f"""WITH {CHUNK_HITS}, {JOINED} SELECT qid, id, parent_doc_id, round(score, 6) AS score FROM joined
         QUALIFY row_number() OVER (PARTITION BY qid, coalesce(parent_doc_id, id) ORDER BY score DESC, id) = 1""",
 )
 def q06(spark, sf):
-    return S.best_chunk(chunk_hits(spark, sf)).select("qid", "id", "parent_doc_id", "score")
+    return S.best_chunk(chunk_hits(spark, sf)).select("qid", "id", "parent_doc_id", r6(F.col("score")).alias("score"))
 
 
 @query(
     "q07_boost",
     f"""WITH {CHUNK_HITS}, {JOINED} SELECT qid, id, n_chunks,
-            round(CASE WHEN n_chunks > 1 THEN score * (1 + least(0.05 * ln(n_chunks), 0.15)) ELSE score END, 9) AS score FROM joined
+            round(floor((CASE WHEN n_chunks > 1 THEN score * (1 + least(0.05 * ln(n_chunks), 0.15)) ELSE score END) * 1073741824 + 0.5) / 1073741824, 6) AS score FROM joined
         QUALIFY row_number() OVER (PARTITION BY qid, coalesce(parent_doc_id, id) ORDER BY joined.score DESC, id) = 1""",
 )
 def q07(spark, sf):
-    return S.boosted(S.best_chunk(chunk_hits(spark, sf))).select("qid", "id", "n_chunks", "score")
+    return S.boosted(S.best_chunk(chunk_hits(spark, sf))).select("qid", "id", "n_chunks", r6(F.col("score")).alias("score"))
 
 
 def given_scores(hits, keep_all=True):
@@ -140,13 +140,13 @@ def given_scores(hits, keep_all=True):
                      CAST('0x' || substring(md5(id), 1, 6) AS BIGINT) / 16777216.0 AS given FROM hits),
         top AS (SELECT qid, id, given AS score, row_number() OVER (PARTITION BY qid ORDER BY given DESC, rk) AS position
                 FROM r WHERE rk <= 120 QUALIFY position <= 20)
-        SELECT qid, id, score, position FROM top
-        UNION ALL SELECT qid, id, score, rk FROM r WHERE rk > 120""",
+        SELECT qid, id, round(score, 6) AS score, position FROM top
+        UNION ALL SELECT qid, id, round(score, 6), rk FROM r WHERE rk > 120""",
 )
 def q08(spark, sf):
     hits = S.knn(vectors(spark, sf), query_vectors(spark, sf)).drop("rank")
     out = S.rescored(hits, given_scores(hits), keep=20, n=120)
-    return out.select("qid", "id", "score", F.col("position").cast("long").alias("position"))
+    return out.select("qid", "id", r6(F.col("score")).alias("score"), F.col("position").cast("long").alias("position"))
 
 
 @query(
@@ -176,24 +176,24 @@ def q10(spark, sf):
 
 @query(
     "q11_personalised",
-    f"SELECT id, round((1 + label_count) * {K.PERSONAL_SQL}, 9) AS score FROM v_ranked_docs",
+    f"SELECT id, round(floor(((1 + label_count) * {K.PERSONAL_SQL}) * 1073741824 + 0.5) / 1073741824, 6) AS score FROM v_ranked_docs",
 )
 def q11(spark, sf):
     hits = ranked_docs(spark, sf).withColumn("score", (1 + F.col("label_count")).cast("double"))
-    return S.personalize(hits, AS_OF).select("id", "score")
+    return S.personalize(hits, AS_OF).select("id", r6(F.col("score")).alias("score"))
 
 
-FINAL = "SELECT qid, id, source, n_chunks, score, position, total FROM final_page"
+FINAL = "SELECT qid, id, source, n_chunks, round(score, 6) AS score, position, total FROM final_page"
 
 
 def page_of(df):
     long = lambda c: F.col(c).cast("long").alias(c)
-    return df.select("qid", "id", "source", "n_chunks", "score", long("position"), long("total"))
+    return df.select("qid", "id", "source", "n_chunks", r6(F.col("score")).alias("score"), long("position"), long("total"))
 
 
 @query(
     "q12_search_keyword",
-    f"""WITH {CHUNK_HITS}, kw AS (SELECT s.qid, s.id, round(s.score * {K.DECAY_SQL}, 9) AS score FROM scored s JOIN c_index i ON s.id = i.id),
+    f"""WITH {CHUNK_HITS}, kw AS (SELECT s.qid, s.id, (floor((s.score * {K.DECAY_SQL}) * 1073741824 + 0.5) / 1073741824) AS score FROM scored s JOIN c_index i ON s.id = i.id),
         {K.pipeline_sql('kw', 20, 5)} {FINAL} WHERE position > 5 AND position <= 25""",
 )
 def q12_keyword(spark, sf):
@@ -213,8 +213,8 @@ def q12_vector(spark, sf):
 @query(
     "q12_search_hybrid",
     f"""WITH {CHUNK_HITS}, {K.KNN_SQL.replace("FROM v_vectors v, centres c", "FROM v_vectors v, centres c WHERE v.id IN (SELECT id FROM c_index WHERE source IN ('jira', 'gmail', 'calendar'))")},
-        summed AS (SELECT qid, id, round(sum(score), 9) AS score FROM (
-            SELECT s.qid, s.id, round(s.score * {K.DECAY_SQL}, 9) AS score FROM scored s JOIN c_index i ON s.id = i.id
+        summed AS (SELECT qid, id, (floor((sum(score)) * 1073741824 + 0.5) / 1073741824) AS score FROM (
+            SELECT s.qid, s.id, (floor((s.score * {K.DECAY_SQL}) * 1073741824 + 0.5) / 1073741824) AS score FROM scored s JOIN c_index i ON s.id = i.id
             UNION ALL SELECT q.qid, n.id, n.score FROM near n JOIN v_queries q ON q.topic = n.qtopic) GROUP BY qid, id),
         {K.pipeline_sql('summed', 10)} {FINAL} WHERE position <= 10""".replace("FROM c_index UNION ALL", "FROM c_index WHERE source IN ('jira', 'gmail', 'calendar') UNION ALL")
     .replace("AS t FROM c_index\n", "AS t FROM c_index WHERE source IN ('jira', 'gmail', 'calendar')\n")

@@ -7,7 +7,7 @@ from worklore.functions.text import epoch_ms
 from worklore.plans import raw as R
 from worklore.plans.registry import query
 from worklore.plans.standins import CHECK_VIEWS, standin, table
-from worklore.session import fresh_path
+from worklore.session import fresh_path, spread_small
 from worklore.sources import chat, documents, files, issues, landing, mail, meetings, wiki
 
 c = F.col
@@ -402,7 +402,7 @@ def html_sql(col):
 
 @query("s30_html_to_text", f"SELECT page_id, {html_sql('html')} AS text FROM pages")
 def s30(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html_to_text(c("html")).alias("text"))
+    return spread_small(table(spark, sf, "pages"), "page_id").select("page_id", html_to_text(c("html")).alias("text"))
 
 
 @query(

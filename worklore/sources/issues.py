@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklore.functions.html import html_to_text
 from worklore.functions.text import first_set
+from worklore.session import spread_small
 
 
 def sprint(arr: Column) -> Column:
@@ -53,6 +54,7 @@ def issue_content(raw: DataFrame) -> Column:
 
 
 def issues(raw: DataFrame, base_url: str = "") -> DataFrame:
+    raw = spread_small(raw, "key")
     f = raw["fields"]
     edges = links(f["issuelinks"])
     return raw.select(
@@ -84,6 +86,7 @@ def link_edges(raw: DataFrame) -> DataFrame:
 
 def issue_comments(raw: DataFrame, base_url: str = "") -> DataFrame:
     """Each comment as its own document under its issue."""
+    raw = spread_small(raw, "key")
     rows = raw.select(
         "key", raw["fields.project.key"].alias("project"), raw["renderedFields.comment.comments"].alias("_r"),
         F.posexplode("fields.comment.comments").alias("_i", "c"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklore.functions.html import html_to_text
 from worklore.functions.text import blank, first_set, trim_all
+from worklore.session import spread_small
 
 
 def header(headers: Column, name: str) -> Column:
@@ -65,6 +66,7 @@ def mail_date(line: Column) -> Column:
 
 def emails(raw: DataFrame) -> DataFrame:
     """Messages to documents; those with neither subject nor body are dropped."""
+    raw = spread_small(raw, "id")
     h = raw["payload.headers"]
     rows = raw.select(
         "id", "threadId", "labelIds",

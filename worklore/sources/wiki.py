@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklore.functions.html import html_to_text
 from worklore.functions.text import blank, first_set
+from worklore.session import spread_small
 
 PAGE_TYPES = ["page", "blogpost"]
 
@@ -16,6 +17,7 @@ def _strings(col):
 
 
 def wiki_pages(raw: DataFrame, base_url: str = "") -> DataFrame:
+    raw = spread_small(raw, "id")
     h = raw["history"]
     author = h["createdBy"]["displayName"]
     content = F.concat(
