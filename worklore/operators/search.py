@@ -335,14 +335,22 @@ def type_source(df: DataFrame, type_col: str = "type") -> DataFrame:
 
 
 def navigate(items: DataFrame, wanted: DataFrame, direction: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Children by parent, or siblings in the same thread, of the wanted ids."""
+    """Children by parent, or siblings in the same thread, of the wanted ids.
+
+    A group is cut to its first rows before the join: one more than asked for,
+    as an item is not its own sibling.  So no thread is paired with itself.
+    """
+    group = "parent_id" if direction == "children" else "thread"
+    ids = wanted.select("id").distinct()
     if direction == "children":
-        pairs = items.join(wanted.select(F.col("id").alias("of_id")), F.col("parent_id") == F.col("of_id"))
+        home = ids.select(F.col("id").alias("of_id"), F.col("id").alias(group))
     else:
-        home = items.join(wanted.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("of_id"), F.col("thread").alias("_t"))
-        pairs = items.join(home, F.col("thread") == F.col("_t")).filter(F.col("id") != F.col("of_id")).drop("_t")
-    w = Window.partitionBy("of_id").orderBy("sort_key", "id")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+        home = items.join(ids, "id", "left_semi").select(F.col("id").alias("of_id"), group)
+    first = Window.partitionBy(group).orderBy("sort_key", "id")
+    head = items.filter(F.col(group).isNotNull()).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit + 1)
+    pairs = head.join(home, group).filter(F.col("id") != F.col("of_id"))
+    w = Window.partitionBy("of_id").orderBy("_rn")
+    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("_rn")
 
 
 def deep_dive(hits: DataFrame, templates: DataFrame) -> DataFrame:
