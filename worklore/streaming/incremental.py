@@ -37,7 +37,6 @@ class IncrementalJob:
     base: str
     hash_of: list[str]
     score: Callable[[DataFrame], DataFrame] = field(default=lambda docs: docs)
-    landed: int = 0
 
     def land(self, docs: DataFrame) -> None:
         """Put a page of normalised documents where the stream finds it."""
