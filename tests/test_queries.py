@@ -1,22 +1,21 @@
-"""Every registered query against its check SQL on the smallest tables."""
+"""Every query of the main catalog against its check SQL on the smallest tables."""
 
 import compare
 import pytest
 
 import __spark_entry__ as entry
+from worklore.plans.catalog import CHECKS, QUERIES
 
-CHECKS = entry.oracle_sql()
 
-
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     ok, message = compare.compare(spark, con, sf_dir, name)
     assert ok or message == "rows 0", message
 
 
 def test_nearly_all_checked():
-    assert set(CHECKS) <= set(entry.queries())
-    assert sorted(set(entry.queries()) - set(CHECKS)) == ["t05_file_chunks", "t06_code_chunks"]
+    assert set(CHECKS) <= set(QUERIES) <= set(entry.queries())
+    assert sorted(set(QUERIES) - set(CHECKS)) == ["t05_file_chunks", "t06_code_chunks"]
 
 
 def test_entry(spark):
