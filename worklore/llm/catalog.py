@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklore.llm import decontam
+from worklore.llm import decontam, secrets
 from worklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN counts ON id = counts.doc_id LEFT JOIN met ON id = met.doc_id WHERE kind = 'd'
 """
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; SQL has no match positions, the tests compare with plain regexes."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
