@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklore.llm import decontam, secrets
+from worklore.llm import decontam, mih, quality, secrets, warc
 from worklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,34 @@ FROM split LEFT JOIN counts ON id = counts.doc_id LEFT JOIN met ON id = met.doc_
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; SQL has no match positions, the tests compare with plain regexes."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours; the tests hold recall and scores against brute force."""
+    return mih.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive of all pages with revisit records, read back."""
+    return warc.archive(table(spark, sf_dir, "pages")).drop("intact")
+
+
+CHECKS["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; the tests hold out-of-fold accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
