@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklore.llm import decontam
+from worklore.llm import decontam, toxicity
 from worklore.llm.common import materialize, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the model, fitted on the labelled ones among them, calls toxic."""
+    return toxicity.remove_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any that hold a benchmark window."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+STAGES = [("toxicity", drop_toxic), ("benchmark decontamination", decontaminate)]
 
 #: The learned first stage and the tokenizer have no SQL form; the tests hold the rows against brute force.
 ORACLE_SQL = None
