@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklore.llm import decontam, langid, mih, quality, secrets, toxicity, warc
+from worklore.llm import decontam, jaccard, langid, mih, quality, secrets, toxicity, warc
 from worklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,32 @@ FROM p JOIN f USING (h)
 """
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle sets and components of all documents."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op6_jaccard_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM split WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS start, doc_id AS here FROM split UNION SELECT start, y FROM reach JOIN both_ways ON x = here
+)
+SELECT split.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM split LEFT JOIN sizes USING (doc_id) JOIN (SELECT start AS doc_id, min(here) AS component_id FROM reach GROUP BY start) USING (doc_id)
+"""
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; the tests hold out-of-fold accuracy."""

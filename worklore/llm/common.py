@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklore.session import materialize, prepare
 
-__all__ = ["fold", "keyed_docs", "materialize", "sampled", "spread", "table", "text_key"]
+__all__ = ["fold", "free_name", "keyed_docs", "materialize", "sampled", "spread", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
 
 
+def free_name(df: DataFrame, base: str = "_row") -> str:
+    """A column name the table does not have."""
+    while base.lower() in {c.lower() for c in df.columns}:
+        base += "_"
+    return base
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows out over the session's shuffle partitions, by keys if given."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
