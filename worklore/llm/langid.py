@@ -34,6 +34,8 @@ from worklore.llm.common import fold, sampled
 SAMPLE = 600
 WINDOW, WINDOWS, EPOCHS, RATE = 48, 6000, 3, 0.4
 BITS = 17
+#: Parts of the sample that are trained on side by side; their models are averaged bucket by bucket in Spark.
+WORKERS = 4
 CACHE_WORDS = 500_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Letters: A-Z, a-z and every byte of a longer character.
@@ -276,22 +278,24 @@ def fit(docs: DataFrame, bound: int = SAMPLE, parts: int = 4, held_out: int = 2)
     picked = sampled(rows, F.col("doc_id"), bound, F.col("lang"))
     number = F.element_at(F.create_map(*[F.lit(x) for pair in zip(languages, range(len(languages))) for x in pair]), F.col("lang"))
     picked = picked.select("doc_id", "text", number.cast("int").alias("y"))
-    workers = 4
 
-    def work(batches):
-        texts, ys = [], []
-        for batch in batches:
-            texts.append(batch.column(0))
-            ys.append(batch.column(1))
-        if texts:
-            text, y = pa.chunked_array(texts).combine_chunks(), np.asarray(pa.chunked_array(ys).combine_chunks())
-            w, step, begin = train(text, y, len(languages))
-            yield pa.RecordBatch.from_arrays([pa.array([m.astype(np.float32).tobytes()]) for m in (w, step, begin)], names=["w", "s", "b"])
-
-    dealt = picked.repartition(workers, F.xxhash64("doc_id", F.lit(5))).sortWithinPartitions("doc_id", F.xxhash64("text")).select("text", "y")
-    found = dealt.mapInArrow(work, "w binary, s binary, b binary").collect()
-    mean = lambda name: np.mean([np.frombuffer(r[name], np.float32) for r in found], axis=0)
-    return Model(languages, mean("w").reshape(-1, len(languages)), mean("s").reshape(len(languages), -1), mean("b"))
+    def work(key, found):
+        found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        w, step, begin = train(found["text"].combine_chunks(), found["y"].to_numpy(), len(languages))
+        used = np.flatnonzero(np.abs(w).sum(1))
+        # Transitions and start scores follow the weights as rows of their own.
+        at = np.concatenate([used, (1 << BITS) + np.arange(len(languages) + 1)])
+        rows = np.concatenate([w[used], step, begin[None]])
+        return pa.table({"at": at, "v": pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel().astype(np.float32)), len(languages)).cast(pa.list_(pa.float32()))})
+
+    parts_of = picked.withColumn("worker", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(WORKERS)))
+    each = parts_of.groupBy("worker").applyInArrow(work, "at long, v array<float>")
+    workers = picked.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(WORKERS))).distinct().count()
+    mean = each.groupBy("at").agg(*[(F.sum(F.col("v")[c]) / workers).alias(f"v{c}") for c in range(len(languages))]).toArrow()
+    size = (1 << BITS) + len(languages) + 1
+    rows = np.zeros((size, len(languages)))
+    rows[mean["at"].to_numpy()] = np.stack([mean[f"v{c}"].to_numpy() for c in range(len(languages))], 1)
+    return Model(languages, rows[: 1 << BITS].astype(np.float32), rows[1 << BITS : -1], rows[-1])
 
 
 def identify(docs: DataFrame, model: Model, parts: int = 4, held_out: int = 2) -> DataFrame:

@@ -117,20 +117,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     workers = min(8, max(1, total // 2500))
 
-    def work(batches):
-        texts, ys = [], []
-        for batch in batches:
-            texts.append(batch.column(0))
-            ys.append(batch.column(1))
-        if texts:
-            text, y = pa.chunked_array(texts).combine_chunks(), pa.chunked_array(ys).combine_chunks()
-            weights = train(text, np.asarray(y), seed=0).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([len(y)], pa.int64())], names=["w", "n"])
-
-    dealt = rows.select("text", "y", "doc_id").repartition(workers, F.xxhash64("doc_id", F.lit(5))).sortWithinPartitions("doc_id", "y", F.xxhash64("text")).select("text", "y")
-    parts = dealt.mapInArrow(work, "w binary, n long").collect()
-    mean = sum(np.frombuffer(p["w"], np.float32).astype(float) * p["n"] for p in parts) / sum(p["n"] for p in parts)
-    return Model(mean[:-1].astype(np.float32), float(mean[-1]))
+    worker = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(workers))
+
+    def work(key, found):
+        found = found.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")]).combine_chunks()
+        weights = train(found["text"].combine_chunks(), found["y"].to_numpy())
+        used = np.flatnonzero(weights)
+        return pa.table({"at": used, "w": weights[used] * found.num_rows})
+
+    each = rows.withColumn("worker", worker).groupBy("worker").applyInArrow(work, "at long, w double")
+    mean = each.groupBy("at").agg((F.sum("w") / total).alias("w")).toArrow()
+    weights = np.zeros((1 << BITS) + 1)
+    weights[mean["at"].to_numpy()] = mean["w"].to_numpy()
+    return Model(weights[:-1].astype(np.float32), float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, parts: int = 5) -> DataFrame:
