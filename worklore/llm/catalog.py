@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklore.llm import decontam, jaccard, langid, mih, quality, secrets, toxicity, warc
+from worklore.llm import decontam, jaccard, langid, line_dedup, mih, quality, secrets, toxicity, warc
 from worklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,33 @@ FROM p JOIN f USING (h)
 """
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut from every document, and what is left."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op5_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, pos, ls[pos + 1] AS line, len(regexp_extract_all(ls[pos + 1], '\S+')) AS n
+  FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), often AS (SELECT line FROM lines GROUP BY line HAVING count(*) > 1
+), runs AS (
+  SELECT doc_id, min(pos) AS p, list(line ORDER BY pos) AS ls, list(n ORDER BY pos) AS ns
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM lines SEMI JOIN often USING (line)) GROUP BY doc_id, run
+), parts AS (
+  SELECT doc_id, p + i - 1 AS a, p + j AS b, ls[i:j] AS c
+  FROM (SELECT *, unnest(range(i, len(ls) + 1)) AS j FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM runs)) WHERE list_sum(ns[i:j]) >= 50
+), firsts AS (SELECT c, min(doc_id * 1000000 + a) AS f FROM parts GROUP BY c HAVING count(*) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS pos FROM parts JOIN firsts USING (c) WHERE doc_id * 1000000 + a <> f
+), kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(total, 0)::BIGINT AS n_lines, coalesce(cut, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS text_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS total FROM lines GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS cut FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle sets and components of all documents."""
