@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worklore.llm import decontam, toxicity
+from worklore.llm import decontam, jaccard, line_dedup, sentencepiece_fst, toxicity
 from worklore.llm.common import materialize, table
 
 
@@ -13,12 +14,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line runs that an earlier one has; those with nothing else go."""
+    found = line_dedup.drop_repeats(docs)
+    return found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else found
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_per_group(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any that hold a benchmark window."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("toxicity", drop_toxic), ("benchmark decontamination", decontaminate)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token numbers of each document."""
+    return sentencepiece_fst.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", cut_repeats),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding", tokenize),
+]
 
 #: The learned first stage and the tokenizer have no SQL form; the tests hold the rows against brute force.
 ORACLE_SQL = None

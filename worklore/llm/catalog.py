@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklore.llm import decontam, jaccard, langid, line_dedup, mih, quality, secrets, toxicity, warc
+from worklore.llm import decontam, jaccard, langid, line_dedup, mih, quality, secrets, sentencepiece_fst, toxicity, warc
 from worklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, decoded again; the tests compare with the tokenizer's own library."""
+    return sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; the tests hold out-of-fold accuracy."""

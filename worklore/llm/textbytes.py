@@ -126,8 +126,8 @@ def words(block: Block, separators: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(finishes), np.searchsorted(starts, block.offsets))
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash per byte range; equal bytes, equal hash, wherever they stand.
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _BYTE_CODE) -> np.ndarray:
+    """A 64-bit hash per range; equal symbols, equal hash, wherever they stand.
 
     Prefix sums of a polynomial with invertible base give all ranges in a
     stretch at once; a range longer than a stretch is summed up in parts.
@@ -142,14 +142,14 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             factor = U64(1)
             with np.errstate(over="ignore"):
                 while at < ends[k]:
-                    part = _BYTE_CODE[data[at : min(at + SPAN, int(ends[k]))]]
+                    part = codes[data[at : min(at + SPAN, int(ends[k]))]]
                     total = total + factor * (part * _POW[: len(part)]).sum(dtype=U64)
                     factor, at = factor * _POW[SPAN], at + SPAN
             out[k], k = total, k + 1
             continue
         span = data[low : int(ends[stop - 1])]
         sums = np.zeros(len(span) + 1, dtype=U64)
-        np.cumsum(_BYTE_CODE[span] * _POW[: len(span)], dtype=U64, out=sums[1:])
+        np.cumsum(codes[span] * _POW[: len(span)], dtype=U64, out=sums[1:])
         s, e = starts[k:stop] - low, ends[k:stop] - low
         out[k:stop] = (sums[e] - sums[s]) * _IPOW[s]
         k = stop
