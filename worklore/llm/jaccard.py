@@ -101,28 +101,31 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def regions(sets: DataFrame) -> DataFrame:
-    """(h, cid, n, alone, typical): the sets of each region; h is the shingle they share."""
+    """(h, at, cid, n, alone, typical): the sets of each region; h is the shingle they share, at place ``at`` of the set."""
     rows = sets.select("cid", "n", F.explode("hs").alias("h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("cid")
-    known = rows.join(shared, "h").select("h", "df", "cid", "n", F.count("*").over(own).alias("common"), F.avg(F.ln("df")).over(own).alias("typical"), F.row_number().over(own.orderBy("df", "h")).alias("place"))
+    known = rows.join(shared, "h").select("h", "df", "cid", "n", F.count("*").over(own).alias("common"), (F.sum(F.ln("df")).over(own) / F.col("n")).alias("typical"), F.row_number().over(own.orderBy("df", "h")).alias("place"))
     known = known.withColumn("alone", F.col("n") - F.col("common"))
     # Unshared shingles come first in the order, so they use up the prefix.
-    return known.where("4 * alone <= n and place + alone <= n - (3 * n + 3) div 4 + 1").select("h", "cid", "n", "alone", "typical")
+    return known.where("4 * alone <= n and place + alone <= n - (3 * n + 3) div 4 + 1").select("h", (F.col("place") + F.col("alone") - 1).alias("at"), "cid", "n", "alone", "typical")
 
 
-def _possible(a: str, b: str) -> str:
-    """The largest overlap that sizes and lone shingles leave room for still makes a link."""
-    return f"7 * least({a}.n - {a}.alone, {b}.n - {b}.alone) >= 3 * ({a}.n + {b}.n)"
+#: Overlap a pair may have at most, by what is known of each: the shingles from the shared one on (those before it
+#: are not shared, if it is the first that is), and those in the pivot or else not alone.
+POSSIBLE = """
+  7 * least(x.n - x.at, y.n - y.at) >= 3 * (x.n + y.n)
+  and 7 * (least(x.with_pivot, y.with_pivot) + least(x.n - x.with_pivot - x.alone, y.n - y.with_pivot - y.alone)) >= 3 * (x.n + y.n)
+"""
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d) with the exact Jaccard distance, and whether the pair links."""
+    """(a, b, both, d, linked): overlap, exact Jaccard distance, and whether the pair links."""
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("hs").alias(f"hs_{s}"))
     found = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect("hs_a", "hs_b"))
-    union = F.size("hs_a") + F.size("hs_b") - F.col("both")
-    return found.withColumn("both", both).select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked"))
+    found = found.select("a", "b", F.size(F.array_intersect("hs_a", "hs_b")).alias("both"), (F.size("hs_a") + F.size("hs_b")).alias("sizes"))
+    union = F.col("sizes") - F.col("both")
+    return found.select("a", "b", "both", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked"))
 
 
 def links(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,24 +136,16 @@ def links(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
         sets = sets.dropDuplicates(["cid"])
     sets = materialize(sets, "sets")
     area = materialize(regions(sets), "regions")
-    area_of = area.select("cid", "n", "alone", "typical").distinct()
     pivots = area.groupBy("h").agg(F.max_by("cid", F.struct("typical", -F.col("cid"))).alias("p"))
-    member = materialize(area.join(pivots, "h"), "members")
-    m, p = area_of.alias("m"), area_of.alias("p")
-    to_pivot = member.where("cid != p").select("cid", "p").distinct()
-    far = to_pivot.alias("t").join(m, F.expr("t.cid = m.cid")).join(p, F.expr("t.p = p.cid"))
-    far = far.select(F.col("t.p").alias("a"), F.col("t.cid").alias("b"), F.expr(_possible("m", "p")).alias("possible"))
-    near = materialize(distances(far.where("possible").select("a", "b"), sets), "pivots")
+    member = materialize(area.join(pivots, "h").where("cid != p"), "members")
+    near = materialize(distances(member.select(F.col("p").alias("a"), F.col("cid").alias("b")).distinct(), sets), "pivots")
     edges = near.where("linked").select("a", "b")
     label = components(edges)
-    # Regions again, with each set's distance to the pivot (none: too far to link) and its component so far.
-    seen = member.join(near.select(F.col("a").alias("p"), F.col("b").alias("cid"), "d", "linked"), ["p", "cid"], "left").join(label.withColumnRenamed("node", "cid"), "cid", "left")
-    seen = seen.withColumn("outside", (F.col("cid") != F.col("p")) & ~F.coalesce("linked", F.lit(False))).withColumn("label", F.coalesce("label", "cid"))
-    left, right = seen.where("outside").alias("x"), seen.where("cid != p").alias("y")
-    rest = left.join(
-        right,
-        F.expr(f"x.h = y.h and x.label != y.label and (not y.outside or x.cid < y.cid) and {_possible('x', 'y')} and coalesce(abs(x.d - y.d) <= 0.2500001D, true)"),
-    )
+    # The regions again, each set with its distance to the pivot and its component so far.
+    seen = member.join(near.select(F.col("a").alias("p"), F.col("b").alias("cid"), "d", "linked", F.col("both").alias("with_pivot")), ["p", "cid"])
+    seen = seen.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    left, right = seen.where("not linked").alias("x"), seen.alias("y")
+    rest = left.join(right, F.expr(f"x.h = y.h and x.label != y.label and (y.linked or x.cid < y.cid) and abs(x.d - y.d) <= 0.2500001D and {POSSIBLE}"))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     more = materialize(distances(rest, sets).where("linked").select("a", "b"), "links")
     return wanted, edges.union(more)
