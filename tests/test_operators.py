@@ -154,7 +154,7 @@ def test_upsert_keeps_text_of_metadata_rows(spark):
     assert sorted(r.id for r in U.upsert(index, new, ["chunk"], prune=True).collect()) == ["a", "d_chunk_0"]
 
 
-def test_late_rows_are_left_out(spark):
+def test_late_runs_count(spark):
     path = fresh_path(spark, "late")
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
     schema = "source string, completed_at timestamp, docs long, status string"
@@ -162,5 +162,28 @@ def test_late_rows_are_left_out(spark):
         df = spark.createDataFrame(page, schema)
         feeds.land(df, path)
         feeds.daily_stream(feeds.landed(spark, df, path), path).awaitTermination()
-    out = spark.read.parquet(f"{path}/days").orderBy("day").select("docs", "errors").collect()
-    assert [tuple(r) for r in out] == [(1, 0), (2, 1)]
+    out = feeds.daily_now(spark, path).orderBy("day").select("runs", "docs", "errors").collect()
+    assert [tuple(r) for r in out] == [(2, 10, 0), (1, 2, 1), (1, 1, 0)]
+
+
+def test_missing_times_and_owners(spark):
+    from pyspark.sql import functions as F
+
+    from worklore.functions import ranking, relevance
+    from worklore.operators import runs as A
+
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    rows = spark.createDataFrame([(None,), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 3, 1),)], "at timestamp")
+    assert [r[0] for r in rows.select(relevance.days_since(F.col("at"), now)).collect()] == [999, 30, 0]
+    assert [round(r[0], 3) for r in rows.select(ranking.recency(F.lit("jira"), F.col("at"), 1706659200000)).collect()] == [0.0, 0.5, 1.0]
+    zero = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1), 0), ("b", 2, dt.datetime(2024, 1, 1), 5)], "source string, seq long, started_at timestamp, duration_ms long")
+    assert {tuple(r) for r in A.mean_duration(zero).collect()} == {("a", 0), ("b", 5)}
+
+
+def test_text_that_goes_back_is_a_change(spark):
+    path = fresh_path(spark, "back")
+    for n, text in enumerate("ABBA"):
+        df = spark.createDataFrame([("x", text, dt.datetime(2024, 1, 1 + 40 * n // 39))], "id string, doc_hash string, seen_at timestamp")
+        feeds.land(df, path)
+        feeds.dedupe_stream(feeds.landed(spark, df, path), path).awaitTermination()
+    assert sorted(r.doc_hash for r in spark.read.parquet(f"{path}/docs").collect()) == ["A", "A", "B"]

@@ -10,7 +10,10 @@ from worklore.plans.catalog import CHECKS, QUERIES
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     ok, message = compare.compare(spark, con, sf_dir, name)
-    assert ok or message == "rows 0", message
+    if message == "rows 0":  # nothing to compare here: the next larger tables must have rows
+        larger = sf_dir.replace("sf0.001", "sf0.01")
+        ok, message = compare.compare(spark, compare.duck(larger), larger, name)
+    assert ok, message
 
 
 def test_nearly_all_checked():

@@ -95,7 +95,7 @@ def test_html(spark):
     assert max(map(len, wrapped.split("\n"))) <= 130 and wrapped.split() == ["word"] * 60
 
 
-def test_prompt_parts(spark):
+def test_prompt_blocks(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(7)] + [(1, 7, "tool", "no")], "conv_id long, turn long, role string, text string")
-    parts = [r.prompt for r in C.to_prompt(turns, part_turns=3).orderBy("part").collect()]
-    assert len(parts) == 3 and "".join(parts) == "".join(("User: " if i % 2 == 0 else "Assistant: ") + f"t{i}\n\n" for i in range(7)) + "Assistant: "
+    blocks = [r.block for r in C.to_prompt(turns).orderBy("place").collect()]
+    assert len(blocks) == 8 and "".join(blocks) == "".join(("User: " if i % 2 == 0 else "Assistant: ") + f"t{i}\n\n" for i in range(7)) + "Assistant: "

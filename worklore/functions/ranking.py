@@ -29,10 +29,11 @@ def half_life(source: Column) -> Column:
 def recency(source: Column, ts: Column, as_of_ms: int) -> Column:
     """Half for every half-life of the source; 0 with no date."""
     days = F.greatest(F.lit(0), F.lit(as_of_ms) - F.unix_millis(ts.cast("timestamp"))) / F.lit(86400000)
-    return F.coalesce(F.pow(F.lit(0.5), days / half_life(source)), F.lit(0.0))
+    return F.when(ts.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(0.5), days / half_life(source)))
 
 
 def ownership(owner: Column, assigned: Column) -> Column:
+    """``owner``: owns, organizes or wrote it."""
     return F.when(owner, 1.0).when(assigned, 0.8).otherwise(0.0)
 
 

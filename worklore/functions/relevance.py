@@ -67,7 +67,8 @@ def priority_weight(priority: Column) -> Column:
 def days_since(ts: Column, as_of: Column) -> Column:
     """Whole days, never below 0; a missing time counts as very old."""
     seconds = (F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(ts.cast("timestamp"))) / F.lit(86400000)
-    return F.coalesce(F.greatest(F.lit(0), F.floor(seconds)), F.lit(UNKNOWN_DAYS)).cast("long")
+    # greatest() passes over nulls, so a missing time is asked for first.
+    return F.when(ts.isNull(), F.lit(UNKNOWN_DAYS)).otherwise(F.greatest(F.lit(0), F.floor(seconds))).cast("long")
 
 
 def is_me(source: Column, value: Column, who: Identity) -> Column:

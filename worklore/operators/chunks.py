@@ -195,42 +195,23 @@ def code_chunks(df: DataFrame, path: str = "name", **options) -> DataFrame:
 
 # -- conversations and transcripts ---------------------------------------------
 
-PART_TURNS = 1000
+def to_prompt(turns: DataFrame) -> DataFrame:
+    """``System:``/``User:``/``Assistant:`` blocks of each conversation, in order of ``place``.
 
-
-def to_prompt(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Turns as ``System:``/``User:``/``Assistant:`` blocks, in order.
-
-    A conversation comes out as one row per ``part_turns`` turns, so no group
-    grows without bound; the text is the parts in order of ``part``.
+    One row per turn and one for the closing label, so a conversation of any
+    length is spread over tasks; its prompt is the blocks put together.  Turns
+    of other roles or without text have no block.
     """
     label = F.when(F.col("role") == "system", "System: ").when(F.col("role") == "user", "User: ").when(
         F.col("role") == "assistant", "Assistant: "
     )
-    rows = turns.withColumn("_b", F.concat(label, F.col("text"), F.lit("\n\n"))).withColumn(
-        "part", F.floor(F.col("turn") / part_turns).cast("long")
-    )
-    last = rows.groupBy("conv_id").agg(F.max("part").alias("_last"))
-    parts = rows.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("turn", "_b")))).alias("_t")
-    )
-    return parts.join(last, "conv_id").select(
-        "conv_id",
-        "part",
-        F.concat(
-            F.array_join(F.transform("_t", lambda t: t["_b"]), ""),
-            F.when(F.col("part") == F.col("_last"), "Assistant: ").otherwise(""),
-        ).alias("prompt"),
-    )
+    blocks = turns.select("conv_id", F.col("turn").cast("long").alias("place"), F.concat(label, F.col("text"), F.lit("\n\n")).alias("block"))
+    closing = turns.groupBy("conv_id").agg((F.max("turn") + 1).cast("long").alias("place")).withColumn("block", F.lit("Assistant: "))
+    return blocks.filter(F.col("block").isNotNull()).unionByName(closing)
 
 
-def transcripts(segments: DataFrame, part_seconds: int = 3600) -> DataFrame:
-    """Segments joined in time order; one row per audio and hour of sound."""
-    rows = segments.withColumn("part", F.floor(F.col("start_s") / part_seconds).cast("long"))
-    totals = rows.groupBy("audio_id").agg(F.max("end_s").alias("duration_s"), F.count(F.lit(1)).alias("n_segments"))
-    parts = rows.groupBy("audio_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("start_s", T.trim_all(F.col("text")).alias("t")))).alias("_t")
-    )
-    return parts.join(totals, "audio_id").select(
-        "audio_id", "part", F.array_join(F.transform("_t", lambda t: t["t"]), " ").alias("text"), "duration_s", "n_segments"
-    )
+def transcripts(segments: DataFrame) -> DataFrame:
+    """Trimmed segments in time order (``start_s``), with the length and segment count of their audio."""
+    totals = segments.groupBy("audio_id").agg(F.max("end_s").alias("duration_s"), F.count(F.lit(1)).alias("n_segments"))
+    rows = segments.select("audio_id", "start_s", T.trim_all(F.col("text")).alias("text"))
+    return rows.join(totals, "audio_id")

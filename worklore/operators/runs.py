@@ -81,7 +81,8 @@ def mean_duration(log: DataFrame) -> DataFrame:
         & (2 * F.greatest("duration_ms", F.col("_max") - F.col("duration_ms")) >= F.col("n"))
     )
     ordered = moving.select("source", "n", "duration_ms").repartition("source").sortWithinPartitions("source", "n")
-    return ordered.mapInPandas(_fold_means, "source string, mean_ms long")
+    means = ordered.mapInPandas(_fold_means, "source string, mean_ms long")
+    return log.select("source").distinct().join(means, "source", "left").na.fill(0, ["mean_ms"])
 
 
 def recent_runs(log: DataFrame, n: int = RECENT) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -205,15 +206,16 @@ def boosted(hits: DataFrame) -> DataFrame:
 
 def rescored(hits: DataFrame, scores: DataFrame, keep: int, n: int = R.RESCORE_N) -> DataFrame:
     """First ``n`` hits per query take a given score, and the best ``keep`` of
-    them stay; the hits after them follow in their order.
+    them stay, those without a given score last and with their own; the hits
+    after the first ``n`` follow in their order.
 
     The hits are the fetched page of a query, a bounded number per query.
     """
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     ranked = hits.withColumn("_rank", F.row_number().over(w))
     joined = ranked.join(scores.select("qid", "id", F.col("score").alias("_new")), ["qid", "id"], "left")
-    first = joined.filter((F.col("_rank") <= n) & F.col("_new").isNotNull()).withColumn("score", F.col("_new"))
-    again = Window.partitionBy("qid").orderBy(F.desc("score"), "_rank")
+    first = joined.filter(F.col("_rank") <= n).withColumn("score", F.coalesce("_new", "score"))
+    again = Window.partitionBy("qid").orderBy(F.col("_new").isNull(), F.desc("_new"), "_rank")
     top = first.withColumn("position", F.row_number().over(again)).filter(F.col("position") <= keep)
     rest = joined.filter(F.col("_rank") > n).withColumn("position", F.col("_rank"))
     return top.unionByName(rest).drop("_rank", "_new")
@@ -226,8 +228,10 @@ def personalize(hits: DataFrame, as_of_ms: int, at: Column | None = None) -> Dat
     engaged = R.engagement(
         c("source"), c("reaction_count"), c("mention_count"), c("thread_ts"), c("priority_weight"), c("thread_depth"), c("label_count")
     )
+    mine = [F.coalesce(c(name), F.lit(False)) for name in ("is_owner", "is_organizer", "is_author") if name in hits.columns]
+    owner = reduce(lambda a, b: a | b, mine, F.lit(False))
     score = R.personalised(
-        c("score"), R.recency(c("source"), when, as_of_ms), R.ownership(c("is_owner"), c("is_assigned_to_me")), engaged, c("relevance_score")
+        c("score"), R.recency(c("source"), when, as_of_ms), R.ownership(owner, c("is_assigned_to_me")), engaged, c("relevance_score")
     )
     return hits.withColumn("score", steady(score))
 
@@ -353,7 +357,8 @@ def navigate(items: DataFrame, wanted: DataFrame, direction: str, limit: int = D
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("_rn")
 
 
-def deep_dive(hits: DataFrame, templates: DataFrame) -> DataFrame:
-    """Follow-up queries, only for the sources that had hits, per query."""
+def deep_dive(hits: DataFrame, templates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Follow-up queries on the topic's text, only for the sources that had hits, per query."""
     found = hits.groupBy("qid", "source").agg(F.count(F.lit(1)).alias("n_hits"))
-    return found.join(templates, "source").select("qid", "source", "n_hits", F.format_string("%s %s", F.col("template"), F.col("qid").cast("string")).alias("next_query"))
+    asked = found.join(templates, "source").join(queries.select("qid", "query"), "qid")
+    return asked.select("qid", "source", "n_hits", F.concat_ws(" ", "template", "query").alias("next_query"))

@@ -75,9 +75,9 @@ near_all AS (SELECT c.topic AS qtopic, v.id, (floor(((1 + list_cosine_similarity
              FROM v_vectors v, centres c),
 near AS (SELECT * FROM near_all QUALIFY row_number() OVER (PARTITION BY qtopic ORDER BY score DESC, id) <= 200)"""
 PERSONAL_SQL = f"""
- (1 + 0.20 * coalesce(pow(0.5, greatest(0, {AS_OF_MS} - epoch_ms(coalesce(updated_at, other_at))) / 86400000.0
-        / CASE source WHEN 'slack' THEN 7 WHEN 'calendar' THEN 14 WHEN 'gmail' THEN 14 WHEN 'jira' THEN 30 ELSE 90 END), 0)
-    + 0.10 * CASE WHEN is_owner THEN 1.0 WHEN is_assigned_to_me THEN 0.8 ELSE 0 END
+ (1 + 0.20 * CASE WHEN coalesce(updated_at, other_at) IS NULL THEN 0 ELSE pow(0.5, greatest(0, {AS_OF_MS} - epoch_ms(coalesce(updated_at, other_at))) / 86400000.0
+        / CASE source WHEN 'slack' THEN 7 WHEN 'calendar' THEN 14 WHEN 'gmail' THEN 14 WHEN 'jira' THEN 30 ELSE 90 END) END
+    + 0.10 * CASE WHEN is_owner OR is_organizer THEN 1.0 WHEN is_assigned_to_me THEN 0.8 ELSE 0 END
     + 0.05 * CASE source WHEN 'slack' THEN least(1.0, reaction_count * 0.1 + mention_count * 0.15 + CASE WHEN thread_ts IS NOT NULL THEN 0.2 ELSE 0 END)
                          WHEN 'jira' THEN least(1.0, priority_weight / 5.0)
                          WHEN 'gmail' THEN CASE WHEN thread_depth > 3 THEN 0.6 WHEN thread_depth > 1 THEN 0.3 ELSE 0 END

@@ -98,12 +98,12 @@ def f06(spark, sf):
 
 
 CHECK_VIEWS["c_issue_days"] = f"""
-  SELECT *, CAST(greatest(0, floor((epoch_ms(TIMESTAMP '{ORDERS_AS_OF}') - epoch_ms(updated)) / 86400000.0)) AS BIGINT) AS days FROM v_issues"""
+  SELECT *, CAST(CASE WHEN updated IS NULL THEN 999 ELSE greatest(0, floor((epoch_ms(TIMESTAMP '{ORDERS_AS_OF}') - epoch_ms(updated)) / 86400000.0)) END AS BIGINT) AS days FROM v_issues"""
 
 
 @query(
     "f07_days_since",
-    f"""SELECT id, CAST(coalesce(greatest(0, floor((epoch_ms(TIMESTAMP '{DOCS_AS_OF}') - epoch_ms(updated_at)) / 86400000.0)), 999) AS BIGINT) AS days FROM v_docs""",
+    f"""SELECT id, CAST(CASE WHEN updated_at IS NULL THEN 999 ELSE greatest(0, floor((epoch_ms(TIMESTAMP '{DOCS_AS_OF}') - epoch_ms(updated_at)) / 86400000.0)) END AS BIGINT) AS days FROM v_docs""",
 )
 def f07(spark, sf):
     return standin(spark, sf, "v_docs").select("id", V.days_since(c("updated_at"), now()).alias("days"))
@@ -135,7 +135,7 @@ def f09(spark, sf):
 
 
 def days_sql(col):
-    return f"greatest(0, floor((epoch_ms(TIMESTAMP '{DOCS_AS_OF}') - epoch_ms({col})) / 86400000.0))"
+    return f"(CASE WHEN {col} IS NULL THEN 999 ELSE greatest(0, floor((epoch_ms(TIMESTAMP '{DOCS_AS_OF}') - epoch_ms({col})) / 86400000.0)) END)"
 
 
 @query(

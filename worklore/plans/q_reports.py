@@ -134,7 +134,7 @@ def w08(spark, sf):
 @query(
     "w09_mail_followups",
     f"""WITH last AS (SELECT *, count(*) OVER (PARTITION BY thread_id) AS depth FROM v_mail QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY sent_at DESC, message_id DESC) = 1)
-        SELECT thread_id, message_id AS id, depth, CAST(greatest(0, floor((epoch_ms(TIMESTAMP '{DOCS_AS_OF}') - epoch_ms(sent_at)) / 86400000.0)) AS BIGINT) AS days_waiting
+        SELECT thread_id, message_id AS id, depth, CAST(CASE WHEN sent_at IS NULL THEN 999 ELSE greatest(0, floor((epoch_ms(TIMESTAMP '{DOCS_AS_OF}') - epoch_ms(sent_at)) / 86400000.0)) END AS BIGINT) AS days_waiting
         FROM last WHERE lower(sender) IN ('user4@gmail.com', 'user0@gmail.com', 'user8@gmail.com')""",
 )
 def w09(spark, sf):
@@ -228,7 +228,7 @@ SCORE = f"""((CASE WHEN late > 3 THEN 10 WHEN late >= 1 THEN 8 WHEN late = 0 THE
    + (CASE WHEN days > 14 THEN 10 WHEN days >= 7 THEN 7 WHEN days >= 3 THEN 4 ELSE 1 END) * 20
    + CASE WHEN meets_today THEN 150 ELSE 0 END + CASE WHEN effort_min < 15 THEN 100 ELSE 0 END) / 100.0"""
 SCORED = f"""scored AS (SELECT *, {SCORE} AS score FROM (SELECT *, date_diff('day', CAST(due AS DATE), {TODAY}) AS late,
-   greatest(0, floor((epoch_ms({NOW}) - epoch_ms(updated)) / 86400000.0)) AS days FROM v_items))"""
+   CASE WHEN updated IS NULL THEN 999 ELSE greatest(0, floor((epoch_ms({NOW}) - epoch_ms(updated)) / 86400000.0)) END AS days FROM v_items))"""
 
 
 @query("w17_priority_score", f"WITH {SCORED} SELECT id, round(score, 6) AS score FROM scored")

@@ -149,6 +149,23 @@ def q08(spark, sf):
     return out.select("qid", "id", r6(F.col("score")).alias("score"), F.col("position").cast("long").alias("position"))
 
 
+@query(
+    "q08_rescore_partial",
+    f"""WITH {K.KNN_SQL}, hits AS (SELECT q.qid, n.id, n.score FROM near n JOIN v_queries q ON q.topic = n.qtopic),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk,
+                     CASE WHEN substring(md5(id), 7, 1) < '9' THEN CAST('0x' || substring(md5(id), 1, 6) AS BIGINT) / 16777216.0 END AS given FROM hits)
+        SELECT qid, id, round(coalesce(given, score), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY given DESC NULLS LAST, rk) AS position
+        FROM r WHERE rk <= 120 QUALIFY position <= 110
+        UNION ALL SELECT qid, id, round(score, 6), rk FROM r WHERE rk > 120""",
+)
+def q08_partial(spark, sf):
+    """Some hits have no given score: they stay, after those that have one."""
+    hits = S.knn(vectors(spark, sf), query_vectors(spark, sf)).drop("rank")
+    given = given_scores(hits).where(F.substring(F.md5("id"), 7, 1) < "9")
+    out = S.rescored(hits, given, keep=110, n=120)
+    return out.select("qid", "id", r6(F.col("score")).alias("score"), F.col("position").cast("long").alias("position"))
+
+
 @query(
     "q09_half_life",
     """SELECT source, count(*) AS n, CAST(max(CASE source WHEN 'slack' THEN 7 WHEN 'calendar' THEN 14 WHEN 'gmail' THEN 14 WHEN 'jira' THEN 30
@@ -341,11 +358,12 @@ def q20_siblings(spark, sf):
 @query(
     "q21_deep_dive",
     f"""WITH {K.bm25_sql('v_docs', 'content')}, h AS (SELECT s.qid, d.source, count(*) AS n_hits FROM scored s JOIN v_docs d ON s.id = d.id GROUP BY ALL)
-        SELECT qid, h.source, n_hits, template || ' ' || qid AS next_query FROM h
+        SELECT qid, h.source, n_hits, template || ' ' || query AS next_query FROM h JOIN v_queries USING (qid)
         JOIN (SELECT DISTINCT source, 'more on ' || source AS template FROM v_docs) t ON h.source = t.source""",
 )
 def q21(spark, sf):
     docs = standin(spark, sf, "v_docs")
-    hits = S.bm25(docs, standin(spark, sf, "v_queries")).join(docs.select("id", "source"), "id")
+    queries = standin(spark, sf, "v_queries")
+    hits = S.bm25(docs, queries).join(docs.select("id", "source"), "id")
     templates = docs.select("source", F.concat(F.lit("more on "), "source").alias("template")).distinct()
-    return S.deep_dive(hits, templates)
+    return S.deep_dive(hits, templates, queries)

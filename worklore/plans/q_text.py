@@ -184,10 +184,9 @@ def t15(spark, sf):
 
 @query(
     "t16_prompt",
-    """SELECT conv_id, CAST(0 AS BIGINT) AS part,
-              coalesce(string_agg(CASE role WHEN 'system' THEN 'System: ' WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' END
-                         || text || chr(10) || chr(10), '' ORDER BY turn), '') || 'Assistant: ' AS prompt
-       FROM conversations GROUP BY conv_id""",
+    """SELECT * FROM (SELECT conv_id, CAST(turn AS BIGINT) AS place, CASE role WHEN 'system' THEN 'System: ' WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' END
+                         || text || chr(10) || chr(10) AS block FROM conversations) WHERE block IS NOT NULL
+       UNION ALL SELECT conv_id, max(turn) + 1, 'Assistant: ' FROM conversations GROUP BY conv_id""",
 )
 def t16(spark, sf):
     return C.to_prompt(table(spark, sf, "conversations"))
@@ -195,10 +194,9 @@ def t16(spark, sf):
 
 @query(
     "t17_transcripts",
-    f"""SELECT conv_id AS audio_id, CAST(0 AS BIGINT) AS part,
-              string_agg(regexp_replace(text, '\\A{T.SPACE}+|{T.SPACE}+\\z', '', 'g'), ' ' ORDER BY turn) AS text,
-              max(turn * 10 + 9) AS duration_s, count(*) AS n_segments
-       FROM conversations GROUP BY conv_id""",
+    f"""SELECT conv_id AS audio_id, turn * 10 AS start_s, regexp_replace(text, '\\A{T.SPACE}+|{T.SPACE}+\\z', '', 'g') AS text,
+              max(turn * 10 + 9) OVER (PARTITION BY conv_id) AS duration_s, count(*) OVER (PARTITION BY conv_id) AS n_segments
+       FROM conversations""",
 )
 def t17(spark, sf):
     seg = table(spark, sf, "conversations").select(

@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN source = 'slack' AND doc_id % 5 = 0 THEN 't' || CAST(doc_id AS STRING) END AS thread_ts,
                CASE WHEN source = 'jira' THEN 1 + doc_id % 5 END AS priority_weight,
                CASE WHEN source = 'gmail' THEN doc_id % 6 END AS thread_depth,
-               doc_id % 9 = 0 AS is_owner,
+               doc_id % 9 = 0 AS is_owner, source = 'calendar' AND doc_id % 5 = 0 AS is_organizer,
                doc_id % 7 = 0 AS is_assigned_to_me,
                CAST(doc_id % 11 AS DOUBLE) / 10 AS relevance_score
         FROM v_docs v""",
