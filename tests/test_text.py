@@ -99,3 +99,30 @@ def test_prompt_blocks(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(7)] + [(1, 7, "tool", "no")], "conv_id long, turn long, role string, text string")
     blocks = [r.block for r in C.to_prompt(turns).orderBy("place").collect()]
     assert len(blocks) == 8 and "".join(blocks) == "".join(("User: " if i % 2 == 0 else "Assistant: ") + f"t{i}\n\n" for i in range(7)) + "Assistant: "
+
+
+def test_mail_parts_of_any_depth(spark):
+    import base64
+    import json
+
+    from worklore.sources import mail
+
+    def leaf(kind, text):
+        return {"mimeType": kind, "body": {"data": base64.urlsafe_b64encode(text.encode()).decode()}}
+
+    def inside(part, levels):
+        return part if not levels else {"mimeType": "multipart/mixed", "body": {}, "parts": [inside(part, levels - 1)]}
+
+    rows = [(n, ("multipart/mixed", (None,), json.dumps([leaf("text/html", f"<p>html {n}</p>"), inside(leaf("text/plain", f"plain {n}"), n)]))) for n in range(9)]
+    rows += [(20, ("multipart/mixed", (None,), json.dumps([inside(leaf("text/html", "<p>only</p>"), 5)]))), (21, ("multipart/mixed", (None,), "[")), (22, ("text/plain", (leaf("", "alone")["body"]["data"],), None))]
+    df = spark.createDataFrame(rows, "id long, payload struct<mimeType: string, body: struct<data: string>, parts: string>")
+    got = {r.id: r.body for r in mail.with_body(df).collect()}
+    assert got == {**{n: f"plain {n}" for n in range(9)}, 20: "only", 21: "", 22: "alone"}
+
+
+def test_mail_dates(spark):
+    from worklore.sources import mail
+
+    lines = ["Mon, 1 Jan 2024 10:00:00 +0000 (UTC)", "1 Jan 2024 10:00:00 GMT", "Mon, 1 Jan 2024 10:00 +0000", "Mon, 1 Jan 2024 05:00:00 EST", "Mon, 01 Jan 2024 11:00:00 +0100", "1 Jan 2024 10:00", "2024-01-01T10:00:00Z", "nothing"]
+    out = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "d string").select(F.unix_seconds(mail.mail_date(F.col("d")))).collect()]
+    assert out == [1704103200] * 7 + [None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklore.functions import relevance as V
 from worklore.functions.relevance import Identity
+from worklore.operators.joins import left_join_where
 
 NEEDED = {
     "sender": "string", "recipients": "array<string>", "cc": "array<string>", "thread_id": "string",
@@ -26,7 +27,7 @@ def thread_depth(df: DataFrame) -> DataFrame:
     mail = (F.col("source") == "gmail") & (F.coalesce("thread_id", F.lit("")) != "")
     counts = df.filter(mail).groupBy("thread_id").agg(F.count(F.lit(1)).alias("_in_thread"))
     depth = F.when(F.col("source") == "gmail", F.coalesce("thread_message_count", "_in_thread"))
-    return df.join(counts, "thread_id", "left").withColumn("thread_depth", depth).drop("_in_thread")
+    return left_join_where(df, counts, "thread_id", mail).withColumn("thread_depth", depth).drop("_in_thread")
 
 
 def email_features(df: DataFrame, who: Identity = Identity()) -> DataFrame:

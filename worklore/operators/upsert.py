@@ -61,7 +61,9 @@ def delete(index: DataFrame, ids: DataFrame) -> DataFrame:
     """The index without the documents and their chunks."""
     gone = ids.select(F.col("id").alias("_gone")).distinct()
     rows = index.join(gone, F.col("id") == F.col("_gone"), "left_anti")
-    return rows.join(gone, F.col("parent_doc_id") == F.col("_gone"), "left_anti")
+    # Whole documents have no parent: they stay without taking part in the second join.
+    chunks = rows.filter(F.col("parent_doc_id").isNotNull()).join(gone, F.col("parent_doc_id") == F.col("_gone"), "left_anti")
+    return rows.filter(F.col("parent_doc_id").isNull()).unionByName(chunks)
 
 
 def delete_source(index: DataFrame, source: str) -> DataFrame:

@@ -224,7 +224,7 @@ def s14(spark, sf):
 
 @query("s15_body", r"SELECT message_id AS id, CASE WHEN body_kind = 0 THEN body ELSE trim(regexp_replace(body, '\s+', ' ', 'g')) END AS body FROM v_mail")
 def s15(spark, sf):
-    return R.raw_mail(spark, sf).select("id", mail.email_body(c("payload")).alias("body"))
+    return mail.with_body(R.raw_mail(spark, sf)).select("id", "body")
 
 
 @query(

@@ -97,6 +97,9 @@ def raw_mail(spark, sf) -> DataFrame:
     nested = array(mid("multipart/alternative", none, alternative), mid("application/pdf", none, no_mids))
     html_only = array(mid("image/png", none, no_mids), mid("text/html", html, no_mids))
     pair = lambda n, x: struct(lit(n).alias("name"), x.alias("value"))
+    # Forwarded and signed mail nests deeper: up to four more levels around the parts.
+    levels = F.pmod(F.xxhash64("message_id"), lit(5)).cast("int")
+    deeper = lambda x: F.concat(F.repeat(lit('[{"mimeType":"multipart/mixed","filename":"","body":{},"parts":'), levels), x, F.repeat(lit("}]"), levels))
     return v.select(
         c("message_id").alias("id"), c("thread_id").alias("threadId"), F.split("labels", ",").alias("labelIds"),
         struct(
@@ -107,7 +110,7 @@ def raw_mail(spark, sf) -> DataFrame:
                 lambda h: h["value"].isNotNull(),
             ).alias("headers"),
             body(F.when(c("body_kind") == 1, html)).alias("body"),
-            F.when(c("body_kind") == 0, nested).when(c("body_kind") == 2, html_only).alias("parts"),
+            deeper(F.when(c("body_kind") == 0, F.to_json(nested)).when(c("body_kind") == 2, F.to_json(html_only))).alias("parts"),
         ).alias("payload"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklore.functions.text import first_set
+from worklore.operators.joins import left_join_where
 
 MENTION = r"<@([A-Z0-9]+)(?:\|[^>]*)?>"
 PREVIEW_CHARS = 80
@@ -40,7 +41,7 @@ def resolve_mentions(msgs: DataFrame, users: DataFrame, key: list[str]) -> DataF
     lists = named.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("_i", "_id", F.coalesce("shown", "_id").alias("shown")))).alias("_names")
     )
-    out = keyed.join(lists, key, "left")
+    out = left_join_where(keyed, lists, key, F.size("_ids") > 0)
 
     def swap(acc: Column, n: Column) -> Column:
         pattern = F.concat(F.lit("<@"), n["_id"], F.lit(r"(\|[^>]*)?>"))

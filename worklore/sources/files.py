@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklore.functions.text import first_set
+from worklore.operators.joins import left_join_where
 from worklore.session import materialize
 
 # Fixed values.
@@ -53,7 +54,7 @@ def folder_chains(folders: DataFrame) -> DataFrame:
     )
     while True:
         more = state.select(F.col("folder_id").alias("next"), F.col("chain").alias("_c"), F.col("next").alias("_n"))
-        joined = state.join(more, "next", "left")
+        joined = left_join_where(state, more, "next", F.col("next").isNotNull())
         ids, more_ids = F.col("chain.id"), F.col("_c.id")
         met = F.get(F.array_intersect(more_ids, ids), F.lit(0))
         # the continuation up to the first folder already in the chain
@@ -84,7 +85,7 @@ def descendants(chains: DataFrame, roots: DataFrame) -> DataFrame:
 def files(raw: DataFrame, paths: DataFrame) -> DataFrame:
     """Files to documents with their path; ``paths`` is (folder_id, path)."""
     home = paths.select(F.col("folder_id").alias("_parent"), F.col("path").alias("_home"))
-    rows = raw.withColumn("_parent", F.get("parents", F.lit(0))).join(home, "_parent", "left")
+    rows = left_join_where(raw.withColumn("_parent", F.get("parents", F.lit(0))), home, "_parent", F.col("_parent").isNotNull())
     path = F.concat(F.coalesce(F.concat(F.lit("/"), "_home"), F.lit("")), F.lit("/"), "name")
     folder = F.regexp_extract(path, r"\A([\s\S]+)/[^/]*\z", 1)
     return rows.select(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LEAF = "mimeType: STRING, filename: STRING, body: STRUCT<data: STRING>"
-_PART = f"{_LEAF}, parts: ARRAY<STRUCT<{_LEAF}, parts: ARRAY<STRUCT<{_LEAF}>>>>"
 _NAMED = "STRUCT<name: STRING>"
 _PERSON = "STRUCT<displayName: STRING>"
 
@@ -19,9 +17,10 @@ SCHEMAS: dict[str, str] = {
         renderedFields STRUCT<description: STRING, comment: STRUCT<comments: ARRAY<STRUCT<body: STRING>>>>""",
     "slack": """channel_id STRING, ts STRING, user STRING, subtype STRING, text STRING, thread_ts STRING, reply_count INT,
         reactions ARRAY<STRUCT<name: STRING, count: INT>>, files ARRAY<STRUCT<id: STRING>>""",
-    "gmail": f"""id STRING, threadId STRING, labelIds ARRAY<STRING>,
+    # The part tree can be of any depth: it stays JSON text.
+    "gmail": """id STRING, threadId STRING, labelIds ARRAY<STRING>,
         payload STRUCT<mimeType: STRING, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, body: STRUCT<data: STRING>,
-          parts: ARRAY<STRUCT<{_PART}>>>""",
+          parts: STRING>""",
     "drive": """id STRING, name STRING, mimeType STRING, parents ARRAY<STRING>,
         owners ARRAY<STRUCT<displayName: STRING, emailAddress: STRING>>, createdTime STRING, modifiedTime STRING,
         webViewLink STRING, body STRING""",

@@ -25,54 +25,64 @@ def decoded(data: Column) -> Column:
     return F.unbase64(F.translate(data, "-_", "+/")).cast("string")
 
 
-def _leaf(p: Column) -> Column:
-    return F.struct(p["mimeType"].alias("mimeType"), p["body"]["data"].alias("data"))
-
-
-def _none(depth_type: Column) -> Column:
-    return F.filter(depth_type, lambda _: F.lit(False))
-
-
-def flat_parts(parts: Column) -> Column:
-    """The part tree as a list, each part before those inside it."""
-
-    def inner(q: Column) -> Column:
-        leaves = F.transform(q["parts"], _leaf)
-        own = F.array(_leaf(q))
-        return F.concat(own, F.coalesce(leaves, _none(own)))
-
-    def outer(p: Column) -> Column:
-        own = F.array(_leaf(p))
-        return F.concat(own, F.coalesce(F.flatten(F.transform(p["parts"], inner)), _none(own)))
-
-    return F.flatten(F.transform(parts, outer))
+#: One level of the part tree; what is inside a part stays JSON text until it is opened.
+PARTS = "array<struct<mimeType: string, body: struct<data: string>, parts: string>>"
+# Zone names of mail dates.
+ZONES = {
+    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
+def with_parts(df: DataFrame, column: str = "payload.parts") -> DataFrame:
+    """The part tree, JSON text, as a list ``parts_list``: each part before those inside it.
+
+    Opened level by level until no row has a closed part, whatever the depth;
+    each level costs a look for such a row when the table is built.
+    """
+    df = df.withColumn("parts_list", F.from_json(column, PARTS))
+
+    def opened(p: Column) -> Column:
+        own = F.array(F.struct(p["mimeType"].alias("mimeType"), p["body"].alias("body"), F.lit(None).cast("string").alias("parts")))
+        children = F.coalesce(F.from_json(p["parts"], PARTS), F.filter(own, lambda _: F.lit(False)))
+        return F.when(p["parts"].isNull(), own).otherwise(F.concat(own, children))
+
+    while not df.filter(F.exists("parts_list", lambda p: p["parts"].isNotNull())).isEmpty():
+        df = df.withColumn("parts_list", F.flatten(F.transform("parts_list", opened)))
+    return df
 
 
-def email_body(payload: Column) -> Column:
-    """First plain part, else the first HTML part as text."""
+def with_body(df: DataFrame) -> DataFrame:
+    """Adds ``body``: the first plain part, else the first HTML part as text."""
+    payload = F.col("payload")
 
     def first(kind: str) -> Column:
-        nested = F.filter(flat_parts(payload["parts"]), lambda p: (p["mimeType"] == kind) & (p["data"] != ""))
+        nested = F.filter("parts_list", lambda p: (p["mimeType"] == kind) & (p["body"]["data"] != ""))
         alone = F.when((payload["mimeType"] == kind) & (payload["body"]["data"] != ""), payload["body"]["data"])
-        return decoded(F.when(payload["parts"].isNotNull(), F.get(nested, F.lit(0))["data"]).otherwise(alone))
+        return decoded(F.when(payload["parts"].isNotNull(), F.get(nested, F.lit(0))["body"]["data"]).otherwise(alone))
 
-    return F.coalesce(first("text/plain"), html_to_text(first("text/html")), F.lit(""))
+    return with_parts(df).withColumn("body", F.coalesce(first("text/plain"), html_to_text(first("text/html")), F.lit(""))).drop("parts_list")
 
 
 def mail_date(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^[A-Za-z]{3}, *", "")
-    return F.coalesce(F.try_to_timestamp(line), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")))
+    """Time of a date header: with or without weekday, seconds, zone name or a comment; no zone is UTC."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"\([^)]*\)", ""), r"^\s*[A-Za-z]{3,9},? +|\s+$", "")
+    named = F.regexp_extract(bare, r" ([A-Z]{1,3})$", 1)
+    zone = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), named)
+    bare = F.when(zone.isNotNull(), F.concat(F.regexp_replace(bare, r"[A-Z]{1,3}$", ""), zone)).otherwise(bare)
+    forms = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm"]
+    return F.coalesce(F.try_to_timestamp(line), *[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
 
 
 def emails(raw: DataFrame) -> DataFrame:
     """Messages to documents; those with neither subject nor body are dropped."""
-    raw = spread_small(raw, "id")
+    raw = with_body(spread_small(raw, "id"))
     h = raw["payload.headers"]
     rows = raw.select(
         "id", "threadId", "labelIds",
         header(h, "subject").alias("subject"), header(h, "from").alias("sender"),
         addresses(header(h, "to")).alias("recipients"), addresses(header(h, "cc")).alias("cc"),
-        mail_date(header(h, "date")).alias("date"), email_body(raw["payload"]).alias("body"),
+        mail_date(header(h, "date")).alias("date"), "body",
     ).filter(~(blank(F.col("body")) & blank(F.col("subject"))))
     content = F.concat_ws(
         "\n",
