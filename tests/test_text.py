@@ -95,6 +95,12 @@ def test_html(spark):
     assert max(map(len, wrapped.split("\n"))) <= 130 and wrapped.split() == ["word"] * 60
 
 
+def test_entities(spark):
+    cases = {"It&#8217;s &mdash; caf&eacute;": "It\u2019s \u2014 caf\u00e9", "a &amp;lt; b &lt;i&gt;": "a &lt; b <i>", "x &unknown; &# &": "x &unknown; &# &", "&#x1F600;&#0;&#xD800;": "\U0001f600\ufffd\ufffd", "&quot;q&quot; &apos;&#39;&#x27;": "\"q\" '''", "a&nbsp;b": "a b"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert [r[0] for r in df.select(html_to_text(F.col("h"))).collect()] == list(cases.values())
+
+
 def test_prompt_blocks(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(7)] + [(1, 7, "tool", "no")], "conv_id long, turn long, role string, text string")
     blocks = [r.block for r in C.to_prompt(turns).orderBy("place").collect()]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from worklore.functions.html import HTML_STEPS, html_to_text
+from worklore.functions.html import SPACE_STEPS, TAG_STEPS, html_to_text
 from worklore.functions.text import epoch_ms
 from worklore.plans import raw as R
 from worklore.plans.registry import query
@@ -393,11 +393,16 @@ def s29(spark, sf):
 
 
 def html_sql(col):
-    out = col
-    for pattern, to in HTML_STEPS:
-        p, t = (x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in (pattern, to))
-        out = f"regexp_replace({out}, '{p}', '{t}', 'g')"
-    return out
+    def steps(out, pairs):
+        for pattern, to in pairs:
+            p, t = (x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in (pattern, to))
+            out = f"regexp_replace({out}, '{p}', '{t}', 'g')"
+        return out
+
+    out = steps(col, TAG_STEPS)
+    for name, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{char}')"
+    return steps(out, SPACE_STEPS)
 
 
 @query("s30_html_to_text", f"SELECT page_id, {html_sql('html')} AS text FROM pages")
