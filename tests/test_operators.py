@@ -187,3 +187,16 @@ def test_text_that_goes_back_is_a_change(spark):
         feeds.land(df, path)
         feeds.dedupe_stream(feeds.landed(spark, df, path), path).awaitTermination()
     assert sorted(r.doc_hash for r in spark.read.parquet(f"{path}/docs").collect()) == ["A", "A", "B"]
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from worklore.operators import search as S
+
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(rng.standard_normal((60, 8)))], "id string, embedding array<double>")
+    queries = vectors.selectExpr("id as qid", "embedding")
+    whole = {(r.qid, r.id, r["rank"]) for r in S.knn(vectors, queries, 5).collect()}
+    monkeypatch.setattr(S, "QUERY_BLOCK", 16)
+    assert {(r.qid, r.id, r["rank"]) for r in S.knn(vectors, queries, 5).collect()} == whole and len(whole) == 300

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worklore.functions import ranking as R
 from worklore.functions import text as T
-from worklore.session import materialize, spread_small
+from worklore.session import fresh_path, materialize, spread_small
 
 # Fixed values.
 ALL_SOURCES = ["jira", "slack", "gmail", "drive", "confluence", "calendar"]
@@ -158,23 +158,28 @@ def _score_block(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id_
 def knn(vectors: DataFrame, queries: DataFrame, k: int = R.VECTOR_K) -> DataFrame:
     """(qid, id, score, rank): exact cosine neighbours, score (1 + cos) / 2.
 
-    The query vectors travel to the tasks in blocks of bounded size; however
-    many there are, each block is one pass of matrix products over the vectors
-    that keeps only its own best ``k`` per Arrow batch.
+    The query vectors travel to the tasks in blocks of bounded size, one pass of
+    matrix products over the vectors each, which keeps only its own best ``k``
+    per Arrow batch.  With more than one block the driver holds one at a time:
+    its result is stored before the next is fetched.
     """
     id_type, qid_type = (d.schema[c].dataType.simpleString() for d, c in ((vectors, "id"), (queries, "qid")))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = queries.select("qid", "embedding").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    out = None
+    schema, spark = f"qid {qid_type}, id {id_type}, score double, rank int", vectors.sparkSession
+    if blocks > 1:
+        parts = materialize(parts, "query-vectors")
+    path, out = fresh_path(spark, "nearest"), None
     for b in range(blocks):
         rows = parts.filter(F.col("_b") == b).collect()
         if rows:
             matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-            hit = _score_block(vectors, [r["qid"] for r in rows], matrix, k, id_type, qid_type)
-            out = hit if out is None else out.unionByName(hit)
+            out = top_per_query(_score_block(vectors, [r["qid"] for r in rows], matrix, k, id_type, qid_type), k)
+            if blocks > 1:
+                out.write.mode("append").parquet(path)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double")
-    return top_per_query(out, k)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if blocks > 1 else out
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame) -> DataFrame:

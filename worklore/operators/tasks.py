@@ -178,9 +178,11 @@ def similar(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     def low(seed: int) -> Column:
         return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
 
-    reps = groups.withColumns({"m1": low(1), "m2": low(2), "_all": F.lit(1)}).withColumn("_part", F.shiftright("m1", 52))
-    side = previous(reps, ["_all"], "_part", ["m1", "m2", "key"], ["key", "s"])
-    close = side.filter(F.col("prev_s").isNotNull() & (_jaccard(F.col("s"), F.col("prev_s")) >= threshold))
+    # Only keys and min-hashes are put in order; the sets are joined to the pairs.
+    reps = groups.select("key", low(1).alias("m1"), low(2).alias("m2"), F.lit(1).alias("_all")).withColumn("_part", F.shiftright("m1", 52))
+    side = previous(reps, ["_all"], "_part", ["m1", "m2", "key"], ["key"]).filter(F.col("prev_key").isNotNull()).select("key", "prev_key")
+    both = side.join(groups.select("key", "s"), "key").join(groups.select(F.col("key").alias("prev_key"), F.col("s").alias("prev_s")), "prev_key")
+    close = both.filter(_jaccard(F.col("s"), F.col("prev_s")) >= threshold)
     paired = close.select(F.explode(F.array("key", "prev_key")).alias("key")).distinct()
     done = materialize(groups.filter(F.col("n") > 1).select("key").unionByName(paired).distinct(), "paired")
 
