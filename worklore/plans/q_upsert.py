@@ -162,13 +162,23 @@ def u10(spark, sf):
 )
 def u11(spark, sf):
     """Two loads of the document table through the stream, the old state first."""
+    return two_loads(spark, sf).compact(prune=True).select("id", "title", F.md5("chunk").alias("chunk_hash"))
+
+
+def two_loads(spark, sf):
     cols = ["id", "source", "title", "content", "author", "created_at", "updated_at", "seq"]
     job = N.new_job(spark, hash_of=["content", "title", "source"])
     job.land(old_docs(spark, sf).withColumn("seq", F.lit(1)).select(*cols))
     job.run()
     job.land(standin(spark, sf, "v_docs").withColumn("seq", F.lit(2)).select(*cols))
     job.run()
-    return job.compact(prune=True).select("id", "title", F.md5("chunk").alias("chunk_hash"))
+    return job
+
+
+@query("u11_cursors", "SELECT source, epoch_ms(max(updated_at)) AS cursor_ms FROM v_docs GROUP BY source")
+def u11_cursors(spark, sf):
+    """How far each source has been loaded after both loads."""
+    return two_loads(spark, sf).cursors().select("source", F.unix_millis("cursor").alias("cursor_ms"))
 
 
 @query(

@@ -18,7 +18,7 @@ from worklore.functions.text import doc_hash
 from worklore.operators.chunks import explode_chunks, with_header
 from worklore.operators.upsert import changed, latest, route
 from worklore.functions.text import content_hash
-from worklore.session import fresh_path, spread_small
+from worklore.session import fresh_path, materialize, spread_small
 
 TEXT_COLS = ["chunk", "indexed", "content_hash"]
 _KEYS = ["id", "route", "batch", "part"]
@@ -37,6 +37,7 @@ class IncrementalJob:
     base: str
     hash_of: list[str]
     score: Callable[[DataFrame], DataFrame] = field(default=lambda docs: docs)
+    cursor: str = "updated_at"
 
     def land(self, docs: DataFrame) -> None:
         """Put a page of normalised documents where the stream finds it."""
@@ -53,6 +54,15 @@ class IncrementalJob:
         rows = self._before("hashes", batch)
         return rows and rows.groupBy("source", "id").agg(F.max_by("hash", "batch").alias("hash"))
 
+    def stored_hashes(self, batch: int = 1 << 30) -> DataFrame | None:
+        """(id, content_hash) of the latest text of every row: all that routing needs, so no text is read."""
+        rows = self._before("index", batch)
+        return rows and rows.filter("route = 'full'").groupBy("id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+
+    def cursors(self) -> DataFrame:
+        """(source, cursor): the newest time each source has been loaded up to."""
+        return self.spark.read.parquet(f"{self.base}/cursors").groupBy("source").agg(F.max("cursor").alias("cursor"))
+
     def index(self, batch: int = 1 << 30, prune: bool = False) -> DataFrame | None:
         """Latest text and latest metadata of every row, merged map-side.
 
@@ -77,13 +87,17 @@ class IncrementalJob:
 
     def _load(self, page: DataFrame, batch: int) -> None:
         docs = self.score(latest(page, "seq")).withColumn("doc_hash", doc_hash(*[F.col(c) for c in self.hash_of]))
-        known, stored = self.hashes(batch), self.index(batch)
-        todo = changed(docs, known) if known is not None else docs
+        known, stored = self.hashes(batch), self.stored_hashes(batch)
+        # Written once: the index and the hashes are both made from it.
+        todo = materialize(changed(docs, known) if known is not None else docs, "todo")
         rows = with_header(explode_chunks(todo)).withColumn("content_hash", content_hash(F.col("chunk"))).drop("content")
         routed = route(rows, stored) if stored is not None else rows.withColumn("route", F.lit("full"))
         light = [F.when(F.col("route") == "full", F.col(c)).alias(c) if c in TEXT_COLS else F.col(c) for c in routed.columns]
         routed.select(*light).write.mode("overwrite").parquet(f"{self.base}/index/batch={batch}")
         todo.select("source", "id", F.col("doc_hash").alias("hash")).write.mode("overwrite").parquet(f"{self.base}/hashes/batch={batch}")
+        if self.cursor in page.columns:
+            newest = page.groupBy("source").agg(F.max(self.cursor).alias("cursor"))
+            newest.write.mode("overwrite").parquet(f"{self.base}/cursors/batch={batch}")
 
     def run(self, files_per_batch: int | None = None) -> None:
         """Load all that has landed since the last run, then stop."""
