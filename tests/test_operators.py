@@ -200,3 +200,12 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     whole = {(r.qid, r.id, r["rank"]) for r in S.knn(vectors, queries, 5).collect()}
     monkeypatch.setattr(S, "QUERY_BLOCK", 16)
     assert {(r.qid, r.id, r["rank"]) for r in S.knn(vectors, queries, 5).collect()} == whole and len(whole) == 300
+
+
+def test_large_pages_are_cut_in_parts(spark):
+    from worklore.operators import search as S
+
+    hits = spark.range(5000).selectExpr("id % 2 as qid", "cast(id as string) as id", "cast(id % 700 as double) as score")
+    got = S.top_per_query(hits, 1500).collect()
+    want = {q: [r.id for r in sorted(hits.filter(f"qid = {q}").collect(), key=lambda r: (-r.score, r.id))][:1500] for q in (0, 1)}
+    assert {q: [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] for q in (0, 1)} == want

@@ -116,13 +116,14 @@ def highlights(items: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
 # -- deadlines and follow-ups --------------------------------------------------
 
 
-def deadlines(items: DataFrame, as_of: str) -> DataFrame:
-    """``bucket`` and ``days_late`` of everything with a due time, soonest first."""
+def deadlines(items: DataFrame, as_of: str, days: int | None = None) -> DataFrame:
+    """``bucket`` and ``days_late`` of everything with a due time, soonest first; at most ``days`` ahead, if given."""
     late = F.datediff(day_of(as_of), F.to_date("due"))
     bucket = (
         F.when(late > 0, "overdue").when(late == 0, "today").when(late == -1, "tomorrow").when(late >= -7, "this week").otherwise("later")
     )
-    return items.filter(F.col("due").isNotNull()).select("*", bucket.alias("bucket"), late.alias("days_late")).orderBy("due", "id")
+    near = F.col("due").isNotNull() if days is None else late >= -days
+    return items.filter(near).select("*", bucket.alias("bucket"), late.alias("days_late")).orderBy("due", "id")
 
 
 def event_deadlines(events: DataFrame) -> DataFrame:
@@ -137,12 +138,13 @@ def deadline_mentions(docs: DataFrame, since: str) -> DataFrame:
     return rows.filter(F.col("text").rlike(DEADLINE_PHRASE)).withColumn("when_said", F.lower(F.regexp_extract("text", DEADLINE_PHRASE, 1)))
 
 
-def mail_followups(mails: DataFrame, me: str, as_of: str) -> DataFrame:
-    """Threads whose last mail is mine: nobody has answered yet."""
+def mail_followups(mails: DataFrame, me: str, as_of: str, depth: int | None = None) -> DataFrame:
+    """Threads whose last mail is mine: nobody has answered yet; only of ``depth`` mails, if given."""
     last = mails.groupBy("thread_id").agg(
         F.max_by(F.struct("id", "sender", "subject", "sent_at", "recipients_text"), F.struct("sent_at", "id")).alias("m"), F.count(F.lit(1)).alias("depth")
     )
     rows = last.select("thread_id", "depth", "m.*").filter((F.lower("sender") == me.lower()) & ~F.col("recipients_text").rlike(AUTOMATED))
+    rows = rows if depth is None else rows.filter(F.col("depth") == depth)
     return rows.select("*", days_since(F.col("sent_at"), ts(as_of)).alias("days_waiting"), F.col("subject").contains("?").alias("asks"))
 
 

@@ -25,6 +25,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 DEFAULT_LIMIT = 20
 BY_METADATA_LIMIT = 50
 QUERY_BLOCK = 1024
+TASK_CUT, CUT_PARTS = 1000, 64
 # Sums over a shuffle come in any order.  Scores are held on a grid of 2**-30, so
 # that equal scores stay equal on every run and ties fall to the id.
 GRID = 2**30
@@ -128,7 +129,15 @@ def decayed(hits: DataFrame, as_of_ms: int, updated: str = "updated_ms") -> Data
 
 
 def top_per_query(hits: DataFrame, k: int, per: str = "qid") -> DataFrame:
-    """Best ``k`` per query; cut in each task first, then after the shuffle."""
+    """Best ``k`` per query; cut in each task first, then after the shuffle.
+
+    Spark cuts in the tasks for small ``k`` only; beyond that a query's hits are
+    first dealt out and cut in parts, so they never meet in one task whole.
+    """
+    if k > TASK_CUT:
+        part = F.pmod(F.xxhash64("id"), F.lit(CUT_PARTS))
+        in_part = Window.partitionBy(per, "_part").orderBy(F.desc("score"), "id")
+        hits = hits.withColumn("_part", part).withColumn("_rn", F.row_number().over(in_part)).filter(F.col("_rn") <= k).drop("_part", "_rn")
     w = Window.partitionBy(per).orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -122,6 +122,16 @@ def w07(spark, sf):
     return W.deadlines(open_items.unionByName(events), ORDERS_AS_OF).select("id", "bucket", "days_late")
 
 
+@query(
+    "w07_horizon",
+    f"""SELECT id, CAST(late AS INT) AS days_late FROM (SELECT id, date_diff('day', CAST(due AS DATE), {TODAY}) AS late FROM v_items WHERE {OPEN} AND due IS NOT NULL) WHERE late >= -14""",
+)
+def w07_horizon(spark, sf):
+    """Only what is due in the next two weeks, or late."""
+    open_items = items(spark, sf).filter(W.is_open(c("status"))).select("id", "due")
+    return W.deadlines(open_items, ORDERS_AS_OF, days=14).select("id", "days_late")
+
+
 @query(
     "w08_deadline_mentions",
     """SELECT id, CASE doc_id % 9 WHEN 0 THEN 'tomorrow' ELSE '2024-02-15' END AS when_said FROM v_dated_docs
@@ -146,6 +156,16 @@ def w09(spark, sf):
     return out
 
 
+@query(
+    "w09_first_mails",
+    """SELECT thread_id, any_value(message_id) AS id FROM v_mail GROUP BY thread_id HAVING count(*) = 1 AND lower(any_value(sender)) = 'user4@gmail.com'""",
+)
+def w09_first(spark, sf):
+    """Threads of one mail, mine, that nobody has answered."""
+    m = standin(spark, sf, "v_mail").select(c("message_id").alias("id"), "thread_id", "sender", "subject", "sent_at", c("to_line").alias("recipients_text"))
+    return W.mail_followups(m, "user4@gmail.com", DOCS_AS_OF, depth=1).select("thread_id", "id")
+
+
 QUESTION = r"(?i)(\?|\bcan you\b|\bplease\b|\bthoughts on\b)"
 
 
