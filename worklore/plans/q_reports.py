@@ -157,13 +157,15 @@ def w09(spark, sf):
 
 
 @query(
-    "w09_first_mails",
-    """SELECT thread_id, any_value(message_id) AS id FROM v_mail GROUP BY thread_id HAVING count(*) = 1 AND lower(any_value(sender)) = 'user4@gmail.com'""",
+    "w09_thread_depth",
+    """SELECT thread_id, message_id AS id FROM (SELECT *, count(*) OVER (PARTITION BY thread_id) AS depth FROM v_mail
+       QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY sent_at DESC, message_id DESC) = 1) WHERE depth = 3 AND lower(sender) IN ('user6@yahoo.com', 'user4@gmail.com')""",
 )
-def w09_first(spark, sf):
-    """Threads of one mail, mine, that nobody has answered."""
+def w09_depth(spark, sf):
+    """Unanswered threads of one depth (the given tables have none of a single mail)."""
     m = standin(spark, sf, "v_mail").select(c("message_id").alias("id"), "thread_id", "sender", "subject", "sent_at", c("to_line").alias("recipients_text"))
-    return W.mail_followups(m, "user4@gmail.com", DOCS_AS_OF, depth=1).select("thread_id", "id")
+    both = [W.mail_followups(m, me, DOCS_AS_OF, depth=3).select("thread_id", "id") for me in ("user6@Yahoo.com", "user4@gmail.com")]
+    return both[0].unionByName(both[1])
 
 
 QUESTION = r"(?i)(\?|\bcan you\b|\bplease\b|\bthoughts on\b)"
