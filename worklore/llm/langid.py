@@ -37,6 +37,7 @@ BITS = 17
 #: Parts of the sample that are trained on side by side; their models are averaged bucket by bucket in Spark.
 WORKERS = 4
 CACHE_WORDS = 500_000
+BLOCK_BYTES = 2 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Letters: A-Z, a-z and every byte of a longer character.
 NO_LETTER = tb.byte_set((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -219,7 +220,7 @@ class Model:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        for block in tb.blocks(texts):
+        for block in tb.blocks(texts, BLOCK_BYTES):
             block, found = _words(block)
             if not len(found.starts):
                 continue

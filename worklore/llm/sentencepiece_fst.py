@@ -32,7 +32,8 @@ from worklore.llm import textbytes as tb
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_PARTS = 1_000_000
+#: Parts and piece pairs kept per Python worker, for speed only.
+CACHE_PARTS, CACHE_PAIRS = 500_000, 150_000
 NORMAL, BYTE = 1, 6
 CHARS = 0x110000
 
@@ -82,7 +83,7 @@ class Transducer:
                 limit, u = ru, self.split[u][1]
             else:
                 limit, v = rv + 0.5, self.split[v][0]
-        if len(self._pairs) > CACHE_PARTS:
+        if len(self._pairs) > CACHE_PAIRS:
             self._pairs.clear()
         self._pairs[left, right] = fits
         return fits

@@ -37,6 +37,8 @@ ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 MARK = 0x20
 #: Words kept per task between blocks, for speed only.
 CACHE_WORDS = 1_000_000
+#: Bytes of text, and new words, worked on at once.
+BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 40_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _LOW = tb.U64((1 << 56) - 1)
 
@@ -144,7 +146,7 @@ class Model:
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per row: evidence per byte, and words."""
         per_byte, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for block in tb.blocks(texts):
+        for block in tb.blocks(texts, BLOCK_BYTES):
             block = tb.folded(block)
             found = tb.words(block, tb.NOT_ALNUM)
             here = slice(block.first_row, block.first_row + block.rows)
@@ -154,7 +156,9 @@ class Model:
             known = _CACHE.lookup(self.name, hashes)
             new = np.flatnonzero(np.isnan(known))
             if len(new):
-                known[new] = self.word_evidence(block.data, found.starts[first[new]], found.ends[first[new]])
+                for k in range(0, len(new), BLOCK_WORDS):
+                    part = new[k : k + BLOCK_WORDS]
+                    known[part] = self.word_evidence(block.data, found.starts[first[part]], found.ends[first[part]])
                 _CACHE.add(hashes[new], known[new])
             size = tb.per_row_sums((found.ends - found.starts + 1).astype(float), found)
             per_byte[here] = tb.per_row_sums(known[back], found) / np.maximum(size, 1)
