@@ -10,6 +10,7 @@ import pyarrow as pa
 from worklore.llm import textbytes as tb
 
 SIZE = 5
+BLOCK_BYTES = 2 << 20
 _PLACE = tb.mix(np.arange(101, 101 + SIZE, dtype=tb.U64))
 _LENGTH = tb.mix(np.arange(201, 201 + SIZE, dtype=tb.U64))
 
@@ -42,7 +43,7 @@ def shingle_hashes(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
 
 def sets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row bounds, sorted distinct hashes) block by block."""
-    for block in tb.blocks(column):
+    for block in tb.blocks(column, BLOCK_BYTES):
         row, code = shingle_hashes(block)
         yield block.first_row, block.rows, np.searchsorted(row, np.arange(block.rows + 1)), code
 
