@@ -222,6 +222,27 @@ def test_toxic_documents_go(spark):
     assert sum(truth[i] for i in ids if i in truth) < 8 and sum(not truth[i] for i in ids if i in truth) > 220
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    docs, labels, apart, truth = labelled(spark, "toxic", lambda r, w: r.choice(cases.BAD.split()))
+    model = toxicity.fit(docs, labels, bound=20)
+    texts = [(t, truth[i]) for i, t in docs.select("doc_id", "text").collect() if i in truth and i not in apart]
+    keys, *_ = toxicity.count_grams(pa.array([t for t, _ in texts]), np.array([y for _, y in texts]))
+    assert set(keys[keys >> textbytes.U64(56) == toxicity.ORDER].tolist()) == set((model.levels[-1].keys | textbytes.U64(toxicity.ORDER << 56)).tolist())
+
+
+def test_toxicity_counts_in_tables(spark):
+    docs, labels, _, _ = labelled(spark, "toxic", lambda r, w: r.choice(cases.BAD.split()))
+    docs = docs.unionByName(docs.where("doc_id in (7, 1001)"))
+    small, wide = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most=100)
+    assert isinstance(wide, toxicity.Tables)
+    order = lambda rows: sorted(rows, key=lambda r: (key(r.doc_id), r.score))
+    want, got = (order(toxicity.score(docs, m).collect()) for m in (small, wide))
+    assert [(r.doc_id, r.held_out, r.predicted) for r in got] == [(r.doc_id, r.held_out, r.predicted) for r in want]
+    assert np.allclose([r.score for r in got], [r.score for r in want], atol=1e-6)
+    kept = toxicity.remove_toxic(docs, wide)
+    assert kept.columns == docs.columns and sorted(map(key, (r[0] for r in kept.select("doc_id").collect()))) == sorted(key(r.doc_id) for r in want if not r.predicted)
+
+
 def test_chain_marginals():
     rng = np.random.default_rng(0)
     for n, starts in [(5, [0, 3]), (7, [0]), (1, [0]), (9, [0, 1, 2, 8])]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklore.session import materialize, prepare
 
-__all__ = ["fold", "free_name", "keyed_docs", "materialize", "sampled", "spread", "table", "text_key"]
+__all__ = ["fold", "free_name", "keyed_docs", "materialize", "sample_mark", "sampled", "spread", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +20,24 @@ def fold(doc_id: Column, parts: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts).cast("int")
 
 
+def sample_mark(key: Column, bound: int, counts: dict, classes: Column | None = None) -> Column:
+    """True for about ``bound`` rows (per class, of which there are ``counts``): those whose hash is in the lowest part of the hash space."""
+    label = F.lit(0) if classes is None else classes
+    space = 1 << 40
+    share = F.lit(0)
+    for value, n in counts.items():
+        share = F.when(label.eqNullSafe(F.lit(value)), F.lit(min(space, space * bound // max(n, 1)))).otherwise(share)
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(space)) < share
+
+
 def sampled(rows: DataFrame, key: Column, bound: int, classes: Column | None = None) -> DataFrame:
     """A sample of about ``bound`` rows (per class), the same on every run.
 
-    Rows whose hash is in the lowest part of the hash space stay; nothing is
-    sorted or gathered, only the row counts per class come to the driver.
+    Nothing is sorted or gathered, only the row counts per class come to the driver.
     """
     label = F.lit(0) if classes is None else classes
     counts = {r[0]: r[1] for r in rows.groupBy(label.alias("c")).count().collect()}
-    space = 1 << 40
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(label.eqNullSafe(F.lit(value)), F.lit(min(space, space * bound // max(n, 1)))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(space)) < share)
+    return rows.where(sample_mark(key, bound, counts, classes))
 
 
 def text_key(text: Column) -> Column:
