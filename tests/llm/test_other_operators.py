@@ -47,6 +47,23 @@ def test_codes_retrieve_everything_within_a_radius():
         assert set(found) == set(np.flatnonzero(distance <= limit))
 
 
+def recall_of_lengths(spread, rows=8192, asked=100):
+    """Share of the 20 largest inner products found in one shard of vectors with log-normal lengths."""
+    rng = np.random.default_rng(4)
+    vectors = mih.directions(rng.standard_normal((rows, 64))) * np.exp(spread * rng.standard_normal((rows, 1)))
+    ids, queries = np.arange(rows), vectors[:asked]
+    found = mih.search_shard(ids[:asked], queries, ids, vectors, mih.learn_codes(mih.directions(vectors)), 20, mih.RERANK)
+    scores = queries @ vectors.T
+    scores[np.arange(asked), np.arange(asked)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    return np.mean([len(set(b) & set(f[1])) / 20 for b, f in zip(best.tolist(), found)])
+
+
+def test_nearest_of_unequal_lengths():
+    for spread in (0.0, 0.25, 0.5, 1.0):
+        assert recall_of_lengths(spread) >= 0.9, spread
+
+
 def test_warc(spark):
     html = ["<p>one</p>", "<p>two</p>", "<p>one</p>", None, "", "é😀\r\n\r\nWARC/1.1\r\n", "x" * 1_200_000, "<p>one</p>", "x" * 1_200_000]
     rows = [(9 - i, f"http://h/{i}\r\nx" if i % 2 else None, h) for i, h in enumerate(html)] + [(50, "u", "<p>lone</p>"), (None, "u", "<p>two</p>"), (50, "u", "<p>lone</p>")]

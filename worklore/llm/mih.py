@@ -4,12 +4,14 @@ Codes: vectors are turned by several learned rotations (iterative quantisation
 on a bounded sample) and each coordinate's sign is a bit.  The index is dealt
 out in shards by a hash of the id, so copies of one vector spread evenly.  In a
 shard the code is split into 8-bit substrings, each with its own table from
-value to rows.  A query probes values at growing distance from its own: after
-all values within s per substring are read, every code within
+value to rows.  Codes tell angles only, so candidates are ranked by the inner
+product they promise: the vector's length times the cosine of the angle its
+distance in bits stands for.  A query probes values at growing distance from its
+own: after all values within s per substring are read, every code within
 ``substrings * (s + 1) - 1`` bits has been retrieved (pigeonhole), so probing
-stops when that radius holds enough codes.  The nearest codes are then reranked
-by inner products of the original vectors in double precision, and the shards'
-best lists are merged.
+stops when enough candidates promise more than the longest vector could at any
+larger distance.  They are then reranked by inner products of the original
+vectors in double precision, and the shards' best lists are merged.
 
 Defined cases: vectors that are null, empty, all zero or hold null or
 non-finite components take no part; only vectors of equal length are compared;
@@ -30,14 +32,16 @@ ROTATIONS = 4
 SAMPLE = 20_000
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
-#: Codes reranked per query and shard.
+#: Candidates reranked per query and shard.
 RERANK = 256
-#: Probe distances that go through the tables bucket by bucket.
+#: Probe distances that go through the tables bucket by bucket; then the codes are read whole.
 LISTED = 2
+#: Promises closer than this, as a share of the largest length, are ties.
+TIE = 1e-6
 RESULT = "query_id long, vec_id long, score double"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _NEAR = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
-_RINGS = [[np.flatnonzero(_NEAR[v] == s) for v in range(256)] for s in range(9)]
+_RINGS = [[np.flatnonzero(_NEAR[v] == s) for v in range(256)] for s in range(LISTED)]
 
 
 def random_rotation(dim: int, seed: int) -> np.ndarray:
@@ -54,6 +58,12 @@ def learn_rotation(sample: np.ndarray, seed: int, rounds: int = 15) -> np.ndarra
     return turn
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length one."""
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def learn_codes(sample: np.ndarray, rotations: int = ROTATIONS) -> np.ndarray:
     return np.concatenate([learn_rotation(sample, seed) for seed in range(rotations)], axis=1)
 
@@ -68,14 +78,15 @@ class Shard:
     """For each substring j, rows of value v are ``order[j][offset[j][v]:offset[j][v + 1]]``."""
 
     codes: np.ndarray
+    lengths: np.ndarray
     order: list[np.ndarray]
     offset: list[np.ndarray]
 
     @classmethod
-    def build(cls, codes: np.ndarray) -> Shard:
+    def build(cls, codes: np.ndarray, lengths: np.ndarray | None = None) -> Shard:
         order = [np.argsort(c, kind="stable") for c in codes.T]
         offset = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in codes.T]
-        return cls(codes, order, offset)
+        return cls(codes, np.ones(len(codes)) if lengths is None else lengths, order, offset)
 
     def probe(self, code: np.ndarray, s: int) -> np.ndarray:
         """Rows of all buckets whose value is s bits from the code's, in any substring."""
@@ -85,26 +96,22 @@ class Shard:
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def nearest(self, code: np.ndarray, enough: int) -> np.ndarray:
-        """Rows of at least the ``enough`` nearest codes: all within some radius."""
+        """Rows of at least the ``enough`` largest promises: all down to some promise."""
         n, parts = self.codes.shape
         if n <= enough:
             return np.arange(n)
-        ring, distance = np.full(n, 9, np.uint8), np.zeros(n, np.int64)
-        for s in range(9):
-            if s < LISTED:
-                rows = self.probe(code, s)
-                rows = rows[ring[rows] > s]
-                ring[rows] = s
-                distance[rows] = _ONES[self.codes[rows] ^ code].sum(1, dtype=np.int64)
-            elif s == LISTED:
-                # Wider probes would read most tables whole: take each row's ring from its substrings at once.
-                apart = _NEAR[code[None, :], self.codes]
-                ring, distance = apart.min(1), apart.sum(1, dtype=np.int64)
-            inside = np.flatnonzero((ring <= s) & (distance <= parts * (s + 1) - 1))
-            if len(inside) >= enough:
-                limit = np.partition(distance[inside], enough - 1)[enough - 1]
-                return inside[distance[inside] <= limit]
-        return np.arange(n)
+        cosine, longest = np.cos(np.pi * np.arange(8 * parts + 1) / (8 * parts)), self.lengths.max()
+        rows = np.zeros(0, np.int64)
+        for s in range(LISTED + 1):
+            rows = np.union1d(rows, self.probe(code, s)) if s < LISTED else np.arange(n)
+            promise = self.lengths[rows] * cosine[_ONES[self.codes[rows] ^ code].sum(1, dtype=np.int64)]
+            if len(rows) < enough:
+                continue
+            limit = np.partition(promise, len(rows) - enough)[len(rows) - enough] - TIE * longest
+            beyond = cosine[min(parts * (s + 1), 8 * parts)]
+            if len(rows) == n or limit > beyond * (longest if beyond > 0 else self.lengths.min()):
+                return rows[promise >= limit]
+        return rows
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -117,7 +124,7 @@ def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def search_shard(query_ids, queries, vec_ids, vectors, turn, k, enough) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The k best candidates of one shard for each query."""
-    shard = Shard.build(encode(vectors, turn))
+    shard = Shard.build(encode(vectors, turn), np.linalg.norm(vectors / np.abs(vectors).max(), axis=1))
     out = []
     for qid, query, code in zip(query_ids, queries, encode(queries, turn)):
         rows = shard.nearest(code, min(max(enough, 4 * k), len(vectors)))
@@ -150,7 +157,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = S
         space = 1 << 30
         picked = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(space)) < min(space, space * sample // n)))
         learned = picked.select("v").toPandas()["v"]
-        turns[dim] = learn_codes(np.stack(learned.to_numpy())) if len(learned) else np.concatenate([random_rotation(dim, s) for s in range(ROTATIONS)], 1)
+        turns[dim] = learn_codes(directions(np.stack(learned.to_numpy()))) if len(learned) else np.concatenate([random_rotation(dim, s) for s in range(ROTATIONS)], 1)
     turns = embeddings.sparkSession.sparkContext.broadcast(turns)
 
     def count(which: int, per: int):
