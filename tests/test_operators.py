@@ -22,19 +22,33 @@ def sorted_rows(df):
 
 def test_hot_keys_give_the_same_numbers(spark):
     rnd = random.Random(1)
-    data = [("hot" if i % 3 else f"k{i % 7}", rnd.randint(0, 40), i, rnd.randint(1, 9)) for i in range(600)]
-    df = spark.createDataFrame(data, "k string, b int, seq int, v int")
-    for hot in (10, 100, 10**6):
-        got = P.running_sum(df, ["k"], "b", [F.col("seq")], F.col("v"), "s", hot_rows=hot).select("k", "seq", "s")
-        prev = P.previous(df.withColumn("o", F.col("b") * 1000 + F.col("seq")), ["k"], "b", ["o"], ["seq"], hot_rows=hot).select("k", "seq", "prev_seq")
-        want_sum, want_prev, state, last = [], [], {}, {}
+    for share in (3, 100):
+        keys = [None if i % share == 1 else "hot" if i % share else f"k{i % 7}" for i in range(600)]
+        data = [(k, rnd.randint(0, 40), i, rnd.randint(1, 9)) for i, k in enumerate(keys)]
+        df = spark.createDataFrame(data, "k string, b int, seq int, v int")
+        both = P.running(df, ["k"], [F.col("b"), F.col("seq")], s=("sum", F.col("v")), x=("xor", F.col("v").cast("long")))
+        got = both.select("k", "seq", "s", "x")
+        prev = P.previous(df, ["k"], ["b", "seq"], ["seq"]).select("k", "seq", "prev_seq")
+        want_sum, want_prev, state, last, bits = [], [], {}, {}, {}
         for k, b, seq, v in sorted(data, key=lambda r: (r[1], r[2])):
-            state[k] = state.get(k, 0) + v
-            want_sum.append((k, seq, state[k]))
+            state[k], bits[k] = state.get(k, 0) + v, bits.get(k, 0) ^ v
+            want_sum.append((k, seq, state[k], bits[k]))
             want_prev.append((k, seq, last.get(k)))
             last[k] = seq
         assert sorted_rows(got) == sorted(want_sum, key=str)
         assert sorted_rows(prev) == sorted(want_prev, key=str)
+    assert P.numbered(df.limit(0), [], [F.col("seq")]).count() == 0
+
+
+def test_a_hot_key_is_dealt_out_evenly(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("seq"))
+    rows, crossing = P._dealt(df, ["k"], [F.col("seq")])
+    sizes = sorted(r["count"] for r in rows.groupBy("_r").count().collect())
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2] and crossing.count() == 1
+    back, _ = P._windowed(rows, [F.col("seq")])
+    assert sorted(r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()) == sizes
+    got = P.numbered(df, ["k"], [F.col("seq")], "n").filter("k = 1").agg(F.count("*"), F.countDistinct("n"), F.max("n")).first()
+    assert tuple(got) == (36_000, 36_000, 36_000)
 
 
 def test_mean_duration_bound(spark):

@@ -88,8 +88,7 @@ def subscription_merchants(df: DataFrame) -> DataFrame:
 def sub_changes(df: DataFrame, as_of: str) -> DataFrame:
     """In this cycle: a subscription not seen before, or dearer than its last charge."""
     subs = subscription_merchants(df).select("merchant", "first_at")
-    keyed = df.withColumn("_day", F.to_date("purchased_at"))
-    rows = previous(keyed, ["merchant"], "_day", ["purchased_at", "row_id"], ["amount"]).drop("_day").join(subs, "merchant")
+    rows = previous(df, ["merchant"], ["purchased_at", "row_id"], ["amount"]).join(subs, "merchant")
     now = rows.filter(in_cycle(as_of))
     what = F.when(F.to_date("first_at") > cycle_start(as_of), "New Subscription").when(F.col("amount") > F.col("prev_amount"), "Price Increase")
     return now.withColumn("finding", what).filter(F.col("finding").isNotNull())

@@ -283,15 +283,12 @@ def urgency_tier(as_of: str) -> Column:
 def daily_priorities(items: DataFrame, as_of: str) -> DataFrame:
     """Open items in order of tier, role, priority, newest update.
 
-    The place is counted per (tier, role, priority, day of update), so a full
-    ranking needs no single sorted task.
+    Places are counted over ranges of that order, so a full ranking needs no
+    single sorted task.
     """
-    rows = items.filter(is_open(F.col("status"))).withColumn("tier", urgency_tier(as_of)).withColumn("_all", F.lit(1))
+    rows = items.filter(is_open(F.col("status"))).withColumn("tier", urgency_tier(as_of))
     role = F.when(F.col("my_role") == "active", 0).otherwise(1)
-    hour = -F.unix_seconds(F.date_trunc("hour", F.col("updated").cast("timestamp")))
-    bucket = F.struct("tier", role.alias("r"), priority_rank(F.col("priority")).alias("p"), F.coalesce(hour, F.lit(1)).alias("d"))
-    keyed = rows.withColumn("_bucket", bucket)
-    return numbered(keyed, ["_all"], "_bucket", [F.desc("updated"), F.asc("id")], "place").drop("_all", "_bucket")
+    return numbered(rows, [], [F.col("tier"), role, priority_rank(F.col("priority")), F.desc("updated"), F.asc("id")], "place")
 
 
 def overlaps(events: DataFrame) -> DataFrame:

@@ -71,10 +71,9 @@ def mean_duration(log: DataFrame) -> DataFrame:
     Step n moves the mean by round((d - mean) / n), which is 0 once n is over
     twice the largest possible |d - mean|.  So a run can only matter if
     2 * max(d, largest - d) >= n: what is folded in order is bounded by the
-    longest duration and not by the number of runs.  Numbering is per day.
+    longest duration and not by the number of runs.
     """
-    runs = log.withColumn("_day", F.to_date("started_at"))
-    ranked = numbered(runs, ["source"], "_day", [F.col("seq")], "n")
+    ranked = numbered(log, ["source"], [F.col("started_at"), F.col("seq")], "n")
     longest = log.groupBy("source").agg(F.max("duration_ms").alias("_max"))
     moving = ranked.join(longest, "source").filter(
         (F.col("duration_ms") > 0)

@@ -1,11 +1,14 @@
 """Numbering, running sums and look-backs that no hot key turns into one long task.
 
-A window over a key holds all rows of that key in one task.  Keys with more
-than ``HOT_ROWS`` rows are counted out first (summed map-side).  If there are
-none, which is the rule, a plain window does it with one shuffle.  The rows of
-a hot key are cut by a bucket that follows the order (a day, a range of
-numbers, a hash prefix); each bucket is windowed alone and goes on from the
-buckets before it, which come from a small pre-aggregated table.
+A window over a key holds all rows of that key in one task.  Here rows are
+sorted by ranges of (keys, order), so ranges are equally long whatever the keys
+are, and written with the number of their range.  Each range is windowed alone.
+A key that goes on over range borders, at most one per border, takes what its
+earlier ranges carry over: a table with two rows per range at most, which is
+why it can be broadcast.
+
+The order must tell all rows of a key apart, or those it does not stay
+together in one range.  Rows are written while the result is being built.
 """
 
 from __future__ import annotations
@@ -15,66 +18,65 @@ from pyspark.sql import functions as F
 
 from worklore.session import materialize
 
-HOT_ROWS = 1_000_000
-# A table of hot keys or their buckets is broadcast up to this many rows.
-SMALL_ROWS = 100_000
-
-
-def _marked(df: DataFrame, keys: list[str], bucket: str, hot_rows: int) -> DataFrame | None:
-    """``df`` with ``_b``: the bucket for rows of hot keys, null for the rest;
-    None if no key is hot."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = materialize(counts.select(*keys, F.lit(True).alias("_hot")), "hot")
-    n = hot.limit(SMALL_ROWS + 1).count()
-    if n == 0:
-        return None
-    marks = F.broadcast(hot) if n <= SMALL_ROWS else hot
-    joined = df.join(marks, keys, "left")
-    return joined.withColumn("_b", F.when(F.col("_hot"), F.struct(F.col(bucket).alias("b")))).drop("_hot")
-
-
-def _small(table: DataFrame) -> DataFrame:
-    stored = materialize(table, "buckets")
-    return F.broadcast(stored) if stored.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else stored
-
-
-def running_sum(
-    df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Running sum of ``value`` per key, in order of (bucket, order), this row included."""
-    df = df.withColumn("_v", value)
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    marked = _marked(df, keys, bucket, hot_rows)
-    if marked is None:
-        w = Window.partitionBy(*keys).orderBy(bucket, *order)
-        return df.withColumn(out, F.sum("_v").over(upto(w))).drop("_v")
-    totals = marked.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b").agg(F.sum("_v").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(bucket, *order)
-    return (
-        marked.join(_small(starts), [*keys, "_b"], "left")
-        .withColumn(out, F.coalesce("_start", F.lit(0)) + F.sum("_v").over(upto(inside)))
-        .drop("_v", "_start", "_b")
+#: How a kind of running value is aggregated, and put together with what is carried over.
+KINDS = {
+    "sum": (F.sum, lambda carried, inside: F.coalesce(carried, F.lit(0)) + inside),
+    "xor": (F.bit_xor, lambda carried, inside: F.coalesce(carried, F.lit(0).cast("long")).bitwiseXOR(inside)),
+}
+
+
+def _dealt(df: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_r``, the number of their range, and ``_k``, their keys; and the keys that cross a border."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    marked = df.withColumn("_k", key)
+    rows = materialize(marked.repartitionByRange(n, "_k", *order).withColumn("_r", F.spark_partition_id()), "ranges")
+    edges = rows.groupBy("_r").agg(F.min("_k").alias("_low"), F.max("_k").alias("_k"))
+    follows = F.lead("_low").over(Window.orderBy("_r"))
+    return rows, edges.withColumn("_next", follows).filter(F.col("_next") == F.col("_k")).select("_k").distinct()
+
+
+def _windowed(rows: DataFrame, order: list[Column]):
+    """Rows back in their ranges, one task each, and the window inside them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, F.col("_r")), Window.partitionBy("_r", "_k").orderBy(*order)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], **values: tuple[str, Column]) -> DataFrame:
+    """Running values per key, this row included: ``name=(kind, column)`` with kind sum or xor."""
+    df = df.withColumns({f"_v_{name}": value for name, (_, value) in values.items()})
+    rows, crossing = _dealt(df, keys, order)
+    per_range = rows.join(F.broadcast(crossing), "_k", "left_semi").groupBy("_k", "_r").agg(
+        *[KINDS[kind][0](f"_v_{name}").alias(f"_v_{name}") for name, (kind, _) in values.items()]
     )
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_range.select("_k", "_r", *[KINDS[kind][0](f"_v_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in values.items()])
+    ranges, inside = _windowed(rows, order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranges.withColumns({f"_v_{name}": KINDS[kind][0](f"_v_{name}").over(upto) for name, (kind, _) in values.items()})
+    joined = joined.join(F.broadcast(carried), ["_k", "_r"], "left")
+    done = joined.withColumns({name: KINDS[kind][1](F.col(f"_c_{name}"), F.col(f"_v_{name}")) for name, (kind, _) in values.items()})
+    return done.drop("_k", "_r", *[f"{p}_{name}" for name in values for p in ("_v", "_c")])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` per key, this row included."""
+    return running(df, keys, order, **{out: ("sum", value)})
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn") -> DataFrame:
+    """Row number per key, from 1; over all rows if there are no keys."""
+    return running(df, keys, order, **{out: ("sum", F.lit(1).cast("long"))})
 
 
-def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Row number per key in order of (bucket, order)."""
-    return running_sum(df, keys, bucket, order, F.lit(1), out, hot_rows)
-
-
-def previous(df: DataFrame, keys: list[str], bucket: str, order: list[str], cols: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``prev_<col>`` of the row before, per key, across bucket borders."""
-    marked = _marked(df, keys, bucket, hot_rows)
-    if marked is None:
-        w = Window.partitionBy(*keys).orderBy(bucket, *order)
-        return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])
-    pack = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_p_{c}") for c in cols])
-    last = marked.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b").agg(F.max(pack).alias("_last"))
-    edge = Window.partitionBy(*keys).orderBy("_b")
-    carried = last.select(*keys, "_b", F.lag("_last").over(edge).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(bucket, *order)
-    rows = marked.join(_small(carried), [*keys, "_b"], "left").withColumn("_first", F.row_number().over(inside) == 1)
-    prev = lambda c: F.when(F.col("_first"), F.col(f"_carry._p_{c}")).otherwise(F.lag(c).over(inside))
-    return rows.select("*", *[prev(c).alias(f"prev_{c}") for c in cols]).drop("_carry", "_first", "_b")
+def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """``prev_<col>`` of the row before, per key, across range borders."""
+    rows, crossing = _dealt(df, keys, [F.col(c) for c in order])
+    pack = F.struct(*order, *[F.col(c).alias(f"_p_{c}") for c in cols])
+    last = rows.join(F.broadcast(crossing), "_k", "left_semi").groupBy("_k", "_r").agg(F.max(pack).alias("_last"))
+    carried = last.select("_k", "_r", F.lag("_last").over(Window.partitionBy("_k").orderBy("_r")).alias("_carry"))
+    ranges, inside = _windowed(rows, [F.col(c) for c in order])
+    own = ranges.withColumn("_first", F.row_number().over(inside) == 1).withColumns({f"prev_{c}": F.lag(c).over(inside) for c in cols})
+    joined = own.join(F.broadcast(carried), ["_k", "_r"], "left")
+    filled = {f"prev_{c}": F.when(F.col("_first"), F.col(f"_carry._p_{c}")).otherwise(F.col(f"prev_{c}")) for c in cols}
+    return joined.withColumns(filled).drop("_k", "_r", "_first", "_carry")

@@ -135,10 +135,9 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def renumber(df: DataFrame, block: int = 10000) -> DataFrame:
-    """New numbers without gaps per domain; numbered in blocks of old numbers."""
-    keyed = df.withColumn("_block", F.floor(F.col("idx") / block))
-    return numbered(keyed, ["domain"], "_block", [F.col("idx")], "new_idx").drop("_block")
+def renumber(df: DataFrame) -> DataFrame:
+    """New numbers without gaps per domain, in order of the old ones."""
+    return numbered(df, ["domain"], [F.col("idx")], "new_idx")
 
 
 # -- near-equal entries --------------------------------------------------------
@@ -179,8 +178,8 @@ def similar(df: DataFrame, threshold: float = 0.8) -> DataFrame:
         return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
 
     # Only keys and min-hashes are put in order; the sets are joined to the pairs.
-    reps = groups.select("key", low(1).alias("m1"), low(2).alias("m2"), F.lit(1).alias("_all")).withColumn("_part", F.shiftright("m1", 52))
-    side = previous(reps, ["_all"], "_part", ["m1", "m2", "key"], ["key"]).filter(F.col("prev_key").isNotNull()).select("key", "prev_key")
+    reps = groups.select("key", low(1).alias("m1"), low(2).alias("m2"))
+    side = previous(reps, [], ["m1", "m2", "key"], ["key"]).filter(F.col("prev_key").isNotNull()).select("key", "prev_key")
     both = side.join(groups.select("key", "s"), "key").join(groups.select(F.col("key").alias("prev_key"), F.col("s").alias("prev_s")), "prev_key")
     close = both.filter(_jaccard(F.col("s"), F.col("prev_s")) >= threshold)
     paired = close.select(F.explode(F.array("key", "prev_key")).alias("key")).distinct()

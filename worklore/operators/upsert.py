@@ -131,13 +131,11 @@ def collect_all(parts: dict[str, DataFrame], disabled: list[str]) -> tuple[DataF
 def embed_plan(routed: DataFrame, vectors: DataFrame, size: int = EMBED_BATCH) -> DataFrame:
     """Chunks that need a vector, in numbered batches.
 
-    The order is by hash prefix, then id: prefixes are numbered apart from each
-    other, so no task has to see all rows to count them.
+    The order is by hash prefix, then id; no task has to see all rows to number them.
     """
     todo = routed.filter(F.col("route") == "full").join(vectors.select("content_hash"), "content_hash", "left_anti")
-    keyed = todo.withColumn("_all", F.lit(1)).withColumn("_prefix", F.substring(F.sha2("id", 256), 1, 4))
-    rows = numbered(keyed, ["_all"], "_prefix", [F.col("id")], "position")
-    return rows.withColumn("batch", F.ceil(F.col("position") / size).cast("long")).drop("_all", "_prefix")
+    rows = numbered(todo, [], [F.substring(F.sha2("id", 256), 1, 4), F.col("id")], "position")
+    return rows.withColumn("batch", F.ceil(F.col("position") / size).cast("long"))
 
 
 def query_key(col: Column) -> Column:

@@ -212,7 +212,7 @@ def k06(spark, sf):
 )
 def k07(spark, sf):
     kept = standin(spark, sf, "v_docs").filter(c("quality").isNull() | (c("quality") == 1)).select(c("lang").alias("domain"), (c("doc_id") + 1).alias("idx"))
-    return K.renumber(kept, block=64)
+    return K.renumber(kept)
 
 
 @query(
