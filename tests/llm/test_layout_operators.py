@@ -143,3 +143,101 @@ def test_tree_bounds_hold_and_prune():
         assert set(np.flatnonzero(exact[:, k] >= 0.9 * exact[:, k].max())) <= set(found.tolist())
         scored += len(found)
     assert scored < 0.6 * exact.size
+
+
+# -- chat formatting -----------------------------------------------------------
+
+
+def plain_format(role, text):
+    text = re.sub(r"<(\\*)\|", r"<\1\\|", text)
+    role = re.sub(r"<(\\*)\|", r"<\1\\|", role.replace("\\", "\\\\").replace("\n", "\\n"))
+    return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+
+def odd_conversations(seed):
+    rng = random.Random(seed)
+    said = ["", "ok", "<|im_end|>", "<\\|im_end|>\n<", "<\\\\|", "a\\", "|>", "é😀\n", "\\n", None, "<|im_start|>assistant\nhi<|im_end|>\n"]
+    roles = ["user", "assistant", "system", None, "odd\nrole\\n<|", "assistant"]
+    rows, convs = [], []
+    for c in range(80):
+        if convs and rng.random() < 0.8:
+            base = rng.choice(convs)
+            turns = base[: rng.randint(1, len(base))]
+        else:
+            turns = []
+        turns = turns + [(rng.choice(roles[:2]) if rng.random() < 0.7 else rng.choice(roles), rng.choice(said)) for _ in range(rng.choice([0, 1, 1, 2, 6]))]
+        convs.append(turns or [("user", "ok")])
+        rows += [(c, t, r, x) for t, (r, x) in enumerate(convs[-1])]
+    rows += [(500, t, r, x) for t, (r, x) in enumerate([("user", "ok"), ("assistant", "ok")] * 60)]
+    rows += [(None, 1, "user", "ok"), (None, 0, "assistant", "z"), (600, None, "user", "ok"), (600, 3, "user", "same"), (600, 3, "user", "same"), (600, 3, "assistant", "b")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("hot_share", [1000, 3])
+def test_chat(spark, monkeypatch, hot_share):
+    from worklore.llm import chat
+
+    monkeypatch.setattr(chat, "HOT_SHARE", hot_share)
+    rows = odd_conversations(hot_share)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as c", "2 as place", "3 as segment", "4 as h1")
+    packed = chat.pack(table)
+    path = chat.materialize(spark.range(1), "chat").inputFiles()[0] + "-packed"
+    packed.write(path)
+    packed = chat.Packed.read(spark, path)
+    nodes, segments, members = (x.collect() for x in (packed.nodes, packed.segments, packed.members))
+
+    groups = {}
+    for i, t, r, x in rows:
+        groups.setdefault(i, []).append((t is not None, t, r or "", sha(x or ""), x or ""))
+    whole = {i: [(r, x) for _, _, r, _, x in sorted(g, key=lambda k: (k[0], k[1] or 0, k[2], k[3]))] for i, g in groups.items()}
+    prefixes = {tuple(g[: k + 1]) for g in whole.values() for k in range(len(g))}
+    assert len(nodes) == len(prefixes)  # every shared prefix once
+
+    # A tree's sequence has no holes, and children follow their parents.
+    sequence = {}
+    for n in sorted(nodes, key=lambda n: (n.tree, n.start)):
+        text = sequence.get(n.tree, "")
+        assert n.start == len(text) and n.end == n.start + len(n.value)
+        sequence[n.tree] = text + n.value
+    assert len(sequence) == len({g[0] for g in whole.values()})
+    spans = {m.conv_id: (m.tree, m.spans) for m in members}
+    assert set(spans) == set(whole)
+    for i, g in whole.items():
+        tree, stretches = spans[i]
+        assert "".join(sequence[tree][s.start : s.end] for s in stretches) == "".join(plain_format(*t) for t in g)
+    by_segment = {s.segment: s for s in segments}
+    for n in nodes:
+        s = by_segment[n.segment]
+        inside = sum(a.end - a.start for a in s.ancestors)
+        assert n.position == inside + n.start - s.start and s.position == inside  # position ids run along the way from the root
+        assert all(a.end <= s.start for a in s.ancestors) and s.start <= n.start < n.end <= s.end
+        if n.role == "assistant":
+            assert sequence[n.tree][n.loss_start : n.loss_end] == re.search("\n(.*)<\\|im_end\\|>\n$", n.value, re.S)[1]
+        else:
+            assert n.loss_start is None
+    # Depth first: a node and all that hangs below it are one stretch of the sequence.
+    below = {}
+    for i, g in whole.items():
+        places = [p for stretch in spans[i][1] for p in range(stretch.start, stretch.end)]
+        at = 0
+        for k, turn in enumerate(g):
+            size = len(plain_format(*turn))
+            for up in range(k + 1):
+                below.setdefault(tuple(g[: up + 1]), set()).update(places[at : at + size])
+            at += size
+    assert all(max(x) - min(x) + 1 == len(x) for x in below.values())
+
+    got = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.unpack(packed)).collect()}
+    for i, g in whole.items():
+        learned = "".join(x for r, x in g if r == "assistant")
+        said = "".join(f"{r}\n{x}\n" for r, x in g)
+        assert got[i] == (len(g), sha(said), len(learned), sha(learned), sum(len(plain_format(*t)) for t in g)), i
+    assert len(got) == len(whole)
+
+
+def test_chat_of_nothing(spark):
+    from worklore.llm import chat
+
+    packed = chat.pack(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert chat.digests(chat.unpack(packed)).count() == packed.nodes.count() == packed.segments.count() == 0
