@@ -47,7 +47,6 @@ LEARNED = ("assistant",)
 #: Parts that a hot key of a join is dealt over; a key is hot above this share of the rows.
 SALTS, HOT_SHARE = 32, 1000
 NODE = ["k1", "k2"]
-TEXT_KEY = ["c", "h1", "h2"]
 
 
 def escape(text: Column) -> Column:
@@ -114,7 +113,10 @@ class Packed:
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """(c, role, text, turn, h1, h2): ``c`` holds the id so that a null id is a key like others."""
+    """(c, role, text, turn, h1, h2, row): ``c`` holds the id so that a null id is a key like others.
+
+    Written, so that the row numbers stay what they are.
+    """
     rows = conversations.select(
         F.struct(F.col("conv_id").cast("long").alias("id")).alias("c"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -123,15 +125,15 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     )
     code = F.sha2("text", 256)
     number = lambda at: F.conv(F.substring(code, at, 15), 16, 10).cast("long")
-    return rows.withColumns({"h1": number(1), "h2": number(16)})
+    return materialize(rows.withColumns({"h1": number(1), "h2": number(16), "row": F.monotonically_increasing_id()}), "turns")
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """Turns without their texts: place in the conversation, tokens up to their end, node and parent names."""
     size = F.char_length(formatted(F.col("role"), F.col("text"))).cast("long")
-    narrow = rows.select("c", "turn", "role", "h1", "h2", size.alias("size"), F.monotonically_increasing_id().alias("copy"))
-    order = [F.col(x) for x in ("turn", "role", "h1", "h2", "copy")]
-    counted = running(narrow, ["c"], order, place=("sum", F.lit(1).cast("long")), upto=("sum", F.col("size"))).drop("turn", "copy")
+    narrow = rows.select("c", "turn", "role", "h1", "h2", size.alias("size"), "row")
+    order = [F.col(x) for x in ("turn", "role", "h1", "h2", "row")]
+    counted = running(narrow, ["c"], order, place=("sum", F.lit(1).cast("long")), upto=("sum", F.col("size"))).drop("turn")
     one = F.xxhash64("place", "role", "h1", "h2")
     two = F.xxhash64("h2", "h1", "role", "place")
     named = running(counted, ["c"], [F.col("place")], k1=("xor", one), k2=("xor", two))
@@ -158,7 +160,7 @@ def ordered(turns: DataFrame) -> DataFrame:
 def pack(conversations: DataFrame) -> Packed:
     """All conversations as prefix trees; see ``Packed``."""
     rows = turns_of(conversations)
-    turns = materialize(placed(rows), "turns")
+    turns = materialize(placed(rows), "places")
     convs = materialize(ordered(turns), "conversations")
     ranked = materialize(hot_join(turns.drop("p1", "p2"), convs.select("c", "rank"), ["c"]), "ranked")
     owners = ranked.groupBy(*NODE).agg(F.min("rank").alias("segment"))
@@ -183,11 +185,9 @@ def pack(conversations: DataFrame) -> Packed:
     ways = members.select(F.col("rank").alias("segment"), "spans")
     segments = starts.join(ways, "segment").select("tree", "segment", "start", "end", "position", F.transform(before, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("ancestors"))
 
-    # Texts meet the nodes last, and once.
-    texts = rows.groupBy(*TEXT_KEY).agg(F.first("text").alias("text"))
-    keyed = hot_join(own.select("c", "segment", "place", "role", "h1", "h2", "size", "upto"), texts, TEXT_KEY)
+    # Texts meet the nodes last, and once, by row number.
     moves = starts.select("segment", "tree", (F.col("start") - F.col("position")).alias("shift"))
-    whole = hot_join(keyed, moves, ["segment"])
+    whole = hot_join(own.select("row", "segment", "place", "role", "size", "upto"), moves, ["segment"]).join(rows.select("row", "text"), "row")
     start = F.col("upto") - F.col("size") + F.col("shift")
     tail = len(END) + 1
     learned = F.col("role").isin(*LEARNED)
