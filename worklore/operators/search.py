@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from worklore.functions import ranking as R
 from worklore.functions import text as T
-from worklore.session import fresh_path, materialize, spread_small
+from worklore.operators.inverted import GRID, InvertedIndex, query_terms, steady
+from worklore.session import fresh_path, materialize
 
 # Fixed values.
 ALL_SOURCES = ["jira", "slack", "gmail", "drive", "confluence", "calendar"]
@@ -21,18 +22,10 @@ TYPES_OF_SOURCE = {
     "email": ["gmail"], "document": ["drive"], "spreadsheet": ["drive"], "presentation": ["drive"],
     "pdf": ["drive"], "other": ["drive"], "page": ["confluence"], "blogpost": ["confluence"], "event": ["calendar"],
 }
-TOKEN = r"[\p{L}\p{N}]+"
 DEFAULT_LIMIT = 20
 BY_METADATA_LIMIT = 50
 QUERY_BLOCK = 1024
 TASK_CUT, CUT_PARTS = 1000, 64
-# Sums over a shuffle come in any order.  Scores are held on a grid of 2**-30, so
-# that equal scores stay equal on every run and ties fall to the id.
-GRID = 2**30
-
-
-def steady(score: Column) -> Column:
-    return F.floor(score * GRID + 0.5) / F.lit(float(GRID))
 
 
 # -- filters -------------------------------------------------------------------
@@ -59,65 +52,15 @@ def filters(df: DataFrame, sources=None, where: dict | None = None, start: str |
 # -- keyword score -------------------------------------------------------------
 
 
-def _tokens(col: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(TOKEN), F.lit(0))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, term, times) of the normalised queries."""
-    return (
-        queries.select("qid", F.explode(_tokens(T.norm_query(F.col("query")))).alias("term"))
-        .groupBy("qid", "term")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str = "title", k: int | None = None, as_of_ms: int | None = None) -> DataFrame:
+    """(qid, id, score): best of the text score and three times the title score; the best ``k`` per query if given.
 
-
-def postings(index: DataFrame, terms: DataFrame, text: str, title: str) -> DataFrame:
-    """(id, field, term, len, tf) for the wanted terms, in one pass over the rows.
-
-    Only occurrences of wanted terms leave the scan, summed per row map-side.
-    The empty term stands once for each field that has any words, so that the
-    field statistics come out of the same pass.  Written once, read three times.
+    With ``as_of_ms`` scores take the weight of the last update.  Rows that have
+    no stored inverted index get one with the asked terms only.
     """
-    rows = spread_small(index.select("id", text, title), "id")
-
-    def words(f: int, col: str) -> DataFrame:
-        toks = rows.select("id", _tokens(F.col(col)).alias("_t")).filter(F.size("_t") > 0)
-        marked = F.concat("_t", F.array(F.lit("")))
-        return toks.select("id", F.lit(f).alias("field"), F.size("_t").alias("len"), F.explode(marked).alias("term"))
-
-    seen = words(0, text).unionByName(words(1, title))
-    kept = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
-    hits = seen.join(kept, "term", "left_semi").groupBy("id", "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return materialize(hits, "postings")
-
-
-def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str = "title") -> DataFrame:
-    """(qid, id, score): best of the text score and three times the title score."""
-    # written first: Spark then knows its size, and broadcasts it if it is small
-    wanted = materialize(query_terms(queries), "terms")
-    found = postings(index, wanted, text, title)
-    marks, matched = found.filter(F.col("term") == ""), found.filter(F.col("term") != "")
-    fields = marks.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    terms = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(fields, "field")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = R.K1 * (1 - R.B + R.B * F.col("len") / F.col("avg_len"))
-    weight = idf * F.col("tf") * (R.K1 + 1) / (F.col("tf") + norm)
-    per_field = (
-        matched.join(terms, ["field", "term"])
-        .join(wanted, "term")
-        .select("qid", "id", "field", (weight * F.col("times")).alias("w"))
-        .groupBy("qid", "id")
-        .agg(
-            F.sum(F.when(F.col("field") == 0, F.col("w"))).alias("s0"),
-            F.sum(F.when(F.col("field") == 1, F.col("w"))).alias("s1"),
-        )
-    )
-    return per_field.select(
-        "qid",
-        "id",
-        steady(F.greatest(F.coalesce("s0", F.lit(0.0)), F.lit(R.TITLE_BOOST) * F.coalesce("s1", F.lit(0.0)))).alias("score"),
-    )
+    made = InvertedIndex.create(index.sparkSession)
+    made.append(index, text, title, only=materialize(query_terms(queries).select("term").distinct(), "terms"))
+    return made.search(queries, k, as_of_ms)
 
 
 def decayed(hits: DataFrame, as_of_ms: int, updated: str = "updated_ms") -> DataFrame:
@@ -260,22 +203,28 @@ def search(
     rescore: DataFrame | None = None,
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
+    inverted: InvertedIndex | None = None,
     **where,
 ) -> DataFrame:
     """The whole search: filter, retrieve, de-duplicate, boost, rescore,
     personalise, sort and page, for every query at once.
 
-    An empty source list does not restrict the sources.
+    An empty source list does not restrict the sources.  ``inverted`` is the
+    stored index of the same rows; with filters, term statistics are those of
+    the filtered rows, which get an index of the asked terms.  Keyword search
+    alone takes only the page from it; with vectors all its hits are summed.
     """
-    index = filters(index, **where)
+    whole, index = index, filters(index, **where)
     fetch = limit + offset
-    dates = index.select("id", "updated_ms")
     if mode in ("keyword", "hybrid"):
-        hits = decayed(bm25(index, queries).join(dates, "id"), as_of_ms).select("qid", "id", "score")
+        if inverted is None or index is not whole:
+            hits = bm25(index, queries, k=fetch if mode == "keyword" else None, as_of_ms=as_of_ms)
+        else:
+            hits = inverted.search(queries, fetch if mode == "keyword" else None, as_of_ms)
     if mode in ("vector", "hybrid"):
         near = knn(vectors.join(index.select("id"), "id", "left_semi"), query_vectors).select("qid", "id", "score")
         hits = near if mode == "vector" else hybrid(hits, near)
-    page = top_per_query(hits, fetch).drop("rank")
+    page = materialize(top_per_query(hits, fetch).drop("rank"), "page")
     found = boosted(best_chunk(page.join(index.drop("score", "content", "embedding"), "id")))
     if rescore is not None:
         found = rescored(found, rescore, fetch)
