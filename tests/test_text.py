@@ -82,6 +82,57 @@ def test_file_chunks(spark, lang):
     assert all(x in body for x in long) and long[0].startswith("class A") and long[-1].endswith("199 + 1")
 
 
+def split_recursively(s, seps, size, overlap):
+    """The plain form of the file splitter."""
+    sep = next(x for x in seps if x == "" or x in s)
+    finer = seps[seps.index(sep) + 1 :]
+    pieces = [p for p in re.split(f"(?={re.escape(sep)})", s) if p] if sep else list(s)
+    out, run, used = [], [], 0
+
+    def flush():
+        merged = "".join(run).strip()
+        if merged:
+            out.append(merged)
+
+    for piece in pieces:
+        n = tokens(piece)
+        if n >= size and finer:
+            flush()
+            run, used = [], 0
+            out += split_recursively(piece, finer, size, overlap)
+            continue
+        if run and used + n > size:
+            flush()
+            while run and (used > overlap or used + n > size):
+                used -= tokens(run.pop(0))
+        run.append(piece)
+        used += n
+    flush()
+    return out
+
+
+@pytest.mark.parametrize("size, overlap, whole", [(512, 64, 600), (10, 4, 12), (6, 6, 3)])
+def test_file_chunks_against_recursion(spark, size, overlap, whole):
+    texts = random_texts(40 if size > 6 else 5) + ["", "x" * 3000 if size > 6 else "x" * 99, "w " * (3000 if size > 6 else 50), "\n\n\n" + "para one\n\n\n\ntwo three\n" * (300 if size > 6 else 9), "é😀" * (900 if size > 6 else 40) + "\n\nend", "(a)\\E[b]\n\n" * (400 if size > 6 else 20)]
+    code = ["<body>" + "<p>one two</p><div>three<p>four" * (200 if size > 6 else 9) + "x" * (5000 if size > 6 else 99) + "</body>" + t for t in texts[:6]]
+    df = spark.createDataFrame([(f"{i}.txt", t) for i, t in enumerate(texts)] + [(f"c{i}.html", t) for i, t in enumerate(code)], "name string, body string")
+    got = {}
+    for r in C.code_chunks(df, size=size, overlap=overlap, whole=whole).orderBy("name", "chunk_index").collect():
+        got.setdefault(r.name, []).append(r.chunk)
+    for name, text in [(f"{i}.txt", t) for i, t in enumerate(texts)] + [(f"c{i}.html", t) for i, t in enumerate(code)]:
+        seps = (C.CODE_SEPARATORS["html"] if name.endswith("html") else []) + C.TEXT_SEPARATORS
+        want = [text] if tokens(text) < whole else split_recursively(text, seps, size, overlap)
+        assert got.get(name, []) == want, name
+
+
+def test_prompt_and_transcript_texts(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "hi"), (1, 0, "system", "be\nkind"), (1, 2, "tool", "x"), (2, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.prompt for r in C.prompts(turns).collect()} == {1: "System: be\nkind\n\nUser: hi\n\nAssistant: ", 2: "Assistant: "}
+    spoken = spark.createDataFrame([("a", 5.0, 9.0, " two "), ("a", 0.0, 5.0, "one\n"), ("b", 0.0, 1.0, " ")], "audio_id string, start_s double, end_s double, text string")
+    got = {r.audio_id: (r.text, r.duration_s, r.n_segments) for r in C.transcript_texts(spoken).collect()}
+    assert got == {"a": ("one two", 9.0, 2), "b": ("", 1.0, 1)}
+
+
 def test_sanitize(spark):
     df = spark.createDataFrame([(r'"a\ud83d\ude00b\ud83dc\ude00\\ud800 \n"',)], "j string")
     assert df.select(T.sanitize_json(F.col("j"))).head()[0] == r'"a\ud83d\ude00bc\\ud800 \n"'

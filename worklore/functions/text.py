@@ -89,52 +89,53 @@ def sentences(col: Column) -> Column:
     return F.transform(F.array(col), cut)[0]
 
 
-def _tail(cur: Column, limit: int) -> Column:
-    """The trailing sentences worth at most ``limit`` tokens."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("kept"), F.lit(0).alias("tok"), F.lit(True).alias("open")
-    )
+def pack_spans(n: Column, size: int, overlap: int, begins: Column | None = None, fit: bool = False) -> Column:
+    """Greedy packing of pieces of ``n`` tokens each to spans (a, b) of piece numbers, b excluded.
+
+    A span opens with the trailing pieces of the last one worth at most
+    ``overlap`` tokens; with ``fit`` only with as many as leave room for the
+    next piece.  Where ``begins`` is true a span begins anew, without overlap.
+    Only numbers are folded; each run is looked back through once.
+    """
+    spans = "array<struct<a: int, b: int>>"
+    start = F.struct(F.array().cast(spans).alias("done"), F.lit(0).alias("a"), F.lit(0).alias("used"))
+    anew = F.lit(False) if begins is None else None
+
+    def step(acc, i):
+        m = F.get(n, i)
+        limit = F.least(F.lit(overlap), size - m) if fit else F.lit(overlap)
+
+        def back(t, j):
+            fits = t.open & (t.used + F.get(n, j) <= limit)
+            return F.when(fits, F.struct(j.alias("a"), (t.used + F.get(n, j)).alias("used"), t.open.alias("open"))).otherwise(
+                F.struct(t.a.alias("a"), t.used.alias("used"), F.lit(False).alias("open"))
+            )
+
+        tail = F.aggregate(F.sequence(i - 1, acc.a, F.lit(-1)), F.struct(i.alias("a"), F.lit(0).alias("used"), F.lit(True).alias("open")), back)
+        flushed = F.array_append(acc.done, F.struct(acc.a.alias("a"), i.alias("b")))
+        some = i > acc.a
+        fresh = anew if begins is None else F.get(begins, i)
+        went = F.transform(F.array(tail), lambda t: F.struct(flushed.alias("done"), t.a.alias("a"), (t.used + m).alias("used")))[0]
+        return (
+            F.when(some & fresh, F.struct(flushed.alias("done"), i.alias("a"), m.alias("used")))
+            .when(some & (acc.used + m > size), went)
+            .otherwise(F.struct(acc.done.alias("done"), acc.a.alias("a"), (acc.used + m).alias("used")))
+        )
+
+    places = F.when(F.size(n) > 0, F.sequence(F.lit(0), F.size(n) - 1)).otherwise(F.array().cast("array<int>"))
+    last = lambda acc: F.when(F.size(n) > acc.a, F.array_append(acc.done, F.struct(acc.a.alias("a"), F.size(n).alias("b")))).otherwise(acc.done)
+    return F.aggregate(places, start, step, last)
 
-    def step(t, s):
-        fits = t.open & (t.tok + n_tokens(s) <= limit)
-        return F.when(
-            fits, F.struct(F.array_prepend(t.kept, s).alias("kept"), (t.tok + n_tokens(s)).alias("tok"), t.open.alias("open"))
-        ).otherwise(F.struct(t.kept.alias("kept"), t.tok.alias("tok"), F.lit(False).alias("open")))
 
-    return F.aggregate(F.reverse(cur), start, step)
+def joined(parts: Column, spans: Column) -> Column:
+    """The text of each span."""
+    return F.transform(spans, lambda s: F.array_join(F.slice(parts, s["a"] + 1, s["b"] - s["a"]), ""))
 
 
 def pack_sentences(parts: Column, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
     """Greedy packing of sentences; each chunk opens with the tail of the last."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("cur"),
-        F.lit(0).alias("tok"),
-    )
-
-    def step(acc, s):
-        n = n_tokens(s)
-        full = (acc.tok + n > size) & (F.size(acc.cur) > 0)
-        flushed = F.transform(
-            F.array(_tail(acc.cur, overlap)),
-            lambda t: F.struct(
-                F.array_append(acc.done, F.array_join(acc.cur, "")).alias("done"),
-                F.array_append(t.kept, s).alias("cur"),
-                (t.tok + n).alias("tok"),
-            ),
-        )
-        return F.when(full, flushed[0]).otherwise(
-            F.struct(acc.done.alias("done"), F.array_append(acc.cur, s).alias("cur"), (acc.tok + n).alias("tok"))
-        )
-
-    return F.aggregate(
-        parts,
-        start,
-        step,
-        lambda acc: F.when(
-            F.size(acc.cur) > 0, F.array_append(acc.done, F.array_join(acc.cur, ""))
-        ).otherwise(acc.done),
-    )
+    both = F.transform(F.array(parts), lambda p: F.struct(p.alias("p"), F.transform(p, n_tokens).alias("n")))
+    return F.transform(both, lambda x: joined(x["p"], pack_spans(x["n"], size, overlap)))[0]
 
 
 def chunks(col: Column, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, whole: int = WHOLE_TOKENS) -> Column:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,42 +116,52 @@ def index_rows(docs: DataFrame, ready: str | None = None) -> DataFrame:
 # -- file bodies ---------------------------------------------------------------
 
 
-def quarter_tokens(s: str) -> int:
-    return -(-len(s) // 4)
-
-
-def split_text(s: str, seps: list[str], size: int, overlap: int, count) -> list[str]:
-    """Split at the coarsest separator that occurs; go finer where a piece is too long."""
-    sep = next((x for x in seps if x == "" or x in s), "")
-    finer = seps[seps.index(sep) + 1:] if sep in seps else []
-    if sep:
-        pieces = [p for p in re.split(f"(?={re.escape(sep)})", s) if p]
-    else:
-        pieces = list(s)
-    out: list[str] = []
-    run: list[str] = []
-
-    def flush():
-        merged = "".join(run).strip()
-        if merged:
-            out.append(merged)
-
-    used = 0
-    for piece in pieces:
-        n = count(piece)
-        if n >= size and finer:
-            flush()
-            run, used = [], 0
-            out.extend(split_text(piece, finer, size, overlap, count))
-            continue
-        if run and used + n > size:
-            flush()
-            while run and (used > overlap or used + n > size):
-                used -= count(run.pop(0))
-        run.append(piece)
-        used += n
-    flush()
-    return out
+def _split_once(span: Column, seps: Column, size: int, count: Callable[[Column], Column]) -> Column:
+    """A span (text, next separator) cut in front of each place of the first separator that occurs in it.
+
+    Pieces of ``size`` tokens or more are still to be cut, as long as a finer
+    separator is left.  ``anew`` marks pieces that no chunk joins with those before.
+    """
+    occurs = F.filter(F.sequence(span["k"], F.size(seps) - 1), lambda j: (F.get(seps, j) == "") | F.contains(span["p"], F.get(seps, j)))
+
+    def cut(j: Column) -> Column:
+        sep = F.get(seps, j)
+        pattern = F.when(sep == "", "").otherwise(F.concat(F.lit(r"(?=\Q"), sep, F.lit(r"\E)")))
+
+        def pieces(parts: Column) -> Column:
+            long = lambda i: (count(F.get(parts, i)) >= size) & (sep != "")
+            return F.transform(
+                parts,
+                lambda p, i: F.struct(p.alias("p"), (j + 1).alias("k"), count(p).alias("n"), ((i == 0) | long(i - 1)).alias("anew")),
+            )
+
+        return F.transform(F.array(F.split(span["p"], pattern, -1)), pieces)[0]
+
+    return F.transform(F.array(F.get(occurs, F.lit(0))), cut)[0]
+
+
+def _columns(found: Column) -> Column:
+    """The texts, sizes and marks of pieces as one array each."""
+    return F.struct(found["p"].alias("p"), found["n"].alias("n"), found["anew"].alias("anew"))
+
+
+def split_body(body: Column, seps: Column, size: int, overlap: int, count: Callable[[Column], Column]) -> Column:
+    """Chunks of a body: one pass per separator over the pieces still too long, then greedy packing of their sizes."""
+    whole = F.array(F.struct(body.alias("p"), F.lit(0).alias("k"), F.lit(size).alias("n"), F.lit(True).alias("anew")))
+    long = lambda e: (e["n"] >= size) & (e["k"] < F.size(seps))
+
+    def level(found: Column, _: Column) -> Column:
+        cut = F.flatten(F.transform(found, lambda e: F.when(long(e), _split_once(e, seps, size, count)).otherwise(F.array(e))))
+        return F.when(F.exists(found, long), cut).otherwise(found)
+
+    pieces = F.aggregate(seps, whole, level)
+
+    def packed(x: Column) -> Column:
+        spans = T.pack_spans(x["n"], size, overlap, x["anew"], fit=True)
+        return F.transform(T.joined(x["p"], spans), T.trim_all)
+
+    # Bound once, so that no step of the packing builds them again.
+    return F.filter(F.transform(F.transform(F.array(pieces), _columns), packed)[0], lambda c: c != "")
 
 
 def chunk_files(
@@ -163,29 +171,25 @@ def chunk_files(
     overlap: int = T.OVERLAP_TOKENS,
     whole: int = T.WHOLE_TOKENS,
     lang: str | None = None,
-    count: Callable[[str], int] = quarter_tokens,
+    count: Callable[[Column], Column] = T.n_tokens,
 ) -> DataFrame:
-    """Recursive split of file bodies into rows (chunk_index, chunk).
+    """File bodies split at ever finer separators into rows (chunk_index, chunk).
 
-    Short bodies never leave the JVM; the rest go through Arrow batches.
-    ``lang`` names a column with the language, whose separators come first.
+    Each level is one pass of column expressions over the pieces of a body that
+    are still too long; nothing leaves the JVM, nothing is shuffled.  ``lang``
+    names a column with the language, whose separators come first; ``count``
+    gives the tokens of a text.
     """
-
-    @F.pandas_udf("array<string>")
-    def split(bodies: pd.Series, langs: pd.Series) -> pd.Series:
-        def one(b, lg):
-            if count(b) < whole:
-                return [b]
-            return split_text(b, CODE_SEPARATORS.get(lg, []) + TEXT_SEPARATORS, size, overlap, count)
-
-        return pd.Series([one(b, lg) for b, lg in zip(bodies, langs)])
-
-    tag = F.col(lang) if lang else F.lit(None).cast("string")
-    short = F.length(body) < whole if count is not quarter_tokens else T.n_tokens(F.col(body)) < whole
-    keep = df.columns
-    as_is = df.filter(short).select(*keep, F.lit(0).alias("chunk_index"), F.col(body).alias("chunk"))
-    long = df.filter(~short).select(*keep, F.posexplode(split(F.col(body), tag)).alias("chunk_index", "chunk"))
-    return as_is.unionByName(long)
+    rows = spread_small(df, body)
+    short = count(F.col(body)) < whole
+    plain = F.array(*[F.lit(s) for s in TEXT_SEPARATORS])
+    seps = plain
+    if lang:
+        lists = F.create_map(*[x for tag, own in CODE_SEPARATORS.items() for x in (F.lit(tag), F.array(*[F.lit(s) for s in own + TEXT_SEPARATORS]))])
+        seps = F.coalesce(F.try_element_at(lists, F.col(lang)), plain)
+    cut = F.transform(F.array(seps), lambda s: split_body(F.col(body), s, size, overlap, count))[0]
+    as_is = rows.filter(short).select(*df.columns, F.lit(0).alias("chunk_index"), F.col(body).alias("chunk"))
+    return as_is.unionByName(rows.filter(~short).select(*df.columns, F.posexplode(cut).alias("chunk_index", "chunk")))
 
 
 def code_chunks(df: DataFrame, path: str = "name", **options) -> DataFrame:
@@ -210,8 +214,20 @@ def to_prompt(turns: DataFrame) -> DataFrame:
     return blocks.filter(F.col("block").isNotNull()).unionByName(closing)
 
 
+def prompts(turns: DataFrame) -> DataFrame:
+    """(conv_id, prompt): the blocks of a conversation put together, one text per conversation."""
+    blocks = to_prompt(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "block"))).alias("b"))
+    return blocks.select("conv_id", F.array_join(F.transform("b", lambda x: x["block"]), "").alias("prompt"))
+
+
 def transcripts(segments: DataFrame) -> DataFrame:
     """Trimmed segments in time order (``start_s``), with the length and segment count of their audio."""
     totals = segments.groupBy("audio_id").agg(F.max("end_s").alias("duration_s"), F.count(F.lit(1)).alias("n_segments"))
     rows = segments.select("audio_id", "start_s", T.trim_all(F.col("text")).alias("text"))
     return rows.join(totals, "audio_id")
+
+
+def transcript_texts(segments: DataFrame) -> DataFrame:
+    """One text per audio: its trimmed segments in time order, joined by a space."""
+    parts = transcripts(segments).groupBy("audio_id", "duration_s", "n_segments").agg(F.sort_array(F.collect_list(F.struct("start_s", "text"))).alias("s"))
+    return parts.select("audio_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"), "duration_s", "n_segments")

@@ -204,3 +204,25 @@ def t17(spark, sf):
         F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"),
     )
     return C.transcripts(seg)
+
+
+@query(
+    "t16_prompt_text",
+    """SELECT conv_id, coalesce(string_agg(block, '' ORDER BY turn), '') || 'Assistant: ' AS prompt FROM (
+         SELECT conv_id, turn, CASE role WHEN 'system' THEN 'System: ' WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' END
+                || text || chr(10) || chr(10) AS block FROM conversations) GROUP BY conv_id""",
+)
+def t16_text(spark, sf):
+    return C.prompts(table(spark, sf, "conversations"))
+
+
+@query(
+    "t17_transcript_text",
+    f"""SELECT conv_id AS audio_id, string_agg(regexp_replace(text, '\\A{T.SPACE}+|{T.SPACE}+\\z', '', 'g'), ' ' ORDER BY turn) AS text,
+              max(turn * 10 + 9) AS duration_s, count(*) AS n_segments FROM conversations GROUP BY conv_id""",
+)
+def t17_text(spark, sf):
+    segments = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("audio_id"), (F.col("turn") * 10).alias("start_s"), (F.col("turn") * 10 + 9).alias("end_s"), "text"
+    )
+    return C.transcript_texts(segments)
