@@ -63,11 +63,6 @@ def bm25(index: DataFrame, queries: DataFrame, text: str = "content", title: str
     return made.search(queries, k, as_of_ms)
 
 
-def decayed(hits: DataFrame, as_of_ms: int, updated: str = "updated_ms") -> DataFrame:
-    """Keyword score times the weight of the last update."""
-    return hits.withColumn("score", steady(F.col("score") * R.decay(F.col(updated), as_of_ms)))
-
-
 # -- vector score --------------------------------------------------------------
 
 
