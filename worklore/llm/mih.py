@@ -39,9 +39,10 @@ LISTED = 2
 #: Promises closer than this, as a share of the largest length, are ties.
 TIE = 1e-6
 RESULT = "query_id long, vec_id long, score double"
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 _NEAR = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
-_RINGS = [[np.flatnonzero(_NEAR[v] == s) for v in range(256)] for s in range(LISTED)]
+#: ``_RINGS[s][v]`` are the values s bits from v.
+_RINGS = [np.stack([np.flatnonzero(row == s) for row in _NEAR]) for s in range(LISTED)]
 
 
 def random_rotation(dim: int, seed: int) -> np.ndarray:
@@ -75,61 +76,80 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Shard:
-    """For each substring j, rows of value v are ``order[j][offset[j][v]:offset[j][v + 1]]``."""
+    """For each substring j, rows of value v are ``order[j, offset[j, v]:offset[j, v + 1]]``.
 
-    codes: np.ndarray
+    ``words`` holds the codes a second time, 64 bits to a word and word by word,
+    so distances are bit counts over whole columns.
+    """
+
+    words: np.ndarray
     lengths: np.ndarray
-    order: list[np.ndarray]
-    offset: list[np.ndarray]
+    order: np.ndarray
+    offset: np.ndarray
 
     @classmethod
     def build(cls, codes: np.ndarray, lengths: np.ndarray | None = None) -> Shard:
-        order = [np.argsort(c, kind="stable") for c in codes.T]
-        offset = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in codes.T]
-        return cls(codes, np.ones(len(codes)) if lengths is None else lengths, order, offset)
-
-    def probe(self, code: np.ndarray, s: int) -> np.ndarray:
-        """Rows of all buckets whose value is s bits from the code's, in any substring."""
-        found = []
-        for j, (order, offset) in enumerate(zip(self.order, self.offset)):
-            found += [order[offset[v] : offset[v + 1]] for v in _RINGS[s][code[j]].tolist() if offset[v] < offset[v + 1]]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        order = np.stack([np.argsort(c, kind="stable") for c in codes.T])
+        offset = np.stack([np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in codes.T])
+        return cls(np.ascontiguousarray(as_words(codes).T), np.ones(len(codes)) if lengths is None else lengths, order, offset)
+
+    def probe(self, code: np.ndarray, s: int, seen: np.ndarray) -> None:
+        """Mark the rows of all buckets whose value is s bits from the code's, in any substring."""
+        part, value = np.arange(len(code))[:, None], _RINGS[s][code]
+        low, high = self.offset[part, value].ravel(), self.offset[part, value + 1].ravel()
+        size = high - low
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        seen[self.order[np.repeat(np.repeat(part[:, 0], value.shape[1]), size), place]] = True
+
+    def distances(self, word: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Bits in which the codes of the rows (all, if none are given) differ from one code, given as words."""
+        return np.bitwise_count((self.words if rows is None else self.words.take(rows, axis=1)) ^ word).sum(0, dtype=np.int64)
 
     def nearest(self, code: np.ndarray, enough: int) -> np.ndarray:
         """Rows of at least the ``enough`` largest promises: all down to some promise."""
-        n, parts = self.codes.shape
+        n, parts = self.order.shape[1], len(self.order)
         if n <= enough:
             return np.arange(n)
         cosine, longest = np.cos(np.pi * np.arange(8 * parts + 1) / (8 * parts)), self.lengths.max()
-        rows = np.zeros(0, np.int64)
-        for s in range(LISTED + 1):
-            rows = np.union1d(rows, self.probe(code, s)) if s < LISTED else np.arange(n)
-            promise = self.lengths[rows] * cosine[_ONES[self.codes[rows] ^ code].sum(1, dtype=np.int64)]
+        seen, word = np.zeros(n, bool), as_words(code[None]).T
+        for s in range(LISTED):
+            self.probe(code, s, seen)
+            rows = np.flatnonzero(seen)
             if len(rows) < enough:
                 continue
+            promise = self.lengths[rows] * cosine[self.distances(word, rows)]
             limit = np.partition(promise, len(rows) - enough)[len(rows) - enough] - TIE * longest
             beyond = cosine[min(parts * (s + 1), 8 * parts)]
             if len(rows) == n or limit > beyond * (longest if beyond > 0 else self.lengths.min()):
                 return rows[promise >= limit]
-        return rows
+        promise = self.lengths * cosine[self.distances(word)]
+        return np.flatnonzero(promise >= np.partition(promise, n - enough)[n - enough] - TIE * longest)
+
+
+def as_words(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words, filled up with zeros."""
+    return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in component order, so copies score alike."""
-    total = np.zeros(len(vectors))
-    for d in range(len(query)):
-        total += vectors[:, d] * query[d]
-    return total
+    return column_scores(query, np.ascontiguousarray(vectors.T))
+
+
+def column_scores(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The same of vectors given component by component: whole columns are added one after another."""
+    return np.add.reduce(columns * query[:, None], axis=0)
 
 
 def search_shard(query_ids, queries, vec_ids, vectors, turn, k, enough) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The k best candidates of one shard for each query."""
     shard = Shard.build(encode(vectors, turn), np.linalg.norm(vectors / np.abs(vectors).max(), axis=1))
+    columns = np.ascontiguousarray(vectors.T)
     out = []
     for qid, query, code in zip(query_ids, queries, encode(queries, turn)):
         rows = shard.nearest(code, min(max(enough, 4 * k), len(vectors)))
         rows = rows[vec_ids[rows] != qid]
-        scores, ids = exact_scores(query, vectors[rows]), vec_ids[rows]
+        scores, ids = column_scores(query, columns.take(rows, axis=1)), vec_ids[rows]
         best = np.lexsort((ids, -scores))[:k]
         out.append((np.full(len(best), qid), ids[best], scores[best]))
     return out
