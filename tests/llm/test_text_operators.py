@@ -163,6 +163,30 @@ def test_secrets(spark):
     assert secrets.find_secrets(cases.empty(spark)).count() == 0
 
 
+def test_secrets_of_long_lines():
+    """Lines of starts that never match, or that match late, are read in one go; spans equal a plain search."""
+    import random
+    import time
+
+    scanner = secrets.compile_rules(secrets.RULES)
+    rng = random.Random(5)
+    parts = ["eyJ", "a", "-", ".", " ", "é", "-----BEGIN ", "A", "PRIVATE KEY-----", "RSA ", "password", "  ", "=", "abcdefgh", "token: ", "AKIA", "0f" * 9]
+    plain = [(re.compile((r.head + r.body).encode(), re.I if r.any_case else 0), re.compile(r.head.encode(), re.I if r.any_case else 0)) for r in secrets.RULES]
+    for size in [rng.randint(0, 80) for _ in range(1500)]:
+        line = "".join(rng.choices(parts, k=size)).encode()
+        want = []
+        for number, (whole, head) in enumerate(plain):
+            rule = secrets.RULES[number]
+            found = [(m.start(), number, m.end(), len(head.match(m[0])[0]) if rule.of_body else 0) for m in whole.finditer(line)]
+            want += [(a, n, b) for a, n, b, h in found if b - a - h >= rule.least]
+        assert secrets.line_spans(line, scanner) == want, line
+    begun = time.time()
+    for text in ("eyJ" * 120_000 + "a.", "-----BEGIN " * 30_000 + "PRIVATE KEY----", ("token=" + "a" * 20 + " é ") * 10_000):
+        spans = secrets.scan_batch(pa.array([text, "é " + text]), scanner)
+        assert [(a + 2, r, b + 2) for a, r, b in spans.get(0, [])] == spans.get(1, [])
+    assert time.time() - begun < 60
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from worklore.llm import textbytes as tb
 
 LANE = 1024
+#: Walks of one line meet at every so many bytes at the latest.
+STRIDE = 8
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -134,6 +136,26 @@ def _bytes_of(items, fold: bool) -> frozenset[int]:
     return frozenset(out)
 
 
+class Barren:
+    """Places and states of a text from which no match ends any more, at every ``STRIDE``-th byte.
+
+    One bit each, so a text of n bytes takes n * states / (8 * STRIDE) bytes.
+    """
+
+    def __init__(self, size: int, states: int) -> None:
+        self.size, self.states, self.bits = size, states, None
+
+    def holds(self, at: int, state: int) -> bool:
+        place = at // STRIDE * self.states + state
+        return self.bits is not None and bool(self.bits[place >> 3] >> (place & 7) & 1)
+
+    def add(self, at: int, state: int) -> None:
+        if self.bits is None:
+            self.bits = bytearray(((self.size // STRIDE + 1) * self.states >> 3) + 1)
+        place = at // STRIDE * self.states + state
+        self.bits[place >> 3] |= 1 << (place & 7)
+
+
 @dataclass
 class Dfa:
     """``table[state * classes + byte_class[byte]]`` is the next state; 0 is the start."""
@@ -144,16 +166,28 @@ class Dfa:
     classes: int
     resets: np.ndarray
 
-    def longest(self, text: bytes, at: int) -> int:
-        """End of the longest match that starts at ``at``, or -1 (anchored automata)."""
-        state, last = 0, 0 if self.accept[0] else -1
-        last = at if last == 0 else -1
+    def longest(self, text: bytes, at: int, barren: Barren | None = None) -> int:
+        """End of the longest match that starts at ``at``, or -1 (anchored automata).
+
+        What a walk reads after its last match leads nowhere from there on; with
+        ``barren`` that is kept, and a later walk that meets it stops.
+        """
+        state, last = 0, at if self.accept[0] else -1
+        table, classes, byte_class, accept = self.moves, self.classes, self.symbols, self.accepting
+        met: list[int] = []
         for k in range(at, len(text)):
-            state = self.table[state * self.classes + self.byte_class[text[k]]]
+            state = table[state * classes + byte_class[text[k]]]
             if state == self.dead:
                 break
-            if self.accept[state]:
+            if accept[state]:
                 last = k + 1
+                met.clear()
+            elif barren is not None and not k % STRIDE:
+                if barren.holds(k, state):
+                    break
+                met.append(k * len(accept) + state)
+        for place in met:
+            barren.add(*divmod(place, len(accept)))
         return last
 
     @property
@@ -161,6 +195,8 @@ class Dfa:
         return self._dead
 
     def __post_init__(self) -> None:
+        # Lists of numbers: single steps are quicker than through arrays.
+        self.moves, self.symbols, self.accepting = self.table.tolist(), self.byte_class.tolist(), (self.accept != 0).tolist()
         rows = self.table.reshape(-1, self.classes)
         stuck = np.flatnonzero((rows == np.arange(len(rows))[:, None]).all(1) & (self.accept == 0))
         self._dead = int(stuck[0]) if len(stuck) else -1
@@ -256,20 +292,25 @@ def trigger_ends(data: np.ndarray, dfa: Dfa) -> np.ndarray:
 
 
 def line_spans(line: bytes, scanner: Scanner) -> list[tuple[int, int, int]]:
-    """(start, rule, end) in bytes of what each rule keeps in one line."""
+    """(start, rule, end) in bytes of what each rule keeps in one line.
+
+    A start whose walk meets a place and state that an earlier one left without
+    a match ends there, so a line takes time in proportion to its length.
+    """
     out = []
     codes = np.frombuffer(line, np.uint8)
     for number, rule in enumerate(scanner.rules):
-        free = 0
+        free, whole = 0, scanner.whole[number]
+        barren = Barren(len(line), len(whole.accept))
         for at in np.flatnonzero(scanner.starts[number][codes]).tolist():
             if at < free:
                 continue
-            end = scanner.whole[number].longest(line, at)
+            end = whole.longest(line, at, barren)
             if end <= at:
                 continue
             free = end
             head = scanner.heads[number]
-            size = end - (head.longest(line[:end], at) if head else at)
+            size = end - at - (head.longest(line[at:end], 0) if head else 0)
             if size >= rule.least:
                 out.append((at, number, end))
     return out
@@ -286,15 +327,17 @@ def scan_batch(column: pa.Array, scanner: Scanner) -> dict[int, list[tuple[int,
         apart[np.arange(len(block.data)) + shift] = block.data
         begins = block.offsets + np.arange(block.rows + 1)
         ends = trigger_ends(apart, scanner.trigger)
+        if not len(ends):
+            continue
         breaks = np.flatnonzero(apart == 10)
+        # Code points before each byte: all bytes but those that go on with one.
+        points = np.concatenate([[0], np.cumsum((apart & 0xC0) != 0x80)])
         for line in np.unique(np.searchsorted(breaks, ends)).tolist():
             low, high = (int(breaks[line - 1]) + 1 if line else 0), int(breaks[line])
             row = int(np.searchsorted(begins, low, "right")) - 1
-            text = apart[low:high].tobytes()
-            before = len(apart[int(begins[row]) : low].tobytes().decode("utf-8", "replace"))
-            points = lambda k: before + len(text[:k].decode("utf-8", "replace"))
-            for s, rule, e in line_spans(text, scanner):
-                out.setdefault(row + block.first_row, []).append((points(s), rule, points(e)))
+            before = points[begins[row]]
+            for s, rule, e in line_spans(apart[low:high].tobytes(), scanner):
+                out.setdefault(row + block.first_row, []).append((int(points[low + s] - before), rule, int(points[low + e] - before)))
     return {row: sorted(spans) for row, spans in out.items()}
 
 
