@@ -99,7 +99,7 @@ def cuts(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             half = 1 << (level - 1)
             # Runs that occur once have no rank and leave gaps, so the next half is found by its place.
             ahead = F.max("r").over(Window.partitionBy(*own).orderBy("pos").rangeBetween(half, half))
-            pairs = materialize(ranks.withColumn("next", ahead).where("next is not null"), "pairs")
+            pairs = ranks.withColumn("next", ahead).where("next is not null")
             named = numbered(pairs, "r", "next")
             ranks = materialize(pairs.join(named, (F.col("r") == F.col("x")) & (F.col("next") == F.col("y"))).select(*own, "pos", F.col("rank").alias("r")), "suffixes")
         # Runs of 2^level up to 2^(level + 1) - 1 lines: a rank at either end names them.
