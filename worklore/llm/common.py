@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklore.session import materialize, prepare
 
-__all__ = ["fold", "free_name", "keyed_docs", "materialize", "sample_mark", "sampled", "spread", "table", "text_key"]
+__all__ = ["fold", "free_name", "keyed_docs", "materialize", "sample_mark", "sampled", "spread", "table", "text_key", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +64,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows out over the session's shuffle partitions, by keys if given."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def tidy(work):
+    """``work`` for mapInArrow; what a task freed goes back to the system, not to the worker's next task of another kind."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run

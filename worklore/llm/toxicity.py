@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklore.llm import textbytes as tb
-from worklore.llm.common import fold, free_name, materialize, text_key
+from worklore.llm.common import fold, free_name, materialize, text_key, tidy
 from worklore.llm.labelled import all_labelled
 
 #: A quarter of so many labelled rows per class fits the curve; counts have no bound.
@@ -48,6 +48,8 @@ MARK = 0x20
 CACHE_WORDS = 1_000_000
 #: Bytes of text, and new words, worked on at once.
 BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 40_000
+#: Bytes of text whose grams are counted at once; a byte takes about 200 while it is counted.
+COUNT_BYTES = 512 << 10
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _LOW = tb.U64((1 << 56) - 1)
 
@@ -78,16 +80,16 @@ def grams(text: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def count_grams(texts: pa.Array, labels: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, count in class 0, count in class 1); the top byte of a key is its length."""
-    parts = []
-    for block in tb.blocks(texts):
+def gram_blocks(texts: pa.Array, labels: np.ndarray, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, count in class 0, count in class 1) of one block after another; the top byte of a key is its length."""
+    for block in tb.blocks(texts, COUNT_BYTES):
         block = tb.folded(block)
         found = tb.words(block, tb.NOT_ALNUM)
         if not len(found.starts):
             continue
         text, place, owner = spell(block.data, found.starts, found.ends)
         toxic = labels[block.first_row + found.rows][owner].astype(bool)
+        parts = []
         for n, keys in enumerate(grams(text, place, order), 1):
             # A gram may begin with a mark but not reach over it; shorter ones are whole only at a word's begin.
             fits = place >= n - 1
@@ -96,9 +98,13 @@ def count_grams(texts: pa.Array, labels: np.ndarray, order: int = ORDER) -> tupl
             values, at = np.unique(tagged, return_inverse=True)
             one = np.bincount(at, weights=toxic[whole], minlength=len(values))
             parts.append((values, np.bincount(at, minlength=len(values)) - one, one))
-    if not parts:
-        return np.zeros(0, tb.U64), np.zeros(0), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*parts))
+        yield tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def count_grams(texts: pa.Array, labels: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``gram_blocks`` finds, in one piece."""
+    parts = list(gram_blocks(texts, labels, order))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, tb.U64), np.zeros(0), np.zeros(0))
 
 
 def merged(parts: Iterator[tuple[np.ndarray, np.ndarray]], pending: int = PENDING) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -364,7 +370,7 @@ class Tables:
                 s = 1 / (1 + np.exp(-np.clip(shape(np.asarray(batch["per_byte"]), np.asarray(batch["n_words"])) @ curve, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch["id"], batch["text_key"], batch["n_rows"], pa.array(s)], names=["id", "text_key", "n_rows", "score"])
 
-        return self.evidence(rows.withColumn("y", F.lit(0))).mapInArrow(report, "id long, text_key long, n_rows long, score double")
+        return self.evidence(rows.withColumn("y", F.lit(0))).mapInArrow(tidy(report), "id long, text_key long, n_rows long, score double")
 
 
 def _word_grams(batches):
@@ -423,15 +429,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
                 left = np.asarray(batch.column(2).cast(pa.int8())).astype(bool)
                 for out in (False, True):
                     at = pa.array(np.flatnonzero(left == out))
-                    keys, zero, one = count_grams(batch.column(0).take(at), np.asarray(batch.column(1).take(at)))
-                    none = np.zeros_like(zero)
-                    yield keys, np.stack([none, none, zero, one] if out else [zero, one, none, none], 1)
+                    for keys, zero, one in gram_blocks(batch.column(0).take(at), np.asarray(batch.column(1).take(at))):
+                        none = np.zeros_like(zero)
+                        yield keys, np.stack([none, none, zero, one] if out else [zero, one, none, none], 1)
 
         for keys, counts in merged(parts()):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts.T)], names=["k", "c0", "c1", "a0", "a1"])
 
     sums = [F.sum(c).alias(c) for c in ("c0", "c1", "a0", "a1")]
-    summed = materialize(rows.select("text", "y", "apart").mapInArrow(count, "k long, c0 long, c1 long, a0 long, a1 long").groupBy("k").agg(*sums), "toxicity-counts")
+    summed = materialize(rows.select("text", "y", "apart").mapInArrow(tidy(count), "k long, c0 long, c1 long, a0 long, a1 long").groupBy("k").agg(*sums), "toxicity-counts")
     seen = summed.where("c0 + c1 > 0")
     if seen.isEmpty():
         return Model([], np.array([toxic]))
@@ -453,7 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
                 per_byte, n = shared.value.evidence(batch.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(per_byte), pa.array(n), batch.column(1)], names=["per_byte", "n_words", "y"])
 
-        known = for_curve.select("text", "y").mapInArrow(weigh, "per_byte double, n_words long, y int").toPandas()
+        known = for_curve.select("text", "y").mapInArrow(tidy(weigh), "per_byte double, n_words long, y int").toPandas()
         model = Model(assemble(keys, np.stack([c0 + a0, c1 + a1], 1)), np.zeros(4))
     known = known.sort_values(["per_byte", "n_words", "y"])
     model.curve = fit_curve(shape(known["per_byte"].to_numpy(), known["n_words"].to_numpy()), known["y"].to_numpy(), toxic)
@@ -473,7 +479,7 @@ def score(docs: DataFrame, model: Model | Tables, threshold: float = 0.5, parts:
             s = shared.value.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), parts) == 0).alias("held_out"), "text").mapInArrow(report, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), parts) == 0).alias("held_out"), "text").mapInArrow(tidy(report), SCHEMA)
 
 
 def remove_toxic(docs: DataFrame, model: Model | Tables, threshold: float = 0.5) -> DataFrame:
@@ -490,4 +496,4 @@ def remove_toxic(docs: DataFrame, model: Model | Tables, threshold: float = 0.5)
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
