@@ -43,7 +43,7 @@ STAGES = [
     ("SentencePiece encoding", tokenize),
 ]
 
-#: The learned first stage and the tokenizer have no SQL form; the tests hold the rows against brute force.
+#: The learned first stage and the tokenizer have no SQL form; the tests hold the operators, not yet the whole run, against plainer forms.
 ORACLE_SQL = None
 
 
