@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from worklore.functions.html import SPACE_STEPS, TAG_STEPS, html_to_text
+from worklore.functions.markup import page_text
 from worklore.functions.text import epoch_ms
 from worklore.plans import raw as R
 from worklore.plans.registry import query
@@ -410,6 +411,49 @@ def s30(spark, sf):
     return spread_small(table(spark, sf, "pages"), "page_id").select("page_id", html_to_text(c("html")).alias("text"))
 
 
+# Blocks become marks for one, two or three line breaks, a run of marks the longest of them; then the wrap.
+LAID_OUT = r"""(SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t5, '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'),
+       '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM (
+  SELECT page_id, trim(replace(regexp_replace(regexp_replace(regexp_replace(t4, ' *[\x01\x02\x03\x04 ]*\x03[\x01\x02\x03\x04 ]*', chr(10) || chr(10) || chr(10), 'g'),
+         '[\x01\x02\x04 ]*(\x02|\x04[\x01 ]*\x04)[\x01\x02\x04 ]*', chr(10) || chr(10), 'g'), '[\x01\x04 ]*[\x01\x04][\x01\x04 ]*', chr(10), 'g'), chr(5), ' * '), chr(10)) AS t5 FROM (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t2, '(?i)<h([12])\b[^>]*>\s*', chr(3) || '<m\1>', 'g'),
+         '(?i)</h[1-6]\s*>|</?(p|ul|ol|table)\b[^>]*>', chr(2), 'g'), '(?i)<br\s*/?>', chr(4), 'g'), '(?i)<li\b[^>]*>\s*', chr(1) || chr(5), 'g'),
+         '(?i)</?(li|tr|div|section|article|nav|header|footer|main|aside|body|html)\b[^>]*>', chr(1), 'g'), '<m1>', '# ', 'g'), '<m2>', '## ', 'g') AS t3 FROM (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'),
+         '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g'), '\s+', ' ', 'g') AS t2 FROM pages)),
+  LATERAL (SELECT regexp_replace(regexp_replace(t3, '<[a-zA-Z/!][^>]*>', '', 'g'), ' +', ' ', 'g') AS t4)))"""
+
+
+ONE_LINE = r"trim(regexp_replace(body, '\s+', ' ', 'g'))"
+
+
+def wrapped_sql(col):
+    return f"regexp_replace(regexp_replace({col}, '([^\\n]{{1,130}})( +|\\n|\\z)', '\\1' || chr(10), 'g'), '\\s+\\z', '')"
+
+
+@query("s30_layout", f"SELECT page_id, {wrapped_sql('t')} AS text FROM {LAID_OUT}")
+def s30_layout(spark, sf):
+    """Whole pages as wrapped text."""
+    return spread_small(table(spark, sf, "pages"), "page_id").select("page_id", page_text(c("html")).alias("text"))
+
+
+@query(
+    "s24_layout",
+    f"""SELECT 'confluence_' || w.page_id AS id, '# ' || title || chr(10) || chr(10) || '**Space**: ' || upper(space) || ' (' || space || ')' || chr(10)
+               || '**Author**: ' || author || chr(10) || chr(10) || {wrapped_sql('t')} AS content
+        FROM v_wiki w JOIN {LAID_OUT} l ON w.page_id = l.page_id""",
+)
+def s24_layout(spark, sf):
+    """Pages of the wiki with their HTML laid out."""
+    return wiki.wiki_pages(R.raw_wiki(spark, sf), to_text=page_text).select("id", "content")
+
+
+@query("s15_layout", f"SELECT message_id AS id, CASE WHEN body_kind = 0 THEN body ELSE {wrapped_sql(ONE_LINE)} END AS body FROM v_mail")
+def s15_layout(spark, sf):
+    """Mail bodies, HTML laid out without heading marks."""
+    return mail.with_body(R.raw_mail(spark, sf), lambda html: page_text(html, marks=False)).select("id", "body")
+
+
 @query(
     "s31_union",
     """SELECT source, type, count(*) AS n FROM (

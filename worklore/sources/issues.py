@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,13 @@ def links(arr: Column) -> Column:
     return F.coalesce(edges, F.array().cast("array<struct<type:string,key:string,direction:string>>"))
 
 
-def issue_content(raw: DataFrame) -> Column:
+def issue_content(raw: DataFrame, to_text: Callable[[Column], Column] = html_to_text) -> Column:
     f = raw["fields"]
 
     def bullet(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"- **{label}**: "), value)
 
-    rendered = F.when(raw["renderedFields.description"] != "", html_to_text(raw["renderedFields.description"]))
+    rendered = F.when(raw["renderedFields.description"] != "", to_text(raw["renderedFields.description"]))
     description = first_set(F.coalesce(rendered, f["description"]))
     return F.concat_ws(
         "\n",
@@ -53,7 +55,7 @@ def issue_content(raw: DataFrame) -> Column:
     )
 
 
-def issues(raw: DataFrame, base_url: str = "") -> DataFrame:
+def issues(raw: DataFrame, base_url: str = "", to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
     raw = spread_small(raw, "key")
     f = raw["fields"]
     edges = links(f["issuelinks"])
@@ -62,7 +64,7 @@ def issues(raw: DataFrame, base_url: str = "") -> DataFrame:
         F.lit("jira").alias("source"),
         F.lit("issue").alias("type"),
         f["summary"].alias("title"),
-        issue_content(raw).alias("content"),
+        issue_content(raw, to_text).alias("content"),
         f["project"]["key"].alias("project"),
         f["issuetype"]["name"].alias("issue_type"),
         f["status"]["name"].alias("status"),
@@ -84,7 +86,7 @@ def link_edges(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("key").alias("from_key"), F.inline(links(raw["fields.issuelinks"])))
 
 
-def issue_comments(raw: DataFrame, base_url: str = "") -> DataFrame:
+def issue_comments(raw: DataFrame, base_url: str = "", to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
     """Each comment as its own document under its issue."""
     raw = spread_small(raw, "key")
     rows = raw.select(
@@ -92,7 +94,7 @@ def issue_comments(raw: DataFrame, base_url: str = "") -> DataFrame:
         F.posexplode("fields.comment.comments").alias("_i", "c"),
     )
     rendered = F.get(F.col("_r"), F.col("_i"))
-    body = F.when(rendered.isNotNull(), F.coalesce(html_to_text(rendered["body"]), F.lit(""))).otherwise(
+    body = F.when(rendered.isNotNull(), F.coalesce(to_text(rendered["body"]), F.lit(""))).otherwise(
         F.coalesce(F.col("c.body"), F.lit("JSON content"))
     )
     title = F.concat(F.lit("Comment on "), "key", F.lit(" by "), F.col("c.author.displayName"))

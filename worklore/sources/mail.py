@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def with_parts(df: DataFrame, column: str = "payload.parts") -> DataFrame:
     return df
 
 
-def with_body(df: DataFrame) -> DataFrame:
+def with_body(df: DataFrame, to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
     """Adds ``body``: the first plain part, else the first HTML part as text."""
     payload = F.col("payload")
 
@@ -61,7 +63,7 @@ def with_body(df: DataFrame) -> DataFrame:
         alone = F.when((payload["mimeType"] == kind) & (payload["body"]["data"] != ""), payload["body"]["data"])
         return decoded(F.when(payload["parts"].isNotNull(), F.get(nested, F.lit(0))["body"]["data"]).otherwise(alone))
 
-    return with_parts(df).withColumn("body", F.coalesce(first("text/plain"), html_to_text(first("text/html")), F.lit(""))).drop("parts_list")
+    return with_parts(df).withColumn("body", F.coalesce(first("text/plain"), to_text(first("text/html")), F.lit(""))).drop("parts_list")
 
 
 def mail_date(line: Column) -> Column:
@@ -74,9 +76,9 @@ def mail_date(line: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(line), *[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
 
 
-def emails(raw: DataFrame) -> DataFrame:
+def emails(raw: DataFrame, to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
     """Messages to documents; those with neither subject nor body are dropped."""
-    raw = with_body(spread_small(raw, "id"))
+    raw = with_body(spread_small(raw, "id"), to_text)
     h = raw["payload.headers"]
     rows = raw.select(
         "id", "threadId", "labelIds",

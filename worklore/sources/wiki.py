@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ def _strings(col):
     return F.coalesce(col, F.array().cast("array<string>"))
 
 
-def wiki_pages(raw: DataFrame, base_url: str = "") -> DataFrame:
+def wiki_pages(raw: DataFrame, base_url: str = "", to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
+    """Pages to documents; ``to_text`` turns their HTML into text, flat or laid out (`markup.page_text`)."""
     raw = spread_small(raw, "id")
     h = raw["history"]
     author = h["createdBy"]["displayName"]
     content = F.concat(
         F.lit("# "), "title", F.lit("\n\n**Space**: "), raw["space.name"], F.lit(" ("), raw["space.key"],
-        F.lit(")\n**Author**: "), author, F.lit("\n\n"), html_to_text(F.coalesce("body", F.lit(""))),
+        F.lit(")\n**Author**: "), author, F.lit("\n\n"), to_text(F.coalesce("body", F.lit(""))),
     )
     return raw.select(
         F.concat(F.lit("confluence_"), "id").alias("id"),
@@ -41,12 +44,12 @@ def wiki_pages(raw: DataFrame, base_url: str = "") -> DataFrame:
     )
 
 
-def wiki_comments(raw: DataFrame, base_url: str = "") -> DataFrame:
+def wiki_comments(raw: DataFrame, base_url: str = "", to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
     """Comments that say something, under their page."""
     rows = raw.select(
         "id", "title", "space", "webui", _strings(F.transform("ancestors", lambda a: a["title"])).alias("_up"),
         F.explode("comments").alias("c"),
-    ).withColumn("_text", html_to_text(F.coalesce("c.body", F.lit("")))).filter(~blank(F.col("_text")))
+    ).withColumn("_text", to_text(F.coalesce("c.body", F.lit("")))).filter(~blank(F.col("_text")))
     author = first_set(F.col("c.author"), F.lit("Unknown"))
     return rows.select(
         F.concat(F.lit("confluence_comment_"), "c.id").alias("id"),
