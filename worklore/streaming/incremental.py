@@ -1,9 +1,10 @@
 """The incremental load as a stream: land, score, filter, chunk, route, store.
 
-Each micro-batch appends what changed under its own batch number and reads
-only earlier ones, so a batch that is run again writes the same files.  The
-index is the latest text and the latest metadata per id over all batches;
-``compact`` folds them into one.
+Each micro-batch adds what changed as a run of its own to the stored tables
+(`runs`), which merges runs of like size; it reads the runs of earlier batches
+only, and of those only the ids it has itself.  The index is the latest text
+and the latest metadata per id over all runs; ``compact`` folds them into one
+table for searching.
 """
 
 from __future__ import annotations
@@ -19,14 +20,26 @@ from worklore.operators.chunks import explode_chunks, with_header
 from worklore.operators.upsert import changed, latest, route
 from worklore.functions.text import content_hash
 from worklore.session import fresh_path, materialize, spread_small
+from worklore.streaming.runs import Runs
 
 TEXT_COLS = ["chunk", "indexed", "content_hash"]
-_KEYS = ["id", "route", "batch", "part"]
+_KEYS = ["id", "route", "batch"]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _latest_hashes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source", "id").agg(F.max_by("hash", "batch").alias("hash"), F.max("batch").alias("batch"))
+
+
+def _latest_rows(rows: DataFrame) -> DataFrame:
+    """One row per id: the latest metadata beside the latest text, merged map-side."""
+    meta = [c for c in rows.columns if c not in (*_KEYS, *TEXT_COLS)]
+    full = F.col("route") == "full"
+    last = rows.groupBy("id").agg(
+        F.max("batch").alias("batch"),
+        F.max_by(F.struct(*meta), "batch").alias("_m"),
+        F.max_by(F.when(full, F.struct(*TEXT_COLS)), F.when(full, F.col("batch"))).alias("_t"),
+    )
+    return last.select("id", "batch", F.when(F.col("_t").isNotNull(), "full").otherwise("meta").alias("route"), "_m.*", "_t.*")
 
 
 @dataclass
@@ -44,20 +57,25 @@ class IncrementalJob:
         spread_small(docs, "id").write.mode("append").parquet(f"{self.base}/landing")
         self.schema = docs.schema
 
-    def _before(self, name: str, batch: int) -> DataFrame | None:
-        path = f"{self.base}/{name}"
-        if batch == 0 or not exists(self.spark, path):
-            return None
-        return self.spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("batch") < batch)
+    @property
+    def stored(self) -> Runs:
+        return Runs(self.spark, self.base, {"hashes": _latest_hashes, "index": _latest_rows})
 
-    def hashes(self, batch: int = 1 << 30) -> DataFrame | None:
-        rows = self._before("hashes", batch)
-        return rows and rows.groupBy("source", "id").agg(F.max_by("hash", "batch").alias("hash"))
+    def hashes(self, batch: int = 1 << 30, only: DataFrame | None = None) -> DataFrame | None:
+        """(source, id, hash) of the documents loaded before; ``only`` those with these (source, id)."""
+        rows = self.stored.read("hashes", batch)
+        if rows is None:
+            return None
+        return _latest_hashes(rows if only is None else rows.join(only, ["source", "id"], "left_semi")).drop("batch")
 
-    def stored_hashes(self, batch: int = 1 << 30) -> DataFrame | None:
-        """(id, content_hash) of the latest text of every row: all that routing needs, so no text is read."""
-        rows = self._before("index", batch)
-        return rows and rows.filter("route = 'full'").groupBy("id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+    def stored_hashes(self, batch: int = 1 << 30, only: DataFrame | None = None) -> DataFrame | None:
+        """(id, content_hash) of the latest text of every row, no text read; ``only`` the rows of documents with these ids."""
+        rows = self.stored.read("index", batch)
+        if rows is None:
+            return None
+        texts = rows.filter("route = 'full'").select("id", F.coalesce("parent_doc_id", "id").alias("_doc"), "content_hash", "batch")
+        texts = texts if only is None else texts.join(only.select(F.col("id").alias("_doc")), "_doc", "left_semi")
+        return texts.groupBy("id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
 
     def cursors(self) -> DataFrame:
         """(source, cursor): the newest time each source has been loaded up to."""
@@ -69,35 +87,32 @@ class IncrementalJob:
         ``prune`` leaves out chunks that the last load of their document did
         not write any more.
         """
-        rows = self._before("index", batch)
+        rows = self.stored.read("index", batch)
         if rows is None:
             return None
-        meta = [c for c in rows.columns if c not in (*_KEYS, *TEXT_COLS)]
-        last = rows.groupBy("id").agg(
-            F.max("batch").alias("_b"),
-            F.max_by(F.struct(*meta), "batch").alias("_m"),
-            F.max_by(F.when(F.col("route") == "full", F.struct(*TEXT_COLS)), F.when(F.col("route") == "full", F.col("batch"))).alias("_t"),
-        )
+        last = _latest_rows(rows)
         if prune:
             doc = F.coalesce("parent_doc_id", "id").alias("_doc")
-            newest = rows.groupBy(doc).agg(F.max("batch").alias("_b"))
-            keyed = last.withColumn("_doc", F.coalesce("_m.parent_doc_id", "id"))
-            last = keyed.join(newest, ["_doc", "_b"], "left_semi")
-        return last.select("id", "_m.*", "_t.*")
+            newest = rows.groupBy(doc).agg(F.max("batch").alias("batch"))
+            last = last.withColumn("_doc", F.coalesce("parent_doc_id", "id")).join(newest, ["_doc", "batch"], "left_semi").drop("_doc")
+        return last.drop("batch", "route")
 
     def _load(self, page: DataFrame, batch: int) -> None:
+        stored = self.stored
+        if stored.done(batch):
+            return
         docs = self.score(latest(page, "seq")).withColumn("doc_hash", doc_hash(*[F.col(c) for c in self.hash_of]))
-        known, stored = self.hashes(batch), self.stored_hashes(batch)
+        known = self.hashes(batch, page.select("source", "id"))
         # Written once: the index and the hashes are both made from it.
         todo = materialize(changed(docs, known) if known is not None else docs, "todo")
         rows = with_header(explode_chunks(todo)).withColumn("content_hash", content_hash(F.col("chunk"))).drop("content")
-        routed = route(rows, stored) if stored is not None else rows.withColumn("route", F.lit("full"))
+        texts = self.stored_hashes(batch, todo)
+        routed = route(rows, texts) if texts is not None else rows.withColumn("route", F.lit("full"))
         light = [F.when(F.col("route") == "full", F.col(c)).alias(c) if c in TEXT_COLS else F.col(c) for c in routed.columns]
-        routed.select(*light).write.mode("overwrite").parquet(f"{self.base}/index/batch={batch}")
-        todo.select("source", "id", F.col("doc_hash").alias("hash")).write.mode("overwrite").parquet(f"{self.base}/hashes/batch={batch}")
         if self.cursor in page.columns:
             newest = page.groupBy("source").agg(F.max(self.cursor).alias("cursor"))
             newest.write.mode("overwrite").parquet(f"{self.base}/cursors/batch={batch}")
+        stored.add(batch, {"hashes": todo.select("source", "id", F.col("doc_hash").alias("hash")), "index": routed.select(*light)})
 
     def run(self, files_per_batch: int | None = None) -> None:
         """Load all that has landed since the last run, then stop."""
