@@ -134,6 +134,30 @@ def test_similar_brute_force(spark):
         assert sorted_rows(got) == sorted(want, key=str)
 
 
+def shuffled(spark, run):
+    """Bytes that all tasks write for shuffles while ``run`` is at work."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = so_far()
+    run()
+    return so_far() - before
+
+
+def test_similar_moves_few_shingles_of_unrelated_texts(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=1000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "id long, text string")
+    got = []
+    # a shingle is 8 bytes; each is moved with its set once in half of all cases
+    assert shuffled(spark, lambda: got.extend(K.similar(df).collect())) < 201 * 1000 * 8 * 3
+    assert sorted(r.id for r in got if r.similar) == [0, 200]
+
+
 def test_schedule_fields(spark):
     df = spark.createDataFrame(
         [(1, "*/20 6-7 * * *", None), (2, "0 0 1 * 1", None), (3, "5 4 * 2 7", None)], "task_id long, recurrence string, recurrence_end timestamp"

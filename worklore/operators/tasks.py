@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.operators.spread import numbered, previous
@@ -15,6 +15,8 @@ WHEN_LINE = r"\*\*When\*\*: *([^\n]*)"
 MEANT_LINE = r"\*\*Correct interpretation\*\*: *([^\n]*)"
 WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 3
+#: Numbers (8 bytes each) up to which the sets worth a second look are broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def ts(text: str) -> Column:
@@ -160,49 +162,70 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(k1, alone): per set, how many shingles of one half of the hash space no other set has."""
+    seen = sets.select("k1", F.explode(F.filter("s", lambda x: x < 0)).alias("x"))
+    owners = seen.groupBy("x").agg(F.min("k1").alias("k1"), F.max("k1").alias("other"))
+    return owners.filter(F.col("k1") == F.col("other")).groupBy("k1").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _probes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, at, cid, n): the rarest shingles of each set, of which two sets that are alike share one; ``at`` is its place.
+
+    Shingles that no other set has come first in the order, so they use up places.
+    """
+    rows = sets.select("cid", "n", F.explode("s").alias("x"))
+    shared = rows.groupBy("x").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") > 1)
+    own = Window.partitionBy("cid")
+    known = rows.join(shared, "x").select("x", "cid", "n", F.count(F.lit(1)).over(own).alias("common"), F.row_number().over(own.orderBy("f", "x")).alias("place"))
+    last = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
+    at = F.col("n") - F.col("common") + F.col("place") - 1
+    return known.select("x", at.alias("at"), "cid", "n").filter(at <= last)
+
+
 def similar(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id, similar): whether another entry is at least ``threshold`` alike.
 
     Exact, without comparing all members of a group of copies:
     1. entries with the same shingles are told by counting;
-    2. the distinct rest is put in order of two min-hashes, where near copies
-       mostly stand side by side, and each is compared with its neighbours;
-    3. only entries still without a partner look for one through rare
-       shingles: two sets that alike share one of their rarest
-       ``n - ceil(t * n) + 1``, so nothing is missed.
+    2. a set with more than ``1 - t`` of its shingles to itself has no partner;
+       one half of the hash space is counted, which rules out most texts, and
+       only what is left is looked at further;
+    3. these are put in order of two min-hashes, where near copies mostly stand
+       side by side, and each is compared with its neighbours;
+    4. only entries still without a partner look for one through rare
+       shingles: two sets that are alike share one of their rarest
+       ``n - ceil(t * n) + 1``, and behind the first that they share there must
+       be enough of both, so nothing is missed.
     """
-    sets = spread_small(df, "id").select("id", F.array_sort(shingles(F.col("text"))).alias("s")).withColumn("key", F.sha2(F.to_json("s"), 256))
-    groups = materialize(sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s")), "sets")
+    made = spread_small(df, "id").select("id", F.array_sort(shingles(F.col("text"))).alias("s"))
+    key = ["k1", "k2"]
+    sets = materialize(made.select("id", F.monotonically_increasing_id().alias("row"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.size("s").alias("n"), "s"), "sets")
+    classes = materialize(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("cid"), F.min("n").alias("n")), "classes")
+    left = classes.join(_alone(sets), "k1", "left").filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= F.col("n") * threshold - 1e-9)
+    wanted = materialize(left.select("cid"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    groups = materialize(sets.join(few, F.col("row") == F.col("cid")).select("cid", "n", "s"), "candidates")
 
     def low(seed: int) -> Column:
         return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
 
-    # Only keys and min-hashes are put in order; the sets are joined to the pairs.
-    reps = groups.select("key", low(1).alias("m1"), low(2).alias("m2"))
-    side = previous(reps, [], ["m1", "m2", "key"], ["key"]).filter(F.col("prev_key").isNotNull()).select("key", "prev_key")
-    both = side.join(groups.select("key", "s"), "key").join(groups.select(F.col("key").alias("prev_key"), F.col("s").alias("prev_s")), "prev_key")
-    close = both.filter(_jaccard(F.col("s"), F.col("prev_s")) >= threshold)
-    paired = close.select(F.explode(F.array("key", "prev_key")).alias("key")).distinct()
-    done = materialize(groups.filter(F.col("n") > 1).select("key").unionByName(paired).distinct(), "paired")
-
-    freq = groups.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    size = F.size("s")
-    prefix = size - F.ceil(size * threshold - 1e-9) + 1
-    ranked = groups.select("key", size.alias("len"), prefix.alias("keep"), F.explode("s").alias("x")).join(freq, "x")
-    rare = ranked.groupBy("key", "len", "keep").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
-    probes = rare.select("key", "len", F.explode(F.slice("o", F.lit(1), F.col("keep").cast("int"))).alias("p")).select("key", "len", F.col("p.x").alias("x"))
-    open_ = probes.join(done, "key", "left_anti").select(F.col("key").alias("a"), F.col("len").alias("la"), "x")
-    pairs = open_.join(probes.select(F.col("key").alias("b"), F.col("len").alias("lb"), "x"), "x").filter(
-        (F.col("a") != F.col("b")) & (F.col("lb") >= F.col("la") * threshold - 1e-9) & (F.col("la") >= F.col("lb") * threshold - 1e-9)
-    ).select("a", "b").distinct()
-    texts = groups.select("key", "s")
-    checked = (
-        pairs.join(texts.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-        .join(texts.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-        .filter(_jaccard(F.col("sa"), F.col("sb")) >= threshold)
-        .select(F.explode(F.array("a", "b")).alias("key"))
-    )
-    found = done.unionByName(checked).distinct().withColumn("similar", F.lit(True))
-    return sets.select("id", "key").join(found, "key", "left").select("id", F.coalesce("similar", F.lit(False)).alias("similar"))
-
-
+    def alike(pairs: DataFrame) -> DataFrame:
+        sides = [groups.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b")]
+        met = pairs.join(sides[0], "a").join(sides[1], "b")
+        return met.filter(_jaccard(F.col("sa"), F.col("sb")) >= threshold).select(F.explode(F.array("a", "b")).alias("cid"))
+
+    # Only numbers and min-hashes are put in order; the sets are joined to the pairs.
+    reps = groups.select("cid", low(1).alias("m1"), low(2).alias("m2"))
+    side = previous(reps, [], ["m1", "m2", "cid"], ["cid"]).filter(F.col("prev_cid").isNotNull()).select(F.col("cid").alias("a"), F.col("prev_cid").alias("b"))
+    done = materialize(classes.filter(F.col("copies") > 1).select("cid").unionByName(alike(side)).distinct(), "paired")
+
+    probes = materialize(_probes(groups, threshold), "probes")
+    open_ = probes.join(done, "cid", "left_anti").select(F.col("cid").alias("a"), F.col("n").alias("la"), F.col("at").alias("pa"), "x")
+    enough = F.least(F.col("la") - F.col("pa"), F.col("lb") - F.col("pb")) * (1 + threshold) >= (F.col("la") + F.col("lb")) * threshold - 1e-6
+    pairs = open_.join(probes.select(F.col("cid").alias("b"), F.col("n").alias("lb"), F.col("at").alias("pb"), "x"), "x").filter(
+        (F.col("a") != F.col("b")) & (F.col("lb") >= F.col("la") * threshold - 1e-9) & (F.col("la") >= F.col("lb") * threshold - 1e-9) & enough
+    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = done.unionByName(alike(pairs)).distinct()
+    known = classes.join(found, "cid").select(*key, F.lit(True).alias("similar"))
+    return sets.select("id", *key).join(known, key, "left").select("id", F.coalesce("similar", F.lit(False)).alias("similar"))
