@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from worklore.operators import ledger as L
+from worklore.operators import projects as J
 from worklore.operators import runs as A
 from worklore.operators import search as S
 from worklore.operators import spread as P
@@ -158,6 +159,25 @@ def test_similar_moves_few_shingles_of_unrelated_texts(spark):
     assert sorted(r.id for r in got if r.similar) == [0, 200]
 
 
+def test_link_docs_meets_in_cells(spark):
+    links = [(f"P{i}", "jira_project", "A") for i in range(7)] + [("P0", "jira_project", "B"), ("P0", "jira_project", "A"), ("P1", "slack_channel", "A"), ("P1", "jira_project", None)]
+    docs = [(f"d{i}", "jira", "A", "-") for i in range(5)] + [("d0", "jira", "B", "-"), ("d1", "jira", "A", "-"), ("d9", "jira", None, "-"), ("d0", "slack", "-", "A"), ("m", "mail", "A", "A")]
+    column = {"jira": 2, "slack": 3}
+    want = {(p, d[0], d[1]) for p, kind, name in links for d in docs if d[1] == kind.split("_")[0] and name is not None and d[column[d[1]]] == name}
+    a, b = spark.createDataFrame(links, "project_id string, kind string, identifier string"), spark.createDataFrame(docs, "id string, source string, project string, channel string")
+    for cell in (2, 1000):
+        got = [tuple(r) for r in J.link_docs(a, b, cell).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_link_docs_does_not_shuffle_pairs(spark):
+    links = spark.range(1500).selectExpr("concat('P', id) project_id", "'jira_project' kind", "'A' identifier")
+    docs = spark.range(1500).selectExpr("concat('d', id) id", "'jira' source", "'A' project")
+    n = []
+    assert shuffled(spark, lambda: n.append(J.link_docs(links, docs).count())) < 1_000_000
+    assert n == [1500 * 1500]
+
+
 def test_schedule_fields(spark):
     df = spark.createDataFrame(
         [(1, "*/20 6-7 * * *", None), (2, "0 0 1 * 1", None), (3, "5 4 * 2 7", None)], "task_id long, recurrence string, recurrence_end timestamp"
