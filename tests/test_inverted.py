@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,19 @@ def test_only_asked_buckets_are_opened(spark, queries):
     index.append(rows_of(spark, made_up(4, 200)))
     plan = index.table("postings").where(F.col("bucket").isin([3]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_postings_are_made_block_by_block(monkeypatch):
+    rnd = random.Random(5)
+    counts = [[{"term": t, "tf": rnd.randint(1, 3)} for t in sorted(rnd.sample("abcdefgh", rnd.randint(0, 8)))] for _ in range(3000)]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    lengths = pa.array([sum(x["tf"] for x in c) for c in counts], pa.int32())
+    columns = {"doc": pa.array(range(100, 3100), pa.int64()), "at": pa.nulls(3000, pa.int64()), "c0": pa.array(counts, kind), "n0": lengths, "c1": pa.array([[]] * 3000, kind), "n1": pa.array([0] * 3000, pa.int32())}
+    whole = pa.RecordBatch.from_pydict(columns)
+    want = sorted((x["term"], d, x["tf"]) for d, c in enumerate(counts, 100) for x in c)
+    for most in (I.STEP_TERMS, 50, 1):
+        monkeypatch.setattr(I, "STEP_TERMS", most)
+        made = [part.to_pylist() for part in I._in_blocks([whole, whole.slice(0, 0)])]
+        assert all(len({r["block"] for r in part}) == 1 for part in made)
+        assert all(sum(r["n"] for r in part) <= max(most, 8) for part in made)
+        assert sorted((r["term"], e["doc"], e["tf"]) for part in made for r in part for e in r["entries"]) == want

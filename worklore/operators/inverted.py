@@ -45,6 +45,8 @@ BLOCK_BITS, BATCH_BITS = 9, 53
 #: Blocks whose postings of one bucket share a file, as a power of two.
 GROUP_BITS = 10
 QUERY_BLOCK = 1024
+#: Counted terms that a task turns into postings at a time (some 100 bytes each), unless one document has more.
+STEP_TERMS = 1 << 20
 #: Sums come in any order.  Scores are held on a grid of 2**-30, so that equal
 #: scores stay equal on every run and ties fall to the id.
 GRID = 2**30
@@ -94,15 +96,28 @@ def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / mean))
 
 
+def _steps(batch: pa.RecordBatch):
+    """The batch in parts of one block, or less if its documents have many terms."""
+    block = np.asarray(batch.column(0)) >> BLOCK_BITS
+    upto = np.cumsum(sum(np.asarray(pc.list_value_length(batch.column(c))).astype(np.int64) for c in (2, 4)))
+    first = 0
+    while first < len(batch):
+        before = upto[first - 1] if first else 0
+        stop = min(np.searchsorted(upto, before + STEP_TERMS, "right"), first + np.argmax(np.append(block[first:] != block[first], True)))
+        stop = max(int(stop), first + 1)
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def _in_blocks(batches):
     """Documents, as they lie in a task, to one row per (term, field, block).
 
-    The documents of a block stand together; where a batch ends inside one, its
-    terms have a row for each part.
+    The documents of a block stand together; where a batch ends inside one, or
+    its documents have very many terms, its terms have a row for each part.  A
+    task holds the postings of one part at a time, however many documents come
+    in a batch.
     """
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in (part for whole in batches for part in _steps(whole)):
         doc, at = np.asarray(batch.column(0)), batch.column(1)
         terms, columns = [], []
         for field in (0, 1):
