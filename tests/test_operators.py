@@ -178,6 +178,13 @@ def test_link_docs_does_not_shuffle_pairs(spark):
     assert n == [1500 * 1500]
 
 
+def test_best_chunk_shuffles_hits_once(spark):
+    hits = [(1, "a1", "a", 2.0), (1, "a2", "a", 3.0), (1, "a0", "a", 3.0), (1, "b", None, 1.0), (2, "a1", "a", 5.0), (2, "a", None, 5.0)]
+    best = S.best_chunk(spark.createDataFrame(hits, "qid long, id string, parent_doc_id string, score double"))
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted_rows(best.select("qid", "id", "score", "n_chunks")) == [(1, "a0", 3.0, 3), (1, "b", 1.0, 1), (2, "a", 5.0, 2)]
+
+
 def test_schedule_fields(spark):
     df = spark.createDataFrame(
         [(1, "*/20 6-7 * * *", None), (2, "0 0 1 * 1", None), (3, "5 4 * 2 7", None)], "task_id long, recurrence string, recurrence_end timestamp"

@@ -143,13 +143,11 @@ def hybrid(keyword: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:
-    """Best chunk per query and document, with the number of its chunks hit."""
-    doc = F.coalesce("parent_doc_id", "id")
-    keyed = hits.withColumn("_doc", doc)
-    counts = keyed.groupBy("qid", "_doc").agg(F.count(F.lit(1)).alias("n_chunks"))
-    w = Window.partitionBy("qid", "_doc").orderBy(F.desc("score"), "id")
-    best = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    return best.join(counts, ["qid", "_doc"]).drop("_doc")
+    """Best chunk per query and document, with the number of its chunks hit; the hits are shuffled once."""
+    group = Window.partitionBy("qid", "_doc")
+    keyed = hits.withColumn("_doc", F.coalesce("parent_doc_id", "id"))
+    counted = keyed.withColumn("_rn", F.row_number().over(group.orderBy(F.desc("score"), "id"))).withColumn("n_chunks", F.count(F.lit(1)).over(group))
+    return counted.filter(F.col("_rn") == 1).drop("_rn", "_doc")
 
 
 def boosted(hits: DataFrame) -> DataFrame:
