@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklore.llm import textbytes as tb
-from worklore.llm.common import free_name, keyed_docs, materialize, text_key
+from worklore.llm.common import free_name, keyed_docs, materialize, text_key, tidy
 from worklore.llm.components import components
 from worklore.llm.shingles import set_keys, sets_of
+from worklore.session import prepare
 
 #: Part of the hash space that the first count looks at; over 1/4, so that it can rule out a text with all its shingles to itself.
 SIEVE = 5 / 16
@@ -53,7 +54,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(first, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(c1), pa.array(c2)], names=["doc_id", "text_key", "n", "c1", "c2"])
 
-    return keyed_docs(docs).select("doc_id", "text_key", "text").mapInArrow(work, "doc_id long, text_key long, n long, c1 long, c2 long")
+    return keyed_docs(docs).select("doc_id", "text_key", "text").mapInArrow(tidy(work), "doc_id long, text_key long, n long, c1 long, c2 long")
 
 
 def alone_in_sieve(docs: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def alone_in_sieve(docs: DataFrame) -> DataFrame:
                 # Shortened shingle codes may only make one look shared that is not.
                 yield pa.RecordBatch.from_arrays([pa.array((code[low] >> short).view(np.int64)), pa.array(owner[low].view(np.int64))], names=["h", "c"])
 
-    seen = docs.select("text").mapInArrow(work, "h long, c long")
+    seen = docs.select("text").mapInArrow(tidy(work), "h long, c long")
     return seen.groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("other")).where("c = other").groupBy("c").agg(F.count("*").alias("alone"))
 
 
@@ -97,7 +98,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(first, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["cid", "n", "hs"])
 
-    return texts.mapInArrow(work, "cid long, n int, hs array<long>")
+    return texts.mapInArrow(tidy(work), "cid long, n int, hs array<long>")
 
 
 def regions(sets: DataFrame) -> DataFrame:
@@ -153,6 +154,7 @@ def links(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, component_id, part) per document; ``part`` names its component, null without shingles."""
+    prepare(docs.sparkSession)
     table = materialize(set_table(docs), "set-table")
     wanted, edges = links(docs, table)
     firsts = table.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
