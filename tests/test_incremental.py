@@ -3,6 +3,7 @@
 import pytest
 from pyspark.errors import StreamingQueryException
 
+from worklore.plans.standins import standin
 from worklore.streaming import incremental as N
 from worklore.streaming.runs import Runs
 
@@ -69,3 +70,31 @@ def test_empty_page(spark, tmp_path):
     job._load(page(spark, 0, range(2)).filter("false"), 0)
     job._load(page(spark, 1, range(2)), 1)
     assert len(state(job)) == 2
+
+
+def test_texts_are_not_shuffled_without_need(spark, tmp_path, monkeypatch):
+    """A first load cuts chunks where the rows lie; a chunk is stored once, and a repeated id in a page still counts once."""
+    job = N.new_job(spark, ["content", "title"], str(tmp_path / "load"))
+    seen = []
+    written = Runs._written
+    monkeypatch.setattr(Runs, "_written", lambda self, rows, name, *a: seen.append((name, rows)) or written(self, rows, name, *a))
+    job._load(page(spark, 0, range(6)), 0)
+    plan = next(rows for name, rows in seen if name == "index")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert "indexed" not in spark.read.parquet(f"{tmp_path}/load/index/run-0-0").columns
+    job._load(page(spark, 1, range(6)).union(page(spark, 4, range(2))), 1)
+    rows = {r.id: r for r in job.index(prune=True).collect()}
+    assert len(rows) == 6 and rows["d0"].title == "t4" and rows["d5"].title == "t1"
+    assert rows["d0"].indexed == f"Document: t4\nSource: jira\n\n{rows['d0'].chunk}"
+    # the text of d5 is the old one, and so is the header that went with it
+    assert rows["d5"].indexed == f"Document: t0\nSource: jira\n\n{rows['d5'].chunk}"
+
+
+def test_labels_go_to_the_documents(spark, sf_dir):
+    """The texts are not shuffled to their labels, whatever Spark's own limit is."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = standin(spark, sf_dir, "v_docs")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

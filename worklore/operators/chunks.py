@@ -31,14 +31,15 @@ CODE_SEPARATORS = {
 }
 
 
-def explode_chunks(docs: DataFrame, ready: str | None = None) -> DataFrame:
+def explode_chunks(docs: DataFrame, ready: str | None = None, spread: bool = True) -> DataFrame:
     """One row per chunk; a ready array of more than one chunk is taken as it is.
 
-    A document in one piece keeps its id and has no parent.
+    A document in one piece keeps its id and has no parent.  ``spread`` is for
+    inputs that may lie in one file.
     """
     made = T.chunks(F.col("content"))
     arr = made if ready is None else F.when(F.size(F.col(ready)) > 1, F.col(ready)).otherwise(made)
-    rows = spread_small(docs, "id").withColumn("_chunks", arr)
+    rows = (spread_small(docs, "id") if spread else docs).withColumn("_chunks", arr)
     return (
         rows.select("*", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_i", "chunk"))
         .withColumn("parent_doc_id", F.when(F.col("_n") > 1, F.col("id")))
@@ -84,14 +85,24 @@ def header(m: Callable[[str], Column], source: Column) -> Column:
     )
 
 
-def with_header(chunks: DataFrame) -> DataFrame:
-    """``indexed`` = header, blank line, chunk; columns not there count as null."""
+def header_of(chunks: DataFrame) -> Column:
+    """The header of each row; columns not there count as null."""
     have = set(chunks.columns)
 
     def m(name: str) -> Column:
         return F.col(name) if name in have else F.lit(None).cast("string")
 
-    return chunks.withColumn("indexed", F.concat(header(m, F.col("source")), F.lit("\n\n"), F.col("chunk")))
+    return header(m, F.col("source"))
+
+
+def indexed_text(head: Column, chunk: Column) -> Column:
+    """Header, blank line, chunk."""
+    return F.concat(head, F.lit("\n\n"), chunk)
+
+
+def with_header(chunks: DataFrame) -> DataFrame:
+    """``indexed`` = header, blank line, chunk; columns not there count as null."""
+    return chunks.withColumn("indexed", indexed_text(header_of(chunks), F.col("chunk")))
 
 
 def flatten_meta(df: DataFrame, meta: list[str], created: str = "created_at", updated: str = "updated_at") -> DataFrame:

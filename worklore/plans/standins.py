@@ -311,11 +311,18 @@ def with_views(sql: str) -> str:
     return f"WITH RECURSIVE {head}\n{body}"
 
 
+#: Labels (some 20 bytes each) up to which they go to the documents; beyond that the texts are shuffled to them.
+BROADCAST_LABELS = 4_000_000
+
+
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in view as a DataFrame over the tables in ``sf_dir``."""
     prepare(spark)
     names = _needed(name)
-    return spark.sql(f"WITH {_ctes(names, sf_dir.rstrip('/'))} SELECT * FROM {name}")
+    views = _ctes(names, sf_dir.rstrip("/"))
+    if "v_docs" in names and table(spark, sf_dir, "labels").count() <= BROADCAST_LABELS:
+        views = views.replace("SELECT d.doc_id AS doc_id,", "SELECT /*+ BROADCAST(l) */ d.doc_id AS doc_id,", 1)
+    return spark.sql(f"WITH {views} SELECT * FROM {name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
