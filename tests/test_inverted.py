@@ -104,3 +104,37 @@ def test_postings_are_made_block_by_block(monkeypatch):
         assert all(len({r["block"] for r in part}) == 1 for part in made)
         assert all(sum(r["n"] for r in part) <= max(most, 8) for part in made)
         assert sorted((r["term"], e["doc"], e["tf"]) for part in made for r in part for e in r["entries"]) == want
+
+
+def test_replaced_documents_are_not_shuffled(spark, queries):
+    """Of replaced documents only numbers are kept; the living ones are picked where they lie."""
+    index = I.InvertedIndex.create(spark)
+    index.append(rows_of(spark, made_up(6, 300)))
+    index.append(rows_of(spark, made_up(7, 200)))
+    assert index.table("dead").columns == ["doc", "n0", "n1"] and index.table("dead").count() == 200
+    assert "entries" not in index.table("postings").columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.living("id", "at", "c0", "c1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_too_many_blocks_for_a_broadcast(spark, queries, monkeypatch):
+    index = I.InvertedIndex.create(spark)
+    index.append(rows_of(spark, made_up(6, 300)))
+    index.append(rows_of(spark, made_up(7, 200)))
+    few = sorted(r.id for r in index.living("id").collect())
+    monkeypatch.setattr(I, "BROADCAST_BLOCKS", 0)
+    assert sorted(r.id for r in index.living("id").collect()) == few and len(few) == 300
+
+
+def test_names_in_place_of_ids(spark, queries):
+    index = I.InvertedIndex.create(spark)
+    index.append(rows_of(spark, made_up(8, 200)))
+    names = spark.createDataFrame([(f"d{i:04d}", f"n{i % 3}") for i in range(0, 200, 2)], "id string, name string")
+    for k in (None, 10):
+        want = sorted((r.qid, r.name, r.score) for r in index.search(queries, k).join(names, "id").collect())
+        assert want and sorted((r.qid, r.name, r.score) for r in index.search(queries, k, names=names).collect()) == want
+    assert index.search(queries.limit(0), names=names).columns == ["qid", "score", "name"]

@@ -4,14 +4,15 @@ Layout, one folder per batch of documents:
 
 - ``forward``: documents with their number, date and counted terms;
 - ``postings``: one row per (term, field, block of 512 documents) with the
-  entries (document, times, length, date) and, beside them, how many there are,
-  the largest times, smallest length and latest date.  They are made where the
-  documents lie, so only these rows are shuffled.  They are sorted by term
+  places in the block and the times as two lists and, beside them, how many
+  there are, the largest times, smallest length and latest date.  They are made
+  where the documents lie, so only these rows are shuffled; lengths and dates of
+  single documents stay in ``forward``.  They are sorted by term
   and lie in folders by term bucket, so a search opens only the buckets of the
   terms asked for, and takes the entries only of blocks that can matter;
 - ``stats``: per field, documents with words and their total length;
-- ``dead``: documents of earlier batches that this one replaces, with their
-  terms, so that all counts are those of the living documents.
+- ``dead``: numbers and lengths of documents of earlier batches that this one
+  replaces; a search takes them out of its terms' counts by their places.
 
 The manifest names the batches.  Its row is written last, so a load that is
 killed leaves the index as it was.
@@ -26,6 +27,7 @@ its best ``k``; only these are shuffled.
 from __future__ import annotations
 
 import uuid
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -45,15 +47,23 @@ BLOCK_BITS, BATCH_BITS = 9, 53
 #: Blocks whose postings of one bucket share a file, as a power of two.
 GROUP_BITS = 10
 QUERY_BLOCK = 1024
+#: Blocks with dead documents (up to 1 KB each) that go to the documents; beyond that these are shuffled to them.
+BROADCAST_BLOCKS = 100_000
 #: Counted terms that a task turns into postings at a time (some 100 bytes each), unless one document has more.
 STEP_TERMS = 1 << 20
 #: Sums come in any order.  Scores are held on a grid of 2**-30, so that equal
 #: scores stay equal on every run and ties fall to the id.
 GRID = 2**30
+#: In place of a field: rows that have a document's lengths and date, or say that it is dead.
+DOCUMENT, DEAD = -2, -1
 #: Stands for no date, which weighs as the latest.
 NO_DATE = (1 << 63) - 1
 POSTINGS = """term string, field int, block long, n long, max_tf int, min_len int, max_at long,
     entries array<struct<doc: long, tf: int, len: int, at: long>>"""
+#: The postings of a block and bucket as one row, so that rows with few entries cost little in the shuffle.
+PACKED = """bucket int, block long, term array<string>, field array<byte>, n array<short>, max_tf array<int>, min_len array<int>, max_at array<long>,
+    places array<short>, times array<int>"""
+STORED = "bucket int, term string, field int, block long, n long, max_tf int, min_len int, max_at long, places array<short>, times array<int>"
 MANIFEST = "batch int, folder string, from_batch int"
 
 
@@ -72,7 +82,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term) % BUCKETS).cast("int")
+
+
+def block_of(doc: Column) -> Column:
+    return F.shiftright(doc, BLOCK_BITS)
+
+
+def place_of(doc: Column) -> Column:
+    return doc.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("short")
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, gone): the places of these documents in each block."""
+    return docs.groupBy(block_of(F.col("doc")).alias("block")).agg(F.collect_set(place_of(F.col("doc"))).alias("gone"))
 
 
 def counted(col: Column) -> Column:
@@ -150,6 +173,49 @@ def _in_blocks(batches):
         )
 
 
+def _lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _packed(batches):
+    """The postings of ``_in_blocks``, a row per block and bucket."""
+    for batch in _in_blocks(batches):
+        rows = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        coded = rows["term"].dictionary_encode()
+        buckets = np.array([zlib.crc32(t.encode()) % BUCKETS for t in coded.dictionary.to_pylist()])[np.asarray(coded.indices)]
+        order = np.argsort(buckets, kind="stable")
+        found, starts = np.unique(buckets[order], return_index=True)
+        offsets = np.append(starts, len(order))
+        entries = rows["entries"].take(pa.array(order))
+        upto = np.concatenate([[0], np.cumsum(np.asarray(rows["n"])[order])])[offsets]
+        block = rows["block"][0].as_py()
+        flat = entries.flatten()
+        columns = [pa.array(found, pa.int32()), pa.array(np.full(len(found), block))]
+        for name, kind in (("term", pa.string()), ("field", pa.int8()), ("n", pa.int16()), ("max_tf", pa.int32()), ("min_len", pa.int32()), ("max_at", pa.int64())):
+            columns.append(_lists(rows[name].take(pa.array(order)).cast(kind), offsets))
+        columns.append(_lists(pa.array(np.asarray(flat.field("doc")) - (block << BLOCK_BITS), pa.int16()), upto))
+        columns.append(_lists(flat.field("tf"), upto))
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "term", "field", "n", "max_tf", "min_len", "max_at", "places", "times"])
+
+
+def _unpacked(batches):
+    """The rows of ``_packed``, one per term, field and block again."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        sizes = np.asarray(rows["term"].value_lengths())
+        flat = {name: rows[name].flatten() for name in ("term", "field", "n", "max_tf", "min_len", "max_at", "places", "times")}
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(flat["n"], np.int64))])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.asarray(rows["bucket"]), sizes), pa.int32()), flat["term"], flat["field"].cast(pa.int32()), pa.array(np.repeat(np.asarray(rows["block"]), sizes)),
+                flat["n"].cast(pa.int64()), flat["max_tf"], flat["min_len"], flat["max_at"], _lists(flat["places"], offsets), _lists(flat["times"], offsets),
+            ],
+            names=["bucket", "term", "field", "block", "n", "max_tf", "min_len", "max_at", "places", "times"],
+        )
+
+
 class InvertedIndex:
     """The index stored under ``path``; ``create`` starts an empty one."""
 
@@ -192,7 +258,16 @@ class InvertedIndex:
 
     def living(self, *columns: str) -> DataFrame | None:
         docs = self.table("forward")
-        return None if docs is None else docs.join(self.table("dead").select("doc"), "doc", "left_anti").select(*columns)
+        if docs is None:
+            return None
+        dead = self.table("dead").select("doc")
+        if dead.isEmpty():
+            return docs.select(*columns)
+        gone = in_blocks(dead)
+        if gone.count() > BROADCAST_BLOCKS:
+            return docs.join(dead, "doc", "left_anti").select(*columns)
+        marked = docs.withColumn("block", block_of(F.col("doc"))).join(F.broadcast(gone), "block", "left")
+        return marked.where(~F.coalesce(F.array_contains("gone", place_of(F.col("doc"))), F.lit(False))).select(*columns)
 
     def _add(self, counts: DataFrame, only: DataFrame | None, base: bool = False) -> None:
         earlier = self.batches()
@@ -206,18 +281,20 @@ class InvertedIndex:
         new = self.spark.read.parquet(f"{folder}/forward")
         self._write_dead(new, bool(earlier) and not base, folder)
 
-        rows = new.select("doc", "at", "c0", "n0", "c1", "n1").mapInArrow(_in_blocks, POSTINGS)
-        if only is not None:
-            rows = rows.join(only.select("term").distinct(), "term", "left_semi")
+        rows, group = new.select("doc", "at", "c0", "n0", "c1", "n1"), F.shiftright("block", GROUP_BITS)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("bucket", bucket(F.col("term"))).repartition(parts, "bucket", F.shiftright("block", GROUP_BITS))
+        if only is None:
+            dealt = rows.mapInArrow(_packed, PACKED).repartition(parts, "bucket", group).mapInArrow(_unpacked, STORED)
+        else:
+            asked = rows.mapInArrow(_in_blocks, POSTINGS).join(only.select("term").distinct(), "term", "left_semi")
+            numbers = [F.transform("entries", lambda e: place_of(e["doc"])).alias("places"), F.col("entries.tf").alias("times")]
+            dealt = asked.select(bucket(F.col("term")).alias("bucket"), "term", "field", "block", "n", "max_tf", "min_len", "max_at", *numbers).repartition(parts, "bucket", group)
         dealt.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
         self.spark.createDataFrame([(number, folder, number if base else 0)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _write_dead(self, new: DataFrame, replaces: bool, folder: str) -> None:
-        docs = self.living("doc", "id", "c0", "c1", "n0", "n1") if replaces else None
-        gone = new.select("doc", "c0", "c1", "n0", "n1").limit(0) if docs is None else docs.join(new.select("id").distinct(), "id", "left_semi").drop("id")
-        gone = gone.select("doc", "n0", "n1", F.transform("c0", lambda x: x["term"]).alias("w0"), F.transform("c1", lambda x: x["term"]).alias("w1"))
+        docs = self.living("doc", "id", "n0", "n1") if replaces else None
+        gone = new.select("doc", "n0", "n1").limit(0) if docs is None else docs.join(new.select("id").distinct(), "id", "left_semi").drop("id")
         gone.write.parquet(f"{folder}/dead")
         lengths = [rows.select(F.lit(f).alias("field"), F.col(f"n{f}").alias("len"), F.lit(sign).alias("sign")) for f in (0, 1) for rows, sign in ((new, 1), (self.spark.read.parquet(f"{folder}/dead"), -1))]
         all_lengths = lengths[0].unionByName(lengths[1]).unionByName(lengths[2]).unionByName(lengths[3]).where("len > 0")
@@ -225,9 +302,13 @@ class InvertedIndex:
 
     # -- search ------------------------------------------------------------------
 
-    def search(self, queries: DataFrame, k: int | None = None, as_of_ms: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int | None = None, as_of_ms: int | None = None, names: DataFrame | None = None) -> DataFrame:
         """(qid, id, score): best of the text score and three times the title score.
 
+        With ``names`` (id and other columns) the hits of these documents get
+        those columns in place of the id; names come to the document numbers
+        first, so that the hits are joined once.
+
         With ``k`` only the best of each query (ties at the cut go by id); with
         ``as_of_ms`` scores take the weight of the document's last update.
         Queries go in blocks; the driver holds the terms of one block.
@@ -243,14 +324,18 @@ class InvertedIndex:
             if found is not None and blocks > 1:
                 found.write.mode("append").parquet(path)
         if found is None and blocks == 1:
-            return self.spark.createDataFrame([], f"{schema}").select("qid", F.lit("").alias("id"), "score").limit(0)
+            none = self.spark.createDataFrame([], f"{schema}").select("qid", F.lit("").alias("id"), "score").limit(0)
+            return none if names is None else none.join(names, "id").drop("id")
         if blocks > 1:
             found = self.spark.read.schema(schema).parquet(path)
+        if names is not None and k is None:
+            return found.join(ids.select("doc", "id").join(names, "id").drop("id"), "doc").drop("doc")
         hits = found.join(ids.select("doc", "id"), "doc").select("qid", "id", "score")
         if k is None:
             return hits
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-        return hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+        best = hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+        return best if names is None else best.join(names, "id").drop("id")
 
     def _search_block(self, wanted: DataFrame, k: int | None, as_of_ms: int | None, schema: str) -> DataFrame | None:
         terms = wanted.select("term").distinct()
@@ -259,8 +344,8 @@ class InvertedIndex:
         heads = materialize(postings.select("term", "field", "block", "n", "max_tf", "min_len", "max_at"), "heads")
         stats = {r[0]: (r[1], r[2] / r[1]) for r in self.table("stats").groupBy("field").agg(F.sum("n"), F.sum("total")).collect() if r[1]}
         dead = self.table("dead")
-        lost = dead.select(F.lit(0).alias("field"), F.explode("w0").alias("term")).unionByName(dead.select(F.lit(1).alias("field"), F.explode("w1").alias("term")))
-        changes = heads.select("term", "field", "n").unionByName(lost.join(F.broadcast(terms), "term", "left_semi").select("term", "field", F.lit(-1).cast("long").alias("n")))
+        lost = postings.select("term", "field", "block", "places").join(in_blocks(dead), "block").select("term", "field", (-F.size(F.array_intersect("places", "gone"))).cast("long").alias("n"))
+        changes = heads.select("term", "field", "n").unionByName(lost)
         counts = changes.groupBy("term", "field").agg(F.sum("n").alias("df")).where("df > 0")
         n = F.create_map(*[F.lit(x) for f, (m, _) in stats.items() for x in (f, float(m))])[F.col("field")]
         mean = F.create_map(*[F.lit(x) for f, (_, m) in stats.items() for x in (f, float(m))])[F.col("field")]
@@ -290,9 +375,12 @@ class InvertedIndex:
 
     def _score(self, postings: DataFrame, dead: DataFrame, pairs: DataFrame, scorer, schema: str) -> DataFrame:
         """Score (query, block) pairs: entries and queries of a block meet in one task."""
-        gone = dead.select(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.shiftright("doc", BLOCK_BITS).alias("block"),
-                           F.array(F.struct("doc", F.lit(0).alias("tf"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("at"))).alias("entries"))
-        rows = postings.select("term", "field", "block", "entries").unionByName(gone)
+        none = lambda kind: F.lit(None).cast(kind)
+        here = [block_of(F.col("doc")).alias("block"), F.array(place_of(F.col("doc"))).alias("places"), none("array<int>").alias("times")]
+        gone = dead.select(none("string").alias("term"), F.lit(DEAD).alias("field"), *here, none("int").alias("n0"), none("int").alias("n1"), none("long").alias("at"))
+        docs = self.table("forward").select(none("string").alias("term"), F.lit(DOCUMENT).alias("field"), *here, "n0", "n1", "at")
+        rows = postings.select("term", "field", "block", "places", "times", none("int").alias("n0"), none("int").alias("n1"), none("long").alias("at"))
+        rows = rows.unionByName(docs).unionByName(gone)
         asked = pairs.select("qid", "block")
         return rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(scorer, schema)
 
@@ -316,28 +404,36 @@ class InvertedIndex:
             size, base = 1 << BLOCK_BITS, key[0].as_py() << BLOCK_BITS
             sums = np.zeros((2, len(here), size))
             alive, at = np.ones(size, bool), np.full(size, np.nan)
-            lists = entries["entries"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            flat, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-            doc = np.asarray(flat.field("doc")) - base
-            tf, length = np.asarray(flat.field("tf"), np.float64), np.asarray(flat.field("len"), np.float64)
-            dates = flat.field("at").to_numpy(zero_copy_only=False).astype(np.float64)
-            names = list(zip(entries["field"].to_pylist(), entries["term"].to_pylist()))
-            for row in sorted(range(len(names)), key=lambda r: (names[r][0], names[r][1] or "")):
-                span = slice(offsets[row], offsets[row + 1])
-                field = names[row][0]
-                if field < 0:
-                    alive[doc[span]] = False
-                    continue
-                at[doc[span]] = dates[span]
+            entries = entries.combine_chunks()
+            fields = np.asarray(entries["field"])
+            places = entries["places"].combine_chunks()
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(places.value_lengths()))])
+            place = np.asarray(places.flatten())
+            info = np.flatnonzero(fields == DOCUMENT)
+            # a document's row and a dead one's have one place
+            alive[place[offsets[np.flatnonzero(fields == DEAD)]]] = False
+            where, lengths = place[offsets[info]], np.ones((2, size))
+            of_docs = entries.take(pa.array(info))
+            lengths[0, where], lengths[1, where] = (np.asarray(of_docs[c], np.float64) for c in ("n0", "n1"))
+            at[where] = of_docs["at"].to_numpy().astype(np.float64)
+            terms = np.flatnonzero(fields >= 0)
+            named = entries.take(pa.array(terms))
+            times, upto = np.asarray(named["times"].combine_chunks().flatten(), np.float64), 0
+            starts = {}
+            for row, n in zip(terms.tolist(), (offsets[terms + 1] - offsets[terms]).tolist()):
+                starts[row] = slice(upto, upto + n)
+                upto += n
+            names = dict(zip(terms.tolist(), zip(fields[terms].tolist(), named["term"].to_pylist())))
+            for row in sorted(names, key=names.get):
                 wanted = table.get(names[row])
                 if wanted is None:
                     continue
+                field, doc = names[row][0], place[offsets[row] : offsets[row + 1]]
                 who = local[wanted[0]]
-                weight = _weights(tf[span], length[span], means[field])
+                weight = _weights(times[starts[row]], lengths[field, doc], means[field])
                 for q, factor in zip(who.tolist(), wanted[1].tolist()):
                     if q >= 0:
-                        sums[field, q, doc[span]] += factor * weight
+                        sums[field, q, doc] += factor * weight
             total = np.maximum(sums[0], R.TITLE_BOOST * sums[1])
             total[:, ~alive] = 0
             scores = np.floor(total * GRID + 0.5) / GRID

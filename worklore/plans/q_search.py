@@ -421,6 +421,6 @@ def q21(spark, sf):
     docs = standin(spark, sf, "v_docs")
     queries = standin(spark, sf, "v_queries")
     _, inverted = stored(spark, sf, ranked_docs)
-    hits = inverted.search(queries).join(docs.select("id", "source"), "id")
+    hits = inverted.search(queries, names=docs.select("id", "source"))
     templates = docs.select("source", F.concat(F.lit("more on "), "source").alias("template")).distinct()
     return S.deep_dive(hits, templates, queries)
