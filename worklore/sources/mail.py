@@ -39,19 +39,22 @@ ZONES = {
 def with_parts(df: DataFrame, column: str = "payload.parts") -> DataFrame:
     """The part tree, JSON text, as a list ``parts_list``: each part before those inside it.
 
-    Opened level by level until no row has a closed part, whatever the depth;
-    each level costs a look for such a row when the table is built.
+    Opened level by level inside the row, whatever the depth: a level needs a
+    brace, so a row has at most as many steps as its text has braces, and steps
+    with no closed part left do nothing.
     """
-    df = df.withColumn("parts_list", F.from_json(column, PARTS))
 
     def opened(p: Column) -> Column:
         own = F.array(F.struct(p["mimeType"].alias("mimeType"), p["body"].alias("body"), F.lit(None).cast("string").alias("parts")))
         children = F.coalesce(F.from_json(p["parts"], PARTS), F.filter(own, lambda _: F.lit(False)))
         return F.when(p["parts"].isNull(), own).otherwise(F.concat(own, children))
 
-    while not df.filter(F.exists("parts_list", lambda p: p["parts"].isNotNull())).isEmpty():
-        df = df.withColumn("parts_list", F.flatten(F.transform("parts_list", opened)))
-    return df
+    def level(found: Column, _: Column) -> Column:
+        return F.when(F.exists(found, lambda p: p["parts"].isNotNull()), F.flatten(F.transform(found, opened))).otherwise(found)
+
+    text = F.col(column)
+    steps = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit("{"))))
+    return df.withColumn("parts_list", F.aggregate(steps, F.from_json(text, PARTS), level))
 
 
 def with_body(df: DataFrame, to_text: Callable[[Column], Column] = html_to_text) -> DataFrame:
@@ -85,7 +88,7 @@ def emails(raw: DataFrame, to_text: Callable[[Column], Column] = html_to_text) -
         header(h, "subject").alias("subject"), header(h, "from").alias("sender"),
         addresses(header(h, "to")).alias("recipients"), addresses(header(h, "cc")).alias("cc"),
         mail_date(header(h, "date")).alias("date"), "body",
-    ).filter(~(blank(F.col("body")) & blank(F.col("subject"))))
+    ).filter(~(blank(F.col("subject")) & blank(F.col("body"))))
     content = F.concat_ws(
         "\n",
         F.concat(F.lit("# Email: "), "subject"),
