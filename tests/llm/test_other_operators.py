@@ -1,14 +1,17 @@
 """Vectors, archives, components, and the pipeline."""
 
 import base64
+import contextlib
 import hashlib
+import io
 
 import cases
 import numpy as np
+from pyspark.sql.readwriter import DataFrameWriter
 
 import corpus_pipeline
 from worklore.llm import catalog, mih, warc
-from worklore.llm.components import components
+from worklore.llm.components import components, extended
 
 
 def test_nearest(spark):
@@ -118,3 +121,29 @@ def test_pipeline_on_awkward_rows(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert 0 < docs.count() < len(rows)
+
+
+def test_more_edges_extend_components(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = lambda table: {frozenset(g.node) for _, g in table.toPandas().groupby("label")}
+    known = [(1, 2), (2, 3), (4, 5), (6, 7), (8, 9), (20, 21)]
+    for more in ([], [(1, 3)], [(3, 4), (5, 6), (10, 11), (11, 9), (30, 31), (31, 31), (2, 5)]):
+        assert parts(extended(components(edges(known)), edges(more))) == parts(components(edges(known + more))), more
+
+
+def test_stages_write_by_small_plans(spark, sf_dir, monkeypatch):
+    """The driver plans and replans each write as a whole; large plans took it over its memory."""
+    found, write = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            self._df.explain()
+        found[path.rsplit("/", 1)[-1]] = plan.getvalue().count("Exchange")
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    docs = corpus_pipeline.table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    assert any(x.startswith("places-") for x in found) and any(x.startswith("near-duplicates-") for x in found)
+    assert max(found.values()) <= 8, found

@@ -31,3 +31,20 @@ def components(edges: DataFrame) -> DataFrame:
         moved = parents.select(F.col("a").alias("label"), "top")
         labels = materialize(labels.join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
     return labels.select(F.col("node.id").alias("node"), F.col("label.id").alias("label"))
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` as ``components`` gives them, after more edges, whose nodes may be new.
+
+    The edges are carried over to the components they join, so the rounds work on those alone.
+    """
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    joined = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a != b").distinct()
+    joined = materialize(joined, "joins")
+    if joined.isEmpty():
+        return labels
+    tops = components(joined).withColumnsRenamed({"node": "of", "label": "top"})
+    known = labels.join(tops, F.col("label") == F.col("of"), "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = tops.join(labels, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("top").alias("label"))
+    return materialize(known.union(new), "extended")

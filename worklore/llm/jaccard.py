@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from worklore.llm import textbytes as tb
 from worklore.llm.common import free_name, keyed_docs, materialize, text_key, tidy
-from worklore.llm.components import components
+from worklore.llm.components import components, extended
 from worklore.llm.shingles import set_keys, sets_of
 from worklore.session import prepare
 
@@ -130,7 +130,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class candidates, edges between their cids); enough edges to join all linked classes."""
+    """(class candidates, components of the linked ones by cid)."""
     wanted = worth_a_look(docs, table)
     sets = shingle_sets(docs, wanted)
     if not table.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
@@ -140,29 +140,28 @@ def links(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     pivots = area.groupBy("h").agg(F.max_by("cid", F.struct("typical", -F.col("cid"))).alias("p"))
     member = materialize(area.join(pivots, "h").where("cid != p"), "members")
     near = materialize(distances(member.select(F.col("p").alias("a"), F.col("cid").alias("b")).distinct(), sets), "pivots")
-    edges = near.where("linked").select("a", "b")
-    label = components(edges)
+    label = components(near.where("linked").select("a", "b"))
     # The regions again, each set with its distance to the pivot and its component so far.
     seen = member.join(near.select(F.col("a").alias("p"), F.col("b").alias("cid"), "d", "linked", F.col("both").alias("with_pivot")), ["p", "cid"])
     seen = seen.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     left, right = seen.where("not linked").alias("x"), seen.alias("y")
     rest = left.join(right, F.expr(f"x.h = y.h and x.label != y.label and (y.linked or x.cid < y.cid) and abs(x.d - y.d) <= 0.2500001D and {POSSIBLE}"))
-    rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    more = materialize(distances(rest, sets).where("linked").select("a", "b"), "links")
-    return wanted, edges.union(more)
+    rest = materialize(rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct(), "rest")
+    return wanted, extended(label, distances(rest, sets).where("linked").select("a", "b"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, component_id, part) per document; ``part`` names its component, null without shingles."""
     prepare(docs.sparkSession)
     table = materialize(set_table(docs), "set-table")
-    wanted, edges = links(docs, table)
+    wanted, label = links(docs, table)
+    named = wanted.join(label, F.col("cid") == F.col("node")).select("c1", "c2", "label")
     firsts = table.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    label = components(edges).withColumnRenamed("node", "cid")
-    linked = wanted.join(label, "cid").select("c1", "c2", "label").join(firsts, ["c1", "c2"])
+    classes = materialize(firsts.join(named, ["c1", "c2"], "left").where("copies > 1 or label is not null"), "classes")
+    linked = classes.where("label is not null")
     whole = linked.groupBy("label").agg(F.min("first").alias("smallest"), F.min("c1").alias("part"))
     groups = linked.join(whole, "label").select("c1", "c2", "smallest", "part")
-    copies = firsts.where("copies > 1").select("c1", "c2", F.col("first").alias("smallest"), F.col("c1").alias("part")).join(groups, ["c1", "c2"], "left_anti")
+    copies = classes.where("label is null").select("c1", "c2", F.col("first").alias("smallest"), F.col("c1").alias("part"))
     known = groups.union(copies).withColumnsRenamed({"c1": "g1", "c2": "g2"})
     joined = table.join(known, (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")) & (F.col("n") > 0), "left")
     return joined.select("doc_id", "text_key", "n", F.coalesce("smallest", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.coalesce("part", "c1")).alias("part"))
@@ -184,7 +183,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     inside = rows.join(many, F.col("part") == F.col("of"))
     spare = inside.where(~order.eqNullSafe(F.col("best"))).select("doc_id", "text_key").distinct()
     again = inside.where(order.eqNullSafe(F.col("best"))).groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
-    return without_keys(docs, spare.withColumn("once", F.lit(False)).union(again.withColumn("once", F.lit(True))))
+    return without_keys(docs, materialize(spare.withColumn("once", F.lit(False)).union(again.withColumn("once", F.lit(True))), "spare"))
 
 
 def without_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:

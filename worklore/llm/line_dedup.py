@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklore.llm.common import free_name, materialize, text_key
+from worklore.llm.common import free_name, gathered, materialize, text_key
 
 LEAST_WORDS = 50
 #: Cut documents, and cuts, up to which the list (about 60 bytes each) is broadcast.
@@ -92,25 +92,27 @@ def cuts(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     own = [*DOC, "stretch"]
     runs = materialize(shortest_runs(rows, least_words).withColumn("level", F.floor(F.log2("size")).cast("int")), "runs")
     deepest = runs.agg(F.max("level")).first()[0]
-    found = []
-    ranks = rows.select(*own, "pos", F.col("r0").alias("r"))
-    for level in range((deepest if deepest is not None else -1) + 1):
-        if level:
-            half = 1 << (level - 1)
-            # Runs that occur once have no rank and leave gaps, so the next half is found by its place.
-            ahead = F.max("r").over(Window.partitionBy(*own).orderBy("pos").rangeBetween(half, half))
-            pairs = ranks.withColumn("next", ahead).where("next is not null")
-            named = numbered(pairs, "r", "next")
-            ranks = materialize(pairs.join(named, (F.col("r") == F.col("x")) & (F.col("next") == F.col("y"))).select(*own, "pos", F.col("rank").alias("r")), "suffixes")
-        # Runs of 2^level up to 2^(level + 1) - 1 lines: a rank at either end names them.
-        here = runs.where(F.col("level") == level).drop("level")
-        first = here.join(ranks, [*own, "pos"]).withColumnRenamed("r", "head").withColumn("tail_pos", F.col("pos") + F.col("size") - (1 << level))
-        tail = ranks.select(*own, F.col("pos").alias("tail_pos"), F.col("r").alias("tail"))
-        found.append(first.join(tail, [*own, "tail_pos"]).select(*DOC, "pos", "size", "end", "head", "tail", F.lit(level).alias("level")))
-    if not found:
+    if deepest is None:
         empty = rows.select(*DOC, F.col("pos").alias("start"), F.col("pos").alias("stop")).limit(0)
         return empty
-    places = materialize(reduce(DataFrame.unionByName, found), "places")
+
+    def named_runs():
+        ranks = rows.select(*own, "pos", F.col("r0").alias("r"))
+        for level in range(deepest + 1):
+            if level:
+                half = 1 << (level - 1)
+                # Runs that occur once have no rank and leave gaps, so the next half is found by its place.
+                ahead = F.max("r").over(Window.partitionBy(*own).orderBy("pos").rangeBetween(half, half))
+                pairs = ranks.withColumn("next", ahead).where("next is not null")
+                named = numbered(pairs, "r", "next")
+                ranks = materialize(pairs.join(named, (F.col("r") == F.col("x")) & (F.col("next") == F.col("y"))).select(*own, "pos", F.col("rank").alias("r")), "suffixes")
+            # Runs of 2^level up to 2^(level + 1) - 1 lines: a rank at either end names them.
+            here = runs.where(F.col("level") == level).drop("level")
+            first = here.join(ranks, [*own, "pos"]).withColumnRenamed("r", "head").withColumn("tail_pos", F.col("pos") + F.col("size") - (1 << level))
+            tail = ranks.select(*own, F.col("pos").alias("tail_pos"), F.col("r").alias("tail"))
+            yield first.join(tail, [*own, "tail_pos"]).select(*DOC, "pos", "size", "end", "head", "tail", F.lit(level).alias("level"))
+
+    places = gathered(named_runs(), "places")
     interval = ["level", "size", "end", "head", "tail"]
     here = F.struct(*DOC, "pos")
     earliest = places.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")

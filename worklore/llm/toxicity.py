@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklore.llm import textbytes as tb
-from worklore.llm.common import fold, free_name, materialize, text_key, tidy
+from worklore.llm.common import fold, free_name, give_back, materialize, text_key, tidy
 from worklore.llm.labelled import all_labelled
 
 #: A quarter of so many labelled rows per class fits the curve; counts have no bound.
@@ -490,6 +490,8 @@ def remove_toxic(docs: DataFrame, model: Model | Tables, threshold: float = 0.5)
         bad = scored.where(F.col("score") >= threshold).select(F.col("id").alias(id_name), F.col("text_key").alias(key_name))
         return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (text_key(F.col("text")) == F.col(key_name)), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+    give_back()
     at = docs.columns.index("text")
 
     def keep(batches):
