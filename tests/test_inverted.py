@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from worklore.operators import inverted as I
 from worklore.operators import search as S
+from worklore.session import fresh_path
 
 
 def rows_of(spark, docs):
@@ -138,3 +139,77 @@ def test_names_in_place_of_ids(spark, queries):
         want = sorted((r.qid, r.name, r.score) for r in index.search(queries, k).join(names, "id").collect())
         assert want and sorted((r.qid, r.name, r.score) for r in index.search(queries, k, names=names).collect()) == want
     assert index.search(queries.limit(0), names=names).columns == ["qid", "score", "name"]
+
+
+def in_parts(seed, n=700, most=4):
+    """Chunk rows of made-up documents, the chunks of each side by side."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(n):
+        chunks = 600 if d == 300 else rnd.randint(1, most)
+        for c in range(chunks):
+            text = "w7 w8" if rnd.random() < 0.3 else " ".join(rnd.choices(words, k=rnd.randint(0, 12)))  # ties inside a document
+            rows.append((f"d{d}_chunk_{c}" if chunks > 1 else f"d{d}", f"d{d}" if chunks > 1 else None, text, "w9" if d % 5 else "", None))
+    return rows
+
+
+def chunk_table(spark, rows):
+    return spark.createDataFrame(rows, "id string, parent_doc_id string, content string, title string, updated_ms long").coalesce(1)
+
+
+def best_rows(hits):
+    return sorted((r.qid, r.id, r.parent_doc_id or "", r.score, r.n_chunks) for r in S.best_chunk(hits).collect())
+
+
+def test_best_parts_are_cut_where_they_are_scored(spark, queries, monkeypatch):
+    first, changed = in_parts(9), in_parts(10, 200)
+    index = I.InvertedIndex.create(spark)
+    assert index.search(queries, parts=True).collect() == []
+    for rows in (first, changed):
+        path = fresh_path(spark, "chunks")
+        chunk_table(spark, rows).write.parquet(path)
+        # rows that lie side by side stay so
+        monkeypatch.setattr(I, "_in_files", lambda _: True)
+        index.append(spark.read.parquet(path))
+        monkeypatch.undo()
+        names = chunk_table(spark, list({r[0]: r for r in first + (changed if rows is changed else [])}.values())).select("id", "parent_doc_id")
+        want = best_rows(index.search(queries).join(names, "id"))
+        parts = index.search(queries, parts=True).cache()
+        assert want and best_rows(parts) == want
+        if rows is first:
+            apart = {r.parent_doc_id for r in parts.where("not whole").collect()}
+            assert "d300" in apart and len(apart) <= 6
+            once = parts.where("whole").groupBy("qid", F.coalesce("parent_doc_id", "id")).count()
+            assert once.where("count > 1").isEmpty() and parts.where("whole").count() > 10 * parts.where("not whole").count()
+    monkeypatch.setattr(I, "QUERY_BLOCK", 2)
+    assert best_rows(index.search(queries, parts=True)) == want
+    monkeypatch.setattr(I, "BROADCAST_BLOCKS", 0)
+    assert best_rows(index.search(queries, parts=True)) == want
+
+
+def test_best_chunks_of_scattered_parts(spark, queries):
+    rows = in_parts(11, 400)
+    random.Random(1).shuffle(rows)
+    index = I.InvertedIndex.create(spark)
+    index.append(chunk_table(spark, rows))
+    index.compact()
+    want = best_rows(index.search(queries).join(chunk_table(spark, rows).select("id", "parent_doc_id"), "id"))
+    assert want and best_rows(index.search(queries, parts=True)) == want
+
+
+def test_texts_that_are_spread_are_not_shuffled(spark, queries, monkeypatch):
+    rows = in_parts(12, 100)
+    path = fresh_path(spark, "chunks")
+    chunk_table(spark, rows).repartition(8).write.parquet(path)
+    table = spark.read.parquet(path)
+    want = S.bm25(table, queries).count()
+    index = I.InvertedIndex.create(spark)
+
+    def no_shuffle(*_):
+        raise AssertionError("shuffled")
+
+    monkeypatch.setattr(type(table), "repartition", no_shuffle)
+    index.append(table)
+    assert index.search(queries).count() == want
+    assert all(I.zlib.crc32(r.term.encode()) % I.BUCKETS == r.bucket for r in index.table("postings").select("bucket", "term").collect())

@@ -2,11 +2,12 @@
 
 Layout, one folder per batch of documents:
 
-- ``forward``: documents with their number, date and counted terms;
+- ``forward``: documents with their number, date, counted terms and, for a
+  chunk, the document it is a part of; parts stay side by side as they came;
 - ``postings``: one row per (term, field, block of 512 documents) with the
   places in the block and the times as two lists and, beside them, how many
   there are, the largest times, smallest length and latest date.  They are made
-  where the documents lie, so only these rows are shuffled; lengths and dates of
+  and written where the documents lie, without a shuffle; lengths and dates of
   single documents stay in ``forward``.  They are sorted by term
   and lie in folders by term bucket, so a search opens only the buckets of the
   terms asked for, and takes the entries only of blocks that can matter;
@@ -22,6 +23,11 @@ entries bound what a document of a block can score; the blocks with the highest
 bounds are scored first, and of the others only those whose bound reaches the
 k-th best score so far.  Blocks are scored whole in a task, where each keeps
 its best ``k``; only these are shuffled.
+
+A search for the best part of each document cuts where blocks are scored, too:
+a document with all its parts in one block has one row per query from there,
+final and under its name.  Only hits of documents that cross blocks are left to
+be put together.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 BUCKETS = 64
 #: Document numbers: block and place in it, and above them the batch.
 BLOCK_BITS, BATCH_BITS = 9, 53
-#: Blocks whose postings of one bucket share a file, as a power of two.
+#: Blocks whose postings of one bucket share a file in an index for one search, as a power of two.
 GROUP_BITS = 10
 QUERY_BLOCK = 1024
 #: Blocks with dead documents (up to 1 KB each) that go to the documents; beyond that these are shuffled to them.
@@ -60,11 +66,10 @@ DOCUMENT, DEAD = -2, -1
 NO_DATE = (1 << 63) - 1
 POSTINGS = """term string, field int, block long, n long, max_tf int, min_len int, max_at long,
     entries array<struct<doc: long, tf: int, len: int, at: long>>"""
-#: The postings of a block and bucket as one row, so that rows with few entries cost little in the shuffle.
-PACKED = """bucket int, block long, term array<string>, field array<byte>, n array<short>, max_tf array<int>, min_len array<int>, max_at array<long>,
-    places array<short>, times array<int>"""
 STORED = "bucket int, term string, field int, block long, n long, max_tf int, min_len int, max_at long, places array<short>, times array<int>"
 MANIFEST = "batch int, folder string, from_batch int"
+#: Best parts of documents, with the hits that a row stands for.
+BEST = "id string, parent_doc_id string, score double, n_chunks long"
 
 
 def steady(score: Column) -> Column:
@@ -173,49 +178,54 @@ def _in_blocks(batches):
         )
 
 
+def _in_files(rows: DataFrame) -> bool:
+    """Whether these are rows of one table in as many files as there are cores: spread already, and as they were written."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return leaves.size() == 1 and len(rows.inputFiles()) >= rows.sparkSession.sparkContext.defaultParallelism
+
+
 def _lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _packed(batches):
-    """The postings of ``_in_blocks``, a row per block and bucket."""
+def _to_store(batches):
+    """The postings of ``_in_blocks`` as they are stored, with places in the block for documents; sorted, so that a task only merges blocks."""
     for batch in _in_blocks(batches):
+        coded = batch.column(0).dictionary_encode()
+        code, place = np.asarray(coded.indices), np.empty(len(coded.dictionary), np.int64)
+        place[np.asarray(pc.sort_indices(coded.dictionary))] = np.arange(len(place))
+        buckets = np.array([zlib.crc32(t.encode()) % BUCKETS for t in coded.dictionary.to_pylist()])[code]
+        order = np.lexsort((np.asarray(batch.column(1)), place[code], buckets))
+        buckets, batch = buckets[order], batch.take(pa.array(order))
         rows = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        coded = rows["term"].dictionary_encode()
-        buckets = np.array([zlib.crc32(t.encode()) % BUCKETS for t in coded.dictionary.to_pylist()])[np.asarray(coded.indices)]
-        order = np.argsort(buckets, kind="stable")
-        found, starts = np.unique(buckets[order], return_index=True)
-        offsets = np.append(starts, len(order))
-        entries = rows["entries"].take(pa.array(order))
-        upto = np.concatenate([[0], np.cumsum(np.asarray(rows["n"])[order])])[offsets]
-        block = rows["block"][0].as_py()
-        flat = entries.flatten()
-        columns = [pa.array(found, pa.int32()), pa.array(np.full(len(found), block))]
-        for name, kind in (("term", pa.string()), ("field", pa.int8()), ("n", pa.int16()), ("max_tf", pa.int32()), ("min_len", pa.int32()), ("max_at", pa.int64())):
-            columns.append(_lists(rows[name].take(pa.array(order)).cast(kind), offsets))
-        columns.append(_lists(pa.array(np.asarray(flat.field("doc")) - (block << BLOCK_BITS), pa.int16()), upto))
-        columns.append(_lists(flat.field("tf"), upto))
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "term", "field", "n", "max_tf", "min_len", "max_at", "places", "times"])
-
-
-def _unpacked(batches):
-    """The rows of ``_packed``, one per term, field and block again."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        sizes = np.asarray(rows["term"].value_lengths())
-        flat = {name: rows[name].flatten() for name in ("term", "field", "n", "max_tf", "min_len", "max_at", "places", "times")}
-        offsets = np.concatenate([[0], np.cumsum(np.asarray(flat["n"], np.int64))])
+        flat, offsets = rows["entries"].flatten(), np.concatenate([[0], np.cumsum(np.asarray(rows["n"]))])
+        places = pa.array(np.asarray(flat.field("doc")) & ((1 << BLOCK_BITS) - 1), pa.int16())
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.asarray(rows["bucket"]), sizes), pa.int32()), flat["term"], flat["field"].cast(pa.int32()), pa.array(np.repeat(np.asarray(rows["block"]), sizes)),
-                flat["n"].cast(pa.int64()), flat["max_tf"], flat["min_len"], flat["max_at"], _lists(flat["places"], offsets), _lists(flat["times"], offsets),
-            ],
+            [pa.array(buckets, pa.int32()), *(rows[name] for name in ("term", "field", "block", "n", "max_tf", "min_len", "max_at")), _lists(places, offsets), _lists(flat.field("tf"), offsets)],
             names=["bucket", "term", "field", "block", "n", "max_tf", "min_len", "max_at", "places", "times"],
         )
 
 
+def _best_parts(total: np.ndarray, scores: np.ndarray, ids: pa.Array, parents: pa.Array):
+    """(query, part, score, hits) of the best part of each document per query; at equal scores the first id.
+
+    ``total`` and ``scores`` have a row per query and a column per part; a hit
+    is a part with a total above 0.
+    """
+    document = np.asarray(pc.coalesce(parents, ids).dictionary_encode().indices)
+    by_id = np.asarray(pc.sort_indices(ids))
+    order = by_id[np.argsort(document[by_id], kind="stable")]
+    starts = np.flatnonzero(np.diff(document[order], prepend=-1))
+    live = total[:, order] > 0
+    here = np.where(live, scores[:, order], -1.0)
+    best = np.maximum.reduceat(here, starts, axis=1)
+    first = np.where(live & (here == np.repeat(best, np.diff(np.append(starts, len(order))), axis=1)), np.arange(len(order)), len(order))
+    first = np.minimum.reduceat(first, starts, axis=1)
+    hits = np.add.reduceat(live.astype(np.int64), starts, axis=1)
+    who, group = np.nonzero(hits)
+    return who, order[first[who, group]], best[who, group], hits[who, group]
+
+
 class InvertedIndex:
     """The index stored under ``path``; ``create`` starts an empty one."""
 
@@ -241,18 +251,21 @@ class InvertedIndex:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def append(self, rows: DataFrame, text: str = "content", title: str = "title", only: DataFrame | None = None) -> None:
-        """Add documents (id, text, title and, if there, updated_ms); an id that is there already is replaced.
+        """Add documents (id, text, title and, if there, updated_ms and parent_doc_id); an id that is there already is replaced.
 
         ``only`` (term) leaves out the postings of all other terms, for an
         index that serves one search.
         """
         at = F.col("updated_ms") if "updated_ms" in rows.columns else F.lit(None)
-        spread = spread_small(rows.select("id", at.cast("long").alias("at"), F.col(text).alias("t0"), F.col(title).alias("t1")), "id")
-        self._add(spread.select("id", "at", counted(F.col("t0")).alias("c0"), counted(F.col("t1")).alias("c1")), only)
+        parent = F.col("parent_doc_id") if "parent_doc_id" in rows.columns else F.lit(None)
+        spread = rows.select("id", parent.cast("string").alias("parent_doc_id"), at.cast("long").alias("at"), F.col(text).alias("t0"), F.col(title).alias("t1"))
+        if not _in_files(rows):
+            spread = spread_small(spread, F.coalesce("parent_doc_id", "id"))
+        self._add(spread.select("id", "parent_doc_id", "at", counted(F.col("t0")).alias("c0"), counted(F.col("t1")).alias("c1")), only)
 
     def compact(self) -> None:
         """All living documents in one new base; earlier batches are no longer read."""
-        living = self.living("id", "at", "c0", "c1")
+        living = self.living("id", "parent_doc_id", "at", "c0", "c1")
         if living is not None:
             self._add(living, None, base=True)
 
@@ -277,19 +290,20 @@ class InvertedIndex:
         folder = f"{self.path}/batch-{uuid.uuid4().hex}"
         doc = F.lit(number << BATCH_BITS) + F.monotonically_increasing_id()
         length = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["tf"])
-        counts.select(doc.alias("doc"), "id", "at", "c0", "c1", length("c0").alias("n0"), length("c1").alias("n1")).write.parquet(f"{folder}/forward")
+        numbered = counts.select(doc.alias("doc"), "id", "parent_doc_id", "at", "c0", "c1", length("c0").alias("n0"), length("c1").alias("n1"))
+        numbered.write.option("compression", "zstd").parquet(f"{folder}/forward")
         new = self.spark.read.parquet(f"{folder}/forward")
         self._write_dead(new, bool(earlier) and not base, folder)
 
         rows, group = new.select("doc", "at", "c0", "n0", "c1", "n1"), F.shiftright("block", GROUP_BITS)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         if only is None:
-            dealt = rows.mapInArrow(_packed, PACKED).repartition(parts, "bucket", group).mapInArrow(_unpacked, STORED)
+            dealt = rows.mapInArrow(_to_store, STORED)
         else:
             asked = rows.mapInArrow(_in_blocks, POSTINGS).join(only.select("term").distinct(), "term", "left_semi")
             numbers = [F.transform("entries", lambda e: place_of(e["doc"])).alias("places"), F.col("entries.tf").alias("times")]
             dealt = asked.select(bucket(F.col("term")).alias("bucket"), "term", "field", "block", "n", "max_tf", "min_len", "max_at", *numbers).repartition(parts, "bucket", group)
-        dealt.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        dealt.sortWithinPartitions("bucket", "term", "field", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
         self.spark.createDataFrame([(number, folder, number if base else 0)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _write_dead(self, new: DataFrame, replaces: bool, folder: str) -> None:
@@ -302,27 +316,39 @@ class InvertedIndex:
 
     # -- search ------------------------------------------------------------------
 
-    def search(self, queries: DataFrame, k: int | None = None, as_of_ms: int | None = None, names: DataFrame | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int | None = None, as_of_ms: int | None = None, names: DataFrame | None = None, parts: bool = False) -> DataFrame:
         """(qid, id, score): best of the text score and three times the title score.
 
         With ``names`` (id and other columns) the hits of these documents get
         those columns in place of the id; names come to the document numbers
         first, so that the hits are joined once.
 
+        With ``parts`` the hits are (qid, id, parent_doc_id, score, n_chunks,
+        whole), where of a document with all its parts in one block, ``whole``,
+        only the best part is left, with the number of its parts hit; other
+        documents have such a row for each of their blocks.
+
         With ``k`` only the best of each query (ties at the cut go by id); with
         ``as_of_ms`` scores take the weight of the document's last update.
         Queries go in blocks; the driver holds the terms of one block.
         """
-        schema = f"qid {queries.schema['qid'].dataType.simpleString()}, doc long, score double"
+        if parts and (k is not None or names is not None):
+            raise ValueError("parts go without k and names")
+        schema = f"qid {queries.schema['qid'].dataType.simpleString()}, {BEST if parts else 'doc long, score double'}"
         wanted = materialize(query_terms(queries), "terms")
         ids = self.table("forward")
         blocks = max(1, -(-wanted.select("qid").distinct().count() // QUERY_BLOCK))
         path, found = fresh_path(self.spark, "hits"), None
         for b in range(blocks if ids is not None else 0):
             part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-            found = self._search_block(part, k, as_of_ms, schema)
+            found = self._search_block(part, k, as_of_ms, schema, parts)
             if found is not None and blocks > 1:
                 found.write.mode("append").parquet(path)
+        if parts:
+            schema += ", whole boolean"
+            if blocks > 1 and found is not None:
+                return self.spark.read.schema(schema).parquet(path)
+            return self.spark.createDataFrame([], schema) if found is None else found
         if found is None and blocks == 1:
             none = self.spark.createDataFrame([], f"{schema}").select("qid", F.lit("").alias("id"), "score").limit(0)
             return none if names is None else none.join(names, "id").drop("id")
@@ -337,7 +363,7 @@ class InvertedIndex:
         best = hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
         return best if names is None else best.join(names, "id").drop("id")
 
-    def _search_block(self, wanted: DataFrame, k: int | None, as_of_ms: int | None, schema: str) -> DataFrame | None:
+    def _search_block(self, wanted: DataFrame, k: int | None, as_of_ms: int | None, schema: str, parts: bool = False) -> DataFrame | None:
         terms = wanted.select("term").distinct()
         asked = [r[0] for r in terms.select(bucket(F.col("term")).alias("b")).distinct().collect()]
         postings = self.table("postings").where(F.col("bucket").isin(asked)).join(F.broadcast(terms), "term", "left_semi")
@@ -354,7 +380,7 @@ class InvertedIndex:
             return None
         factors = materialize(counts.withColumn("factor", idf).join(wanted, "term").select("qid", "term", "field", (F.col("factor") * F.col("times")).alias("factor")), "factors")
 
-        scorer = self._scorer(factors.collect(), {f: m for f, (_, m) in stats.items()}, k, as_of_ms)
+        scorer = self._scorer(factors.collect(), {f: m for f, (_, m) in stats.items()}, k, as_of_ms, parts)
         best = F.when(F.col("max_tf") > 0, _weight(F.col("max_tf"), F.col("min_len"), mean))
         latest = R.decay(F.nullif("max_at", F.lit(NO_DATE)), as_of_ms) if as_of_ms is not None else F.lit(1.0)
         per_field = heads.join(F.broadcast(factors), ["term", "field"]).groupBy("qid", "block").agg(
@@ -363,6 +389,8 @@ class InvertedIndex:
         bound = F.greatest(F.coalesce("b0", F.lit(0.0)), F.lit(R.TITLE_BOOST) * F.coalesce("b1", F.lit(0.0))) * F.col("late")
         # A little more, so that rounding never makes a bound too low.
         pairs = per_field.select("qid", "block", (bound * (1 + 1e-9) + 2.0 / GRID).alias("bound"))
+        if parts:
+            return self._score_parts(postings, dead, pairs, scorer, schema)
         if k is None:
             return self._score(postings, dead, pairs, scorer, schema)
         first = max(1, -(-4 * k >> BLOCK_BITS))
@@ -373,18 +401,38 @@ class InvertedIndex:
         rest = placed.where(F.col("place") > first).join(kth, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
         return head.unionByName(self._score(postings, dead, rest, scorer, schema))
 
-    def _score(self, postings: DataFrame, dead: DataFrame, pairs: DataFrame, scorer, schema: str) -> DataFrame:
-        """Score (query, block) pairs: entries and queries of a block meet in one task."""
+    def _score_parts(self, postings: DataFrame, dead: DataFrame, pairs: DataFrame, scorer, schema: str) -> DataFrame:
+        """Score (query, block) pairs twice: for documents with all parts in one block, and the few entries of the others."""
+        document = F.coalesce("parent_doc_id", "id")
+        docs = self.table("forward").select("doc", "id", "parent_doc_id", "n0", "n1", "at", document.alias("document"))
+        spans = docs.groupBy("document").agg(F.min(block_of(F.col("doc"))).alias("first"), F.max(block_of(F.col("doc"))).alias("last"))
+        apart = materialize(spans.where("first < last").select("document"), "apart")
+        whole, cut = docs.join(apart, "document", "left_anti"), materialize(docs.join(apart, "document", "left_semi"), "cut")
+        once = self._score(postings, dead, pairs, scorer, schema, whole).withColumn("whole", F.lit(True))
+        if cut.isEmpty():
+            return once
+        places = in_blocks(cut).withColumnRenamed("gone", "cut")
+        places = F.broadcast(places) if places.count() <= BROADCAST_BLOCKS else places
+        kept = F.filter(F.arrays_zip("places", "times"), lambda e: F.array_contains("cut", e["places"]))
+        few = postings.join(places, "block").withColumn("kept", kept).where(F.size("kept") > 0).withColumns({"places": F.col("kept.places"), "times": F.col("kept.times")})
+        return once.unionByName(self._score(few, dead, pairs, scorer, schema, cut).withColumn("whole", F.lit(False)))
+
+    def _score(self, postings: DataFrame, dead: DataFrame, pairs: DataFrame, scorer, schema: str, named: DataFrame | None = None) -> DataFrame:
+        """Score (query, block) pairs: entries and queries of a block meet in one task.
+
+        Only documents of ``named`` are scored, if given, and bring their names.
+        """
         none = lambda kind: F.lit(None).cast(kind)
         here = [block_of(F.col("doc")).alias("block"), F.array(place_of(F.col("doc"))).alias("places"), none("array<int>").alias("times")]
         gone = dead.select(none("string").alias("term"), F.lit(DEAD).alias("field"), *here, none("int").alias("n0"), none("int").alias("n1"), none("long").alias("at"))
-        docs = self.table("forward").select(none("string").alias("term"), F.lit(DOCUMENT).alias("field"), *here, "n0", "n1", "at")
+        names = [] if named is None else ["id", "parent_doc_id"]
+        docs = (self.table("forward") if named is None else named).select(none("string").alias("term"), F.lit(DOCUMENT).alias("field"), *here, "n0", "n1", "at", *names)
         rows = postings.select("term", "field", "block", "places", "times", none("int").alias("n0"), none("int").alias("n1"), none("long").alias("at"))
-        rows = rows.unionByName(docs).unionByName(gone)
+        rows = rows.unionByName(gone).unionByName(docs, allowMissingColumns=True)
         asked = pairs.select("qid", "block")
         return rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(scorer, schema)
 
-    def _scorer(self, factors, means: dict[int, float], k: int | None, as_of_ms: int | None):
+    def _scorer(self, factors, means: dict[int, float], k: int | None, as_of_ms: int | None, parts: bool = False):
         qids = sorted({r["qid"] for r in factors})
         place = {q: i for i, q in enumerate(qids)}
         by_term: dict[tuple[int, str], list[tuple[int, float]]] = {}
@@ -394,16 +442,24 @@ class InvertedIndex:
 
         def score(key, entries: pa.Table, asked: pa.Table) -> pa.Table:
             qids, table = shared.value
-            empty = pa.table({"qid": asked["qid"].slice(0, 0), "doc": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+            def hits(who, **columns) -> pa.Table:
+                return pa.table({"qid": asked["qid"].combine_chunks().take(pa.array(who, pa.int64())), **columns})
+
+            def no_hits() -> pa.Table:
+                texts = {"id": pa.array([], pa.string()), "parent_doc_id": pa.array([], pa.string())}
+                none, scores = pa.array([], pa.int64()), pa.array([], pa.float64())
+                return hits([], **texts, score=scores, n_chunks=none) if parts else hits([], doc=none, score=scores)
+
             if not len(asked) or not len(entries):
-                return empty
+                return no_hits()
             here = {q: i for i, q in enumerate(asked["qid"].to_pylist())}
             local = np.full(len(qids), -1)
             for i, q in enumerate(qids):
                 local[i] = here.get(q, -1)
             size, base = 1 << BLOCK_BITS, key[0].as_py() << BLOCK_BITS
             sums = np.zeros((2, len(here), size))
-            alive, at = np.ones(size, bool), np.full(size, np.nan)
+            alive, at = np.zeros(size, bool), np.full(size, np.nan)
             entries = entries.combine_chunks()
             fields = np.asarray(entries["field"])
             places = entries["places"].combine_chunks()
@@ -411,8 +467,9 @@ class InvertedIndex:
             place = np.asarray(places.flatten())
             info = np.flatnonzero(fields == DOCUMENT)
             # a document's row and a dead one's have one place
-            alive[place[offsets[np.flatnonzero(fields == DEAD)]]] = False
             where, lengths = place[offsets[info]], np.ones((2, size))
+            alive[where] = True
+            alive[place[offsets[np.flatnonzero(fields == DEAD)]]] = False
             of_docs = entries.take(pa.array(info))
             lengths[0, where], lengths[1, where] = (np.asarray(of_docs[c], np.float64) for c in ("n0", "n1"))
             at[where] = of_docs["at"].to_numpy().astype(np.float64)
@@ -429,11 +486,9 @@ class InvertedIndex:
                 if wanted is None:
                     continue
                 field, doc = names[row][0], place[offsets[row] : offsets[row + 1]]
-                who = local[wanted[0]]
+                who, factors = local[wanted[0]], wanted[1]
                 weight = _weights(times[starts[row]], lengths[field, doc], means[field])
-                for q, factor in zip(who.tolist(), wanted[1].tolist()):
-                    if q >= 0:
-                        sums[field, q, doc] += factor * weight
+                sums[field][who[who >= 0, None], doc] += factors[who >= 0, None] * weight
             total = np.maximum(sums[0], R.TITLE_BOOST * sums[1])
             total[:, ~alive] = 0
             scores = np.floor(total * GRID + 0.5) / GRID
@@ -441,6 +496,13 @@ class InvertedIndex:
                 age = np.maximum(0, as_of_ms - at - R.DECAY_OFFSET_MS)
                 weight = np.where(np.isnan(at), 1.0, np.power(0.5, age / R.DECAY_SCALE_MS)) * R.DECAY_WEIGHT
                 scores = np.floor(scores * weight * GRID + 0.5) / GRID
+            if parts:
+                if not len(info):
+                    return no_hits()
+                ids, parents = of_docs["id"].combine_chunks(), of_docs["parent_doc_id"].combine_chunks()
+                who, part, best, n = _best_parts(total[:, where], scores[:, where], ids, parents)
+                taken = pa.array(part)
+                return hits(who, id=ids.take(taken), parent_doc_id=parents.take(taken), score=best, n_chunks=n)
             out = []
             for q in range(len(here)):
                 hit = np.flatnonzero(total[q] > 0)
@@ -449,6 +511,6 @@ class InvertedIndex:
                     hit = hit[scores[q, hit] >= np.partition(scores[q, hit], len(hit) - k)[len(hit) - k]]
                 out.append((np.full(len(hit), q), hit))
             who, docs = (np.concatenate(x) for x in zip(*out))
-            return pa.table({"qid": asked["qid"].combine_chunks().take(pa.array(who)), "doc": docs + base, "score": scores[who, docs]})
+            return hits(who, doc=docs + base, score=scores[who, docs])
 
         return score

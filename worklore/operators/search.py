@@ -143,10 +143,18 @@ def hybrid(keyword: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:
-    """Best chunk per query and document, with the number of its chunks hit; the hits are shuffled once."""
+    """Best chunk per query and document, with the number of its chunks hit; the hits are shuffled once.
+
+    Hits of an index's parts stand for ``n_chunks`` each, and those of a
+    ``whole`` document are its best chunk already: they are not shuffled.
+    """
+    if "whole" in hits.columns:
+        whole, rest = hits.filter("whole").drop("whole"), hits.filter(~F.col("whole")).drop("whole")
+        return whole.unionByName(best_chunk(rest))
     group = Window.partitionBy("qid", "_doc")
     keyed = hits.withColumn("_doc", F.coalesce("parent_doc_id", "id"))
-    counted = keyed.withColumn("_rn", F.row_number().over(group.orderBy(F.desc("score"), "id"))).withColumn("n_chunks", F.count(F.lit(1)).over(group))
+    n = F.sum("n_chunks") if "n_chunks" in hits.columns else F.count(F.lit(1))
+    counted = keyed.withColumn("_rn", F.row_number().over(group.orderBy(F.desc("score"), "id"))).withColumn("n_chunks", n.over(group))
     return counted.filter(F.col("_rn") == 1).drop("_rn", "_doc")
 
 

@@ -25,16 +25,21 @@ def ranked_docs(spark, sf):
 
 
 def index(spark, sf):
-    """The index table of all documents: built, written, and read by column."""
+    """The index table of all documents: built, written, and read by column.
+
+    A chunk is stored once; its copy and its text with the title are made of it when they are read.
+    """
     rows = (
         C.explode_chunks(ranked_docs(spark, sf))
         .withColumn("content", F.col("chunk"))
-        .withColumn("original", T.original(F.col("chunk")))
-        .withColumn("indexed", F.concat(F.lit("Document: "), "title", F.lit("\n\n"), "chunk"))
         .withColumn("content_hash", T.content_hash(F.col("chunk")))
         .drop("chunk")
     )
-    return materialize(rows, "index")
+    return (
+        materialize(rows, "index")
+        .withColumn("original", T.original(F.col("content")))
+        .withColumn("indexed", F.concat(F.lit("Document: "), "title", F.lit("\n\n"), "content"))
+    )
 
 
 #: Tables with their stored inverted index, by application, tables and builder: made by the first query that needs them.
@@ -160,8 +165,8 @@ JOINED = """joined AS (SELECT s.qid, s.id, s.score, i.parent_doc_id,
 
 
 def chunk_hits(spark, sf):
-    rows, inverted = stored(spark, sf)
-    return inverted.search(standin(spark, sf, "v_queries")).join(rows.select("id", "parent_doc_id"), "id")
+    _, inverted = stored(spark, sf)
+    return inverted.search(standin(spark, sf, "v_queries"), parts=True)
 
 
 @query(
