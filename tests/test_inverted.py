@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from worklore.operators import inverted as I
 from worklore.operators import search as S
-from worklore.session import fresh_path
+from worklore.plans import q_search as Q
+from worklore.session import fresh_path, materialize
 
 
 def rows_of(spark, docs):
@@ -213,3 +214,15 @@ def test_texts_that_are_spread_are_not_shuffled(spark, queries, monkeypatch):
     index.append(table)
     assert index.search(queries).count() == want
     assert all(I.zlib.crc32(r.term.encode()) % I.BUCKETS == r.bucket for r in index.table("postings").select("bucket", "term").collect())
+
+
+def test_chunk_hits_are_not_joined_and_texts_are_stored_once(spark, sf_dir, monkeypatch):
+    """The hits of q06 and q07 bring their documents and counts; the index table holds a chunk's text once."""
+    kept = []
+    monkeypatch.setattr(Q, "materialize", lambda df, name: kept.append(df.columns) or materialize(df, name))
+    rows = Q.index(spark, sf_dir)
+    assert {"content", "original", "indexed", "content_hash"} <= set(rows.columns) and not {"original", "indexed"} & set(kept[0])
+    hits = Q.chunk_hits(spark, sf_dir)
+    assert {"n_chunks", "whole"} <= set(hits.columns) and not hits.where("whole and n_chunks > 1").isEmpty()
+    plan = hits.where("whole")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CoGroup") == 1 and "Join" not in plan.split("CoGroup")[0]
